@@ -21,9 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ntz(text: str) -> Column:
-    return F.lit(text).cast("timestamp_ntz")
-
 
 def days_after(day: str, days: Column) -> Column:
     """Midnight a number of days after a day."""

@@ -17,26 +17,24 @@ def clean_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(name, _PUNCTUATION, ""), _SHORT_WORD, "")
 
 
-def join_sides(home: Column, away: Column) -> Column:
-    """``HOME - AWAY``: trimmed, single-spaced, upper case."""
-    joined = F.concat(home, F.lit(" - "), away)
-    trimmed = F.regexp_replace(joined, r"(?U)^\s+|\s+$", "")
+def _tidy(name: Column) -> Column:
+    """Trimmed, single-spaced, upper case."""
+    trimmed = F.regexp_replace(name, r"(?U)^\s+|\s+$", "")
     return F.upper(F.regexp_replace(trimmed, " +", " "))
 
 
 def normalise_event(name: Column, splitter: str) -> Column:
-    """Comparable event name; null where the splitter is missing.
+    """Comparable event name ``HOME - AWAY``; null where the splitter is missing.
 
     Words go before the split, as the splitter may sit next to a short word.
     """
-    sides = F.split(clean_name(name), re.escape(splitter), 2)
-    return F.when(F.size(sides) == 2, join_sides(F.get(sides, 0), F.get(sides, 1)))
+    clean = clean_name(name)
+    parted = F.regexp_replace(clean, rf"(?s)^(.*?){re.escape(splitter)}(.*)$", "$1 - $2")
+    return F.when(F.contains(clean, F.lit(splitter)), _tidy(parted))
 
 
 def normalise_split_event(name: Column, splitter: str) -> Column:
     """As ``normalise_event``, splitting first and cleaning each side after."""
     sides = F.split(name, re.escape(splitter), 2)
-    return F.when(
-        F.size(sides) == 2,
-        join_sides(clean_name(F.get(sides, 0)), clean_name(F.get(sides, 1))),
-    )
+    joined = F.concat(clean_name(F.get(sides, 0)), F.lit(" - "), clean_name(F.get(sides, 1)))
+    return _tidy(joined)

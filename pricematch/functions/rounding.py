@@ -6,31 +6,22 @@ from pyspark.sql import Column, functions as F
 
 # Splits a 53-bit significand into two halves whose products are exact.
 _SPLIT = 134217729.0
-# Beyond this the doubled, scaled value no longer fits in 53 bits.
-_EXACT_LIMIT = 4.0e13
 
 
 def round_half_even(x: Column, digits: int = 2) -> Column:
     """Round a double half-to-even, judging ties on its exact binary value.
 
     ``round`` and ``bround`` look at the shortest decimal text instead, so they
-    send 2.675 (really 2.67499...) up. Here ``2 * 10**digits * x`` is formed as a
-    product plus its rounding error, which tells a true tie from a near one.
+    send 2.675 (really 2.67499...) up. Scaling rounds as well: only where that
+    gives a tie does the error of the product tell which side the value was on.
     """
     x = x.cast("double")
-    scale = float(10**digits)
-    step = F.lit(2 * scale)
+    scale = F.lit(float(10**digits))
+    scaled = x * scale
+    nearest = F.rint(scaled)
 
     wide = x * F.lit(_SPLIT)
     high = wide - (wide - x)
-    low = x - high
-    product = x * step
-    error = (high * step - product) + low * step
-
-    floor = F.floor(product).cast("double")
-    steps = F.when((product == floor) & (error < 0), floor - 1).otherwise(floor)
-    half = F.floor(steps / F.lit(2.0)).cast("double")
-    odd = steps - half * 2
-    tie = (product == steps) & (error == 0)
-    units = half + F.when(odd == 0, 0.0).when(tie, F.pmod(half, F.lit(2.0))).otherwise(1.0)
-    return F.when(F.abs(x) < _EXACT_LIMIT, units / F.lit(scale)).otherwise(F.bround(x, digits))
+    error = (high * scale - scaled) + (x - high) * scale
+    beside = F.when(error > 0, scaled + 0.5).when(error < 0, scaled - 0.5).otherwise(nearest)
+    return F.when(F.abs(scaled - nearest) == 0.5, beside).otherwise(nearest) / scale

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from datetime import datetime
 from functools import reduce
@@ -27,7 +28,7 @@ def allowed_only(df: DataFrame, allowed: Iterable[str] | DataFrame, column: str
 
 def has_excluded_word(kind: Column, words: Iterable[str] = EXCLUDED_TYPE_WORDS) -> Column:
     """Whether a market type holds one of the words; case matters."""
-    return reduce(lambda a, b: a | b, [F.contains(kind, F.lit(w)) for w in words])
+    return F.coalesce(kind.rlike("|".join(re.escape(w) for w in words)), F.lit(False))
 
 
 def exclude_types(df: DataFrame, column: str, words: Iterable[str] = EXCLUDED_TYPE_WORDS) -> DataFrame:

@@ -17,6 +17,7 @@ from pricematch.fixed_values import MIN_EVENTS, NO_ID
 from pricematch.functions.dates import naive_timestamp, parse_epoch_date, parse_iso_date
 from pricematch.functions.labels import compose_label, line_suffix
 from pricematch.functions.names import normalise_event
+from pricematch.functions.odds import odds_from_cents
 from pricematch.operators.filters import has_excluded_word
 from pricematch.operators.normalise import REASON
 from pricematch.operators.shape import sum_map_values
@@ -25,12 +26,12 @@ RAW_COLUMNS = ["tournament", "betRadarID", "event", "date", "bet", "betOdd", "od
 
 
 def _page(df: DataFrame, schema: str) -> DataFrame:
-    return df.withColumn("page", F.from_json("payload", schema)).drop("payload")
+    return df.withColumn("__page", F.from_json("payload", schema)).drop("payload")
 
 
 def _carried(df: DataFrame, drop: tuple[str, ...] = ()) -> list[str]:
     """Columns of the input that are passed through."""
-    own = {*RAW_COLUMNS, "payload", "page", "reason", *drop}
+    own = {*RAW_COLUMNS, "payload", "__page", "reason", *drop}
     return [c for c in df.columns if c not in own]
 
 
@@ -50,19 +51,35 @@ def _with_matches(page: DataFrame, events: Column, key: str) -> DataFrame:
     return page.withColumn("matches", F.map_from_entries(entries)).drop("__events", "__keys")
 
 
-def _quote(
-    tournament: Column, ident: Column, event: Column, date: Column, bet: Column, odd: Column,
-    number: bool,
-) -> list[Column]:
-    return [
-        tournament.alias("tournament"),
-        ident.cast("bigint").alias("betRadarID"),
-        event.alias("event"),
-        date.alias("date"),
-        bet.alias("bet"),
-        odd.alias("betOdd"),
+def each(df: DataFrame, kept: list[str], items: Column | str, *names: str) -> DataFrame:
+    """A row per item of an array, or per entry of a map.
+
+    An inner explode would make the optimizer infer a filter on the array, push it
+    below the parsing, and so parse every page once more for it.
+    """
+    return df.select(*kept, F.explode_outer(items).alias(*names)).where(F.col(names[0]).isNotNull())
+
+
+def _finish(rows: DataFrame, kept: list[str], number: bool, *reasons: tuple[str, Column]) -> DataFrame:
+    """Raw columns and the first reason that holds.
+
+    Columns the reasons look at come first, in a step of their own: used twice,
+    they are computed once.
+    """
+    reason = None
+    for text, when in reasons:
+        reason = F.when(when, text) if reason is None else reason.when(when, text)
+    return rows.select(
+        *kept,
+        "tournament",
+        F.col("betRadarID").cast("bigint").alias("betRadarID"),
+        "event",
+        "date",
+        "bet",
+        "betOdd",
         F.lit(number).alias("odd_is_number"),
-    ]
+        reason.alias(REASON),
+    )
 
 
 def events_to_outcomes(outcomes: DataFrame, matches: str, key: Column) -> DataFrame:
@@ -76,36 +93,32 @@ def parse_flat_feed(
 ) -> DataFrame:
     """Events and outcomes side by side, joined on the event id."""
     now = naive_timestamp(run_ts)
+    kept = _carried(df)
     events = F.filter(
         F.transform(
-            F.col("page.events"),
+            F.col("__page.events"),
             lambda e: F.struct(
                 e["Id"].alias("Id"),
                 e["BetRadarId"].alias("ident"),
-                e["Name"].alias("name"),
+                normalise_event(e["Name"], splitter).alias("event"),
                 parse_epoch_date(e["StartDate"], zone).alias("date"),
             ),
         ),
         lambda e: (e["date"] > now) & e["Id"].isNotNull(),
     )
-    kept = _carried(df)
     page = _with_matches(_page(df, schemas.FLAT_PAGE), events, "Id")
-    rows = page.select(
-        *kept, "tournament", "matches", F.explode("page.eventsOutcome").alias("o")
-    )
-    rows = events_to_outcomes(rows, "matches", F.col("o.EventId"))
-    bet = compose_label(F.col("o.Kind.Name"), F.col("o.Name"))
-    event = normalise_event(F.col("match.name"), splitter)
-    reason = (
-        F.when(F.col("match").isNull(), "event not listed or started")
-        .when(event.isNull(), "not a match")
-        .when(bet.isNull(), "no label")
+    rows = each(page, [*kept, "tournament", "matches"], "__page.eventsOutcome", "o")
+    rows = events_to_outcomes(rows, "matches", F.col("o.EventId")).select(
+        *kept, "tournament", "match", F.col("match.ident").alias("betRadarID"),
+        F.col("match.event").alias("event"), F.col("match.date").alias("date"),
+        compose_label(F.col("o.Kind.Name"), F.col("o.Name")).alias("bet"),
+        F.col("o.Odds").alias("betOdd"),
     )
-    return rows.select(
-        *kept,
-        *_quote(F.col("tournament"), F.col("match.ident"), event, F.col("match.date"), bet,
-                F.col("o.Odds"), numeric_odds),
-        reason.alias(REASON),
+    return _finish(
+        rows, kept, numeric_odds,
+        ("event not listed or started", F.col("match").isNull()),
+        ("not a match", F.col("event").isNull()),
+        ("no label", F.col("bet").isNull()),
     )
 
 
@@ -126,12 +139,10 @@ def parse_nested_feed(
     """
     now = naive_timestamp(run_ts)
     kept = _carried(df, ("event_key",))
-    page = _page(df, schemas.NESTED_PAGE)
-    events = page.select(
-        *kept, "tournament", *(["event_key"] if "event_key" in df.columns else []),
-        F.col("page.head").alias("head"), F.explode("page.body").alias("key", "e"),
-    )
-    if "event_key" in df.columns:
+    page = _page(df, schemas.NESTED_PAGE).withColumn("head", F.col("__page.head"))
+    asked = ["event_key"] if "event_key" in df.columns else []
+    events = each(page, [*kept, *asked, "tournament", "head"], "__page.body", "key", "e")
+    if asked:
         events = events.where(F.col("key") == F.col("event_key"))
     events = events.select(
         *kept, "tournament", "head", F.col("e.bets").alias("bets"),
@@ -140,11 +151,10 @@ def parse_nested_feed(
         parse_iso_date(F.col("e.dateTimeUTC"), tz_mode).alias("date"),
     ).where(F.col("date").isNull() | (F.col("date") >= now))
 
-    markets = events.select(
-        *kept, "tournament", "event", "date", "ref", "head", F.explode("bets").alias("code", "m")
-    ).select(
-        *kept, "tournament", "event", "date", "ref", head_to_body(F.col("head"), F.col("code")).alias("type"), "m"
-    ).where(F.col("type.name").isNull() | ~has_excluded_word(F.col("type.name")))
+    event = [*kept, "tournament", "event", "date", "ref"]
+    markets = each(events, [*event, "head"], "bets", "code", "m").select(
+        *event, head_to_body(F.col("head"), F.col("code")).alias("type"), "m"
+    ).where(~has_excluded_word(F.col("type.name")))
 
     infos = F.col("m.additionalInfos")
     only = F.try_element_at(infos, F.lit("0"))
@@ -161,35 +171,31 @@ def parse_nested_feed(
         )
     )
     # A market whose lines cannot be told keeps one row, for the quarantine.
-    rows = markets.select(
-        *kept, "tournament", "event", "date", "ref", F.col("type.name").alias("type"),
-        lines.alias("lines"),
-    ).select(
-        *kept, "tournament", "event", "date", "ref", "type", "lines",
-        F.col("lines").isNull().alias("lost"),
-    ).select(
-        *kept, "tournament", "event", "date", "ref", "type", "lost",
-        F.explode_outer("lines").alias("l"),
-    ).where(F.col("lost") | F.col("l.info").isNull() | (F.col("l.info.status") == 1))
+    market = [*event, "type"]
+    rows = markets.select(*event, F.col("type.name").alias("type"), lines.alias("lines"))
+    rows = rows.select(*market, "lines", F.col("lines").isNull().alias("lost"))
+    rows = rows.select(*market, "lost", F.explode_outer("lines").alias("l")).where(
+        F.col("lost") | F.col("l.info").isNull() | (F.col("l.info.status") == 1)
+    )
     rows = rows.select(
-        *kept, "tournament", "event", "date", "ref", "type", "lost",
+        *market, "lost",
         F.col("l.spread").alias("spread"),
         (F.col("l").isNotNull() & F.col("l.info").isNull()).alias("no_info"),
         F.explode_outer(F.map_values("l.info.outcome")).alias("o"),
     ).where(F.col("lost") | F.col("no_info") | (F.col("o.status") == 1))
-    bet = compose_label(F.col("type"), F.col("o.label"), F.col("spread"))
-    reason = (
-        F.when(F.col("event").isNull(), "not a match")
-        .when(F.col("date").isNull(), "no date")
-        .when(F.col("ref").isNull(), "no event id")
-        .when(F.col("lost") | F.col("no_info") | F.col("type").isNull(), "unknown market or line")
-        .when(bet.isNull(), "no label")
+    rows = rows.select(
+        *market, "lost", "no_info",
+        F.col("ref.matchId").alias("betRadarID"),
+        compose_label(F.col("type"), F.col("o.label"), F.col("spread")).alias("bet"),
+        F.col("o.val").alias("betOdd"),
     )
-    return rows.select(
-        *kept,
-        *_quote(F.col("tournament"), F.col("ref.matchId"), F.col("event"), F.col("date"), bet,
-                F.col("o.val"), numeric_odds),
-        reason.alias(REASON),
+    return _finish(
+        rows, kept, numeric_odds,
+        ("not a match", F.col("event").isNull()),
+        ("no date", F.col("date").isNull()),
+        ("no event id", F.col("ref").isNull()),
+        ("unknown market or line", F.col("lost") | F.col("no_info") | F.col("type").isNull()),
+        ("no label", F.col("bet").isNull()),
     )
 
 
@@ -212,38 +218,36 @@ def parse_offer_feed(
     """
     now = naive_timestamp(run_ts)
     kept = _carried(df, ("tournament",))
-    page = _page(df, schemas.OFFER_PAGE)
-    first = F.get(F.col("page.events"), 0)
-    events = page.select(
+    first = F.get(F.col("__page.events"), 0)
+    events = _page(df, schemas.OFFER_PAGE).select(
         *kept,
         first["group"].alias("tournament"),
         normalise_event(first["name"], splitter).alias("event"),
         parse_iso_date(first["start"], tz_mode).alias("date"),
-        F.col("page.betOffers").alias("offers"),
-    ).where(F.col("date").isNull() | (F.col("date") >= now))
-    offers = events.select(
-        *kept, "tournament", "event", "date", F.explode("offers").alias("b")
-    ).select(
-        *kept, "tournament", "event", "date", F.col("b.criterion.label").alias("type"),
+        F.col("__page.betOffers").alias("offers"),
+    )
+    event = [*kept, "tournament", "event", "date"]
+    started = F.coalesce(F.col("date") < now, F.lit(False))
+    offers = each(events, event, F.when(~started, F.col("offers")), "b").select(
+        *event, F.col("b.criterion.label").alias("type"),
         F.col("b.outcomes").alias("outcomes"), own_lines(F.col("b.outcomes")).alias("lines"),
     )
-    rows = offers.select(
-        *kept, "tournament", "event", "date", "type", "lines", F.posexplode("outcomes").alias("i", "o")
-    ).withColumn("line", sticky_line(F.col("lines"), F.col("i")))
-    bet = compose_label(
-        F.col("type"), F.col("o.label"),
-        F.when(F.col("line").isNotNull(), line_suffix(F.col("line"))),
+    rows = offers.select(*event, "type", "lines", F.posexplode_outer("outcomes").alias("i", "o"))
+    rows = rows.where(F.col("o").isNotNull()).select(
+        *event, "type", "o", sticky_line(F.col("lines"), F.col("i")).alias("line")
     )
-    reason = (
-        F.when(F.col("event").isNull(), "not a match")
-        .when(F.col("date").isNull(), "no date")
-        .when(bet.isNull(), "no label")
+    suffix = F.when(F.col("line").isNotNull(), line_suffix(F.col("line")))
+    rows = rows.select(*event, "type", "o", suffix.alias("suffix")).select(
+        *event,
+        F.lit(NO_ID).alias("betRadarID"),
+        compose_label(F.col("type"), F.col("o.label"), F.col("suffix")).alias("bet"),
+        F.col("o.oddsFractional").alias("betOdd"),
     )
-    return rows.select(
-        *kept,
-        *_quote(F.col("tournament"), F.lit(NO_ID), F.col("event"), F.col("date"), bet,
-                F.col("o.oddsFractional"), False),
-        reason.alias(REASON),
+    return _finish(
+        rows, kept, False,
+        ("not a match", F.col("event").isNull()),
+        ("no date", F.col("date").isNull()),
+        ("no label", F.col("bet").isNull()),
     )
 
 
@@ -257,7 +261,7 @@ def parse_map_feed(
     now = naive_timestamp(run_ts)
     events = F.filter(
         F.transform(
-            F.col("page.avvenimentoFeList"),
+            F.col("__page.avvenimentoFeList"),
             lambda e: F.struct(
                 e["codiceAvvenimento"].alias("code"),
                 F.get(e["externalProviderInfoList"], 0)["idAvvProviderLive"].alias("ident"),
@@ -269,26 +273,26 @@ def parse_map_feed(
     )
     kept = _carried(df)
     page = _with_matches(_page(df, schemas.MAP_PAGE), events, "code")
-    rows = page.select(
-        *kept, "tournament", "matches", F.explode(F.map_values("page.infoAggiuntivaMap")).alias("m")
+    rows = each(
+        page, [*kept, "tournament", "matches"], F.map_values("__page.infoAggiuntivaMap"), "m"
     )
-    rows = events_to_outcomes(rows, "matches", F.col("m.codiceAvvenimento"))
-    rows = rows.select(
+    rows = events_to_outcomes(rows, "matches", F.col("m.codiceAvvenimento")).select(
         *kept, "tournament", "match", F.col("m.descrizione").alias("type"),
-        F.explode("m.esitoList").alias("o"),
+        F.col("m.esitoList").alias("outcomes"),
     )
-    bet = compose_label(F.col("type"), F.col("o.descrizione"))
-    price = (F.col("o.quota").cast("decimal(18,0)") / F.lit(100)).cast("decimal(20,2)").cast("string")
-    reason = (
-        F.when(F.col("match").isNull(), "event not listed or started")
-        .when(bet.isNull(), "no label")
-        .when(price.isNull(), "price")
+    rows = each(rows, [*kept, "tournament", "match", "type"], "outcomes", "o").select(
+        *kept, "tournament", "match",
+        F.col("match.ident").alias("betRadarID"),
+        F.col("match.event").alias("event"),
+        F.col("match.date").alias("date"),
+        compose_label(F.col("type"), F.col("o.descrizione")).alias("bet"),
+        odds_from_cents(F.col("o.quota")).cast("string").alias("betOdd"),
     )
-    return rows.select(
-        *kept,
-        *_quote(F.col("tournament"), F.col("match.ident"), F.col("match.event"),
-                F.col("match.date"), bet, price, False),
-        reason.alias(REASON),
+    return _finish(
+        rows, kept, False,
+        ("event not listed or started", F.col("match").isNull()),
+        ("no label", F.col("bet").isNull()),
+        ("price", F.col("betOdd").isNull()),
     )
 
 
@@ -302,41 +306,42 @@ def flatten_schedule(df: DataFrame, feed: str, with_counts: bool = False) -> Dat
     kept = [c for c in df.columns if c != "payload"]
     page = lambda schema: _page(df, schema)
     if feed == "flat":
-        countries = page(schemas.FLAT_SCHEDULE).select(
-            *kept, F.explode(F.get(F.col("page"), 0)["Children"]).alias("c")
-        )
-        return countries.select(*kept, F.explode("c.Children").alias("t")).select(
+        football = F.get(F.col("__page"), 0)["Children"]
+        countries = each(page(schemas.FLAT_SCHEDULE), kept, football, "c")
+        return each(countries, kept, "c.Children", "t").select(
             *kept, F.col("t.Id").alias("tournament_id"), F.col("t.Name").alias("tournament")
         )
     if feed == "nested":
-        football = F.try_element_at(F.col("page.sports"), F.lit("1"))
-        countries = page(schemas.NESTED_SCHEDULE).select(
-            *kept, F.explode(F.map_values(football["categories"])).alias("c")
+        football = F.try_element_at(F.col("__page.sports"), F.lit("1"))
+        countries = each(
+            page(schemas.NESTED_SCHEDULE), kept, F.map_values(football["categories"]), "c"
         )
-        rows = countries.select(*kept, F.explode(F.map_values("c.tournaments")).alias("t")).select(
+        rows = each(countries, kept, F.map_values("c.tournaments"), "t").select(
             *kept, F.col("t.sportCode").alias("sport_code"), F.col("t.id").alias("tournament_id"),
             F.col("t.name").alias("tournament"), F.col("t.betCode").alias("bet_code"),
             F.col("t.betSection").alias("bet_section"),
             sum_map_values(F.col("t.eventsCounter")).alias("events"),
         )
     elif feed == "offer":
-        football = F.get(F.col("page")["group"]["groups"], 0)
-        countries = page(schemas.OFFER_SCHEDULE).select(*kept, F.explode(football["groups"]).alias("c"))
+        football = F.get(F.col("__page")["group"]["groups"], 0)
+        countries = each(page(schemas.OFFER_SCHEDULE), kept, football["groups"], "c")
         leaf = F.array(
             F.struct(F.lit(None).cast("string").alias("termKey"), F.col("c.eventCount").alias("eventCount"))
         )
         below = F.when(F.size("c.groups") > 0, F.col("c.groups")).otherwise(leaf)
-        rows = countries.select(*kept, F.col("c.termKey").alias("country"), F.explode(below).alias("t")).select(
+        countries = countries.select(*kept, F.col("c.termKey").alias("country"), below.alias("below"))
+        rows = each(countries, [*kept, "country"], "below", "t").select(
             *kept, "country", F.col("t.termKey").alias("tournament"), F.col("t.eventCount").alias("events")
         )
     elif feed == "map":
-        parsed = page(schemas.MAP_SCHEDULE)
-        football = F.try_element_at(F.col("page.manifestazioneListByDisciplinaTutti"), F.lit("1"))
-        ids = parsed.select(
-            *kept, F.col("page.manifestazioneMap").alias("names"),
-            F.col("page.eventsNumberByManifestazioneTutti").alias("counts"),
-            F.explode(football).alias("tournament_id"),
+        parsed = page(schemas.MAP_SCHEDULE).select(
+            *kept, F.col("__page.manifestazioneMap").alias("names"),
+            F.col("__page.eventsNumberByManifestazioneTutti").alias("counts"),
+            F.try_element_at(
+                F.col("__page.manifestazioneListByDisciplinaTutti"), F.lit("1")
+            ).alias("football"),
         )
+        ids = each(parsed, [*kept, "names", "counts"], "football", "tournament_id")
         rows = ids.select(
             *kept, "tournament_id",
             F.try_element_at("names", F.col("tournament_id")).alias("t"),
@@ -360,9 +365,7 @@ def list_events(df: DataFrame, feed: str, skip_live: bool = False) -> DataFrame:
     """
     kept = [c for c in df.columns if c != "payload"]
     if feed == "nested":
-        rows = _page(df, schemas.NESTED_EVENT_LIST).select(
-            *kept, F.explode("page.body").alias("event_key", "e")
-        )
+        rows = each(_page(df, schemas.NESTED_EVENT_LIST), kept, "__page.body", "event_key", "e")
         if skip_live:
             rows = rows.where(F.col("e.liveStatus").isNull())
         codes = F.split("event_key", r"\.", 2)
@@ -370,7 +373,6 @@ def list_events(df: DataFrame, feed: str, skip_live: bool = False) -> DataFrame:
             *kept, "event_key", F.get(codes, 0).alias("schedule_code"), F.get(codes, 1).alias("event_code")
         )
     if feed == "offer":
-        return _page(df, schemas.OFFER_EVENT_LIST).select(
-            *kept, F.explode("page.events").alias("e")
-        ).select(*kept, F.col("e.event.id").alias("event_id"))
+        events = each(_page(df, schemas.OFFER_EVENT_LIST), kept, "__page.events", "e")
+        return events.select(*kept, F.col("e.event.id").alias("event_id"))
     raise ValueError(f"no feed family {feed!r}")

@@ -14,6 +14,7 @@ from pricematch.fixed_values import EVENT_SPLITTERS, NO_ID
 from pricematch.functions.dates import parse_italian_date
 from pricematch.functions.names import normalise_split_event
 from pricematch.operators.normalise import REASON
+from pricematch.sources.feeds import each
 
 _ROW = r'<div\b[^>]*class="bg coupon-row"'
 _PRICE = r'<span\b[^>]*data-selection-key="([^"]*)"[^>]*>([^<]*)<'
@@ -40,20 +41,18 @@ def extract_html_quotes(
     """
     kept = [c for c in df.columns if c != column]
     # A zero-width cut before each row leaves whole rows, and the page's start.
-    blocks = df.select(*kept, F.explode(F.split(column, f"(?={_ROW})")).alias("row"))
+    blocks = each(df, kept, F.split(column, f"(?={_ROW})"), "row")
     blocks = blocks.where(F.col("row").rlike(f"^{_ROW}"))
-    found = blocks.select(
+    rows = blocks.select(
         *kept,
         normalise_split_event(unescape(F.regexp_extract("row", _NAME, 1)), splitter).alias("event"),
         parse_italian_date(F.regexp_extract("row", _DATE, 1), run_ts).alias("date"),
-        F.explode(
-            F.arrays_zip(
-                F.regexp_extract_all("row", F.lit(_PRICE), 1).alias("bet"),
-                F.regexp_extract_all("row", F.lit(_PRICE), 2).alias("odd"),
-            )
-        ).alias("o"),
+        F.arrays_zip(
+            F.regexp_extract_all("row", F.lit(_PRICE), 1).alias("bet"),
+            F.regexp_extract_all("row", F.lit(_PRICE), 2).alias("odd"),
+        ).alias("prices"),
     )
-    return found.select(
+    return each(rows, [*kept, "event", "date"], "prices", "o").select(
         *kept,
         F.lit(NO_ID).cast("bigint").alias("betRadarID"),
         "event",
@@ -72,5 +71,5 @@ def extract_links(df: DataFrame, column: str = "html", hidden_only: bool = True)
         scope = F.array_join(F.regexp_extract_all(column, F.lit(_HIDDEN), 1), "\n")
     else:
         scope = F.col(column)
-    links = df.select(*kept, F.explode(F.regexp_extract_all(scope, F.lit(_HREF), 1)).alias("href"))
+    links = each(df, kept, F.regexp_extract_all(scope, F.lit(_HREF), 1), "href")
     return links.withColumn("href", unescape(F.col("href")))
