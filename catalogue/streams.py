@@ -7,7 +7,7 @@ from datetime import datetime
 from catalogue.views import COUNTERS2_SQL, SELECTIONS, choose, doubles, sql_round2, table
 from pricematch.fixed_values import QUOTE_KEYS
 from pricematch.session import scratch_path
-from pricematch.sinks.tables import read_version, write_version
+from pricematch.sinks.tables import read_version
 from pricematch.sources.dictionaries import two_way_counters
 from pricematch.streaming import cycle
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -79,7 +79,6 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").alias("insertingdate"),
     )
     run = datetime(1999, 6, 1)
-    write_version(old, f"{base}/state", 0)
     arriving = cycle.quotes_stream(spark, f"{sf_dir}/orders.parquet", ORDERS)
     new = arriving.where("o_orderkey % 2 = 0").select(
         F.col("o_orderkey").alias("betRadarID"), (F.col("o_totalprice") + 1).alias("RTP"),
@@ -87,7 +86,8 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(run.isoformat(sep=" ")).cast("timestamp_ntz").alias("insertingdate"),
     )
     query = cycle.stream_upsert(
-        new, f"{base}/state", RESULTS, f"{base}/checkpoint", ["betRadarID"], ["RTP", "insertingdate"], run
+        new, f"{base}/state", RESULTS, f"{base}/checkpoint", ["betRadarID"], ["RTP", "insertingdate"],
+        run, old,
     )
     query.awaitTermination()
     done = query.lastProgress

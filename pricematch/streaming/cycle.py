@@ -126,12 +126,16 @@ def stream_merge(
 def stream_upsert(
     matches: DataFrame, base: str, schema: str, checkpoint: str, keys: Sequence[str],
     update: Sequence[str], run_ts: datetime | Column | None = None,
+    start: DataFrame | None = None,
 ) -> StreamingQuery:
     """Upsert each micro-batch's matches and purge what it did not touch.
 
     Batch n reads version n of the table and writes version n + 1, so that a
-    batch run again writes the same. Version 0, if any, is the table to start on.
+    batch run again writes the same. Version 0 is the table to start on, by
+    default an empty one; a stream that is restarted is given the same.
     """
+    spark = matches.sparkSession
+    write_version(read_version(spark, base, None, schema) if start is None else start, base, 0)
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         old = read_version(batch.sparkSession, base, batch_id, schema)
