@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from catalogue.views import choose, iso_text, naive_millis, sql_strip, sql_values, table
+from catalogue.views import choose, iso_text, naive_millis, spread, sql_strip, sql_values, table
 from pricematch.fixed_values import (
     ALLOWED_LABELS, EXCLUDED_TYPE_WORDS, ITALIAN_MONTHS, LABELS, NOISE_PATTERNS,
 )
@@ -62,12 +62,13 @@ def name_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def name_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Name cleaning on whole documents, in all their languages."""
     text = names.clean_name(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.cast("binary")).alias("cleaned"))
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return documents.select("doc_id", F.md5(text.cast("binary")).alias("cleaned"))
 
 
 def name_normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event names out of whole conversation turns, split at their first comma."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id")
     event = names.normalise_split_event(F.col("text"), ", ")
     return turns.select("conv_id", "turn", F.length(event).cast("bigint").alias("n_chars"),
                         F.md5(event.cast("binary")).alias("event"))
@@ -186,7 +187,7 @@ def map_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
     links = extract_links(pages, hidden_only=False)
     return links.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("links"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from catalogue import payloads
-from catalogue.views import COUNTERS2_SQL, COUNTERS3_SQL, doubles, sql_round2, sql_strip, table
+from catalogue.views import COUNTERS2_SQL, COUNTERS3_SQL, doubles, spread, sql_round2, sql_strip, table
 from pricematch.operators.match import match_two_way, tag_bookmaker
 from pricematch.operators.normalise import accepted, normalise_quotes, rejected
 from pricematch.operators.shape import union_feeds
@@ -50,7 +50,8 @@ def feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html.extract_html_quotes(payloads.html(table(spark, sf_dir, "pages")), HTML_RUN)
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    found = html.extract_html_quotes(payloads.html(pages), HTML_RUN)
     return found.select("page_id", "event", "date", "bet", "betOdd", "reason")
 
 

@@ -6,7 +6,7 @@ as many pages as there are orders. Nothing here is part of the library.
 
 from __future__ import annotations
 
-from catalogue.views import iso_text, naive_millis, table
+from catalogue.views import iso_text, naive_millis, spread, table
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -23,7 +23,8 @@ def start() -> Column:
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    columns = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return spread(columns, "o_orderkey")
 
 
 def text(*parts: Column | str) -> Column:

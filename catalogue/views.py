@@ -22,6 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give heavy work per row to all cores.
+
+    A table of one small file is read by one task. Where a table has fewer
+    partitions than there are cores it is hashed on its key; a large table has
+    more, and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def days_after(day: str, days: Column) -> Column:
     """Midnight a number of days after a day."""
     return F.date_add(F.lit(day).cast("date"), days.cast("int")).cast("timestamp_ntz")
@@ -39,36 +50,33 @@ def sql_values(rows: list[tuple]) -> str:
     return "VALUES " + ", ".join("(" + ", ".join(text(v) for v in r) + ")" for r in rows)
 
 
-def _line_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bet = choose(
-        F.col("l_linenumber"), [(i, F.lit(s)) for i, s in enumerate(SELECTIONS, 1)], F.lit("OTHER")
-    )
-    return table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("B"), F.col("l_suppkey") % 7).alias("bookmaker"),
-        F.col("l_partkey").alias("part"),
-        bet.alias("bet"),
-        (F.lit(1.0) + F.col("l_quantity") / 25).cast("decimal(10,2)").alias("odd"),
-    )
-
-
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as quotes on parts: one row per (bookmaker, id, bet), at its lowest price.
 
     However many lines a part has, the aggregate keeps a row per bookmaker and
-    selection of it, and does so before its shuffle.
+    selection of it, and does so before its shuffle. Numbers are what it shuffles;
+    names are put on after.
     """
+    line = F.col("l_linenumber")
     lowest = (
-        _line_quotes(spark, sf_dir)
-        .groupBy("bookmaker", "part", "bet")
+        table(spark, sf_dir, "lineitem")
+        .select(
+            (F.col("l_suppkey") % 7).alias("vendor"),
+            F.col("l_partkey").alias("part"),
+            F.when(line.between(1, len(SELECTIONS)), line).otherwise(0).alias("line"),
+            (F.lit(1.0) + F.col("l_quantity") / 25).cast("decimal(10,2)").alias("odd"),
+        )
+        .groupBy("vendor", "part", "line")
         .agg(F.min("odd").alias("betOdd"))
     )
+    bet = choose(F.col("line"), [(i, F.lit(s)) for i, s in enumerate(SELECTIONS, 1)], F.lit("OTHER"))
     return lowest.select(
-        "bookmaker",
+        F.concat(F.lit("B"), F.col("vendor")).alias("bookmaker"),
         F.concat(F.lit("T"), F.col("part") % 50).alias("tournament"),
         F.col("part").alias("betRadarID"),
         F.concat(F.lit("EVENT "), F.col("part")).alias("event"),
         days_after("2021-03-01", F.col("part") % 365).alias("date"),
-        "bet",
+        bet.alias("bet"),
         "betOdd",
     )
 

@@ -15,15 +15,20 @@ def normalise_odds(odd: Column) -> Column:
     Decimal text is rounded half-even. ``n/d`` is the profit per unit, so the
     price is that plus the stake. ``Evens`` is 1/1. A missing price is 1.
     """
-    plain = F.bround(odd.try_cast("decimal(38,28)"), 2)
-    parts = F.split(F.when(odd == "Evens", F.lit("1/1")).otherwise(odd), "/")
+    # A failed cast costs far more than a look at the text, so each form of a
+    # price is only cast as what it looks like.
+    text = F.when(odd == "Evens", F.lit("1/1")).otherwise(odd)
+    is_fraction = F.contains(text, F.lit("/"))
+    parts = F.split(text, "/")
     profit = F.try_divide(
         F.get(parts, 0).try_cast("decimal(18,8)"), F.get(parts, 1).try_cast("decimal(18,8)")
     )
     fraction = F.when(F.size(parts) == 2, F.bround(profit, 2) + 1)
+    plain = F.bround(text.try_cast("decimal(38,28)"), 2)
     return (
         F.when(odd.isNull(), F.lit(1).cast(PRICE))
-        .otherwise(F.coalesce(plain.try_cast(PRICE), fraction.try_cast(PRICE)))
+        .when(is_fraction, fraction.try_cast(PRICE))
+        .otherwise(plain.try_cast(PRICE))
     )
 
 
