@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from catalogue.views import COUNTERS2_SQL, SELECTIONS, choose, doubles, sql_round2, table
+from catalogue.views import COUNTERS2_SQL, SELECTIONS, choose, clock_instant, clock_time, doubles, sql_round2, table
 from pricematch.fixed_values import QUOTE_KEYS
 from pricematch.session import scratch_path
 from pricematch.sinks.tables import read_version
@@ -30,7 +30,7 @@ def as_quotes(events: DataFrame) -> DataFrame:
         F.concat(F.lit("B"), F.floor(F.col("event_id") / 6) % 3).alias("bookmaker"),
         F.col("user_id").alias("betRadarID"),
         F.concat(F.lit("EVENT "), F.col("user_id")).alias("event"),
-        F.col("ts").cast("timestamp").alias("seen"),
+        clock_instant(F.col("ts")).alias("seen"),
         F.col("ts").alias("date"),
         bet.alias("bet"),
         (F.lit(1.01) + (F.col("event_id") % 200) / 100).cast("decimal(10,2)").alias("betOdd"),
@@ -57,7 +57,7 @@ def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cycle.stream_match(_stream(spark, sf_dir), two_way_counters(spark), "seen", "1 hour", "6 hours")
-    found = found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    found = found.withColumn("window_start", clock_time(F.col("window_start")))
     return doubles(cycle.run_to_files(found, "stream-match"), "betOdd1", "betOdd2")
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from catalogue.views import QUOTES_SQL, doubles, quotes, table
+from catalogue.views import COUNTERS2_SQL, QUOTES_SQL, doubles, quotes, sql_round2, sql_strip, table
 from pricematch.operators.match import stamp_run, tag_bookmaker
 from pricematch.operators.shape import dedupe, union_feeds
+from pricematch.plans.runs import match_run, register_views
 from pricematch.session import scratch_path
 from pricematch.sinks import merge, tables
+from pricematch.sources.dictionaries import read_dictionary, three_way_counters, two_way_counters
 from pricematch.sources.quotes import read_quotes
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -91,7 +93,47 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("l_orderkey bigint, l_linenumber int, l_partkey bigint, reason string").parquet(path)
 
 
+def table_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One cycle of a table: made, filled, copied in buckets of its key, emptied."""
+    path = scratch_path(spark, "cycle")
+    name = "cycle_" + path[-8:]
+    tables.ensure_table(spark, name, "betRadarID bigint, bet string, betOdd double, ingest_seq bigint", f"{path}/table")
+    _customer_quotes(spark, sf_dir).write.insertInto(name)
+    copied = tables.snapshot(spark.table(name), f"{name}_copy", ["betRadarID"], 16, f"{path}/copy")
+    tables.reset_table(spark, name)
+    return copied.withColumn("source", F.lit("copy")).unionByName(
+        spark.table(name).withColumn("source", F.lit("emptied"))
+    )
+
+
+def dictionary_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary file as long as the parts table, with commas in its labels."""
+    path = scratch_path(spark, "dictionary")
+    entries = table(spark, sf_dir, "part").select(
+        F.concat(F.lit('U/O "'), "p_partkey", F.lit('",5 <> '), "p_type").alias("original"),
+        F.concat_ws(", ", "p_brand", "p_name").alias("canonical"),
+    )
+    entries.write.option("escape", '"').csv(path)
+    return read_dictionary(spark, path, "labels")
+
+
+def adhoc_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables by name, in SQL."""
+    staged = quotes(spark, sf_dir)
+    two, three = match_run(staged, two_way_counters(spark), three_way_counters(spark), RUN)
+    register_views(staged, two, three)
+    return spark.sql("""
+        SELECT m.betRadarID, m.event, CAST(m.RTP AS DOUBLE) AS RTP, m.bookmaker1, m.bet1, m.bookmaker2, m.bet2
+        FROM bet_matches_two_outcomes m
+        WHERE m.RTP > 95 AND EXISTS (
+            SELECT 1 FROM quotes o WHERE o.betRadarID = m.betRadarID AND o.bet = 'OTHER')
+        ORDER BY RTP DESC""")
+
+
 QUERIES = {
+    "table_cycle": table_cycle,
+    "dictionary_read": dictionary_read,
+    "adhoc_sql": adhoc_sql,
     "merge_first": merge_first,
     "merge_last": merge_last,
     "upsert_purge": upsert_purge,
@@ -105,7 +147,18 @@ _CUSTOMER_SQL = """c AS (SELECT o_custkey AS "betRadarID", o_orderpriority AS be
   o_orderkey AS ingest_seq FROM orders)"""
 _FIRST = 'PARTITION BY "betRadarID", bet ORDER BY ingest_seq'
 
+_RAW = 'a."betOdd"::DOUBLE * (1::DOUBLE - 1::DOUBLE / b."betOdd"::DOUBLE) * 100::DOUBLE'
+
 SQL = {
+    "table_cycle": f"WITH {_CUSTOMER_SQL} SELECT *, 'copy' AS source FROM c",
+    "dictionary_read": """SELECT 'U/O "' || p_partkey || '",5 <> ' || p_type AS original,
+      p_brand || ', ' || p_name AS canonical FROM part""",
+    "adhoc_sql": f"""WITH {QUOTES_SQL}, {COUNTERS2_SQL},
+      m AS (SELECT a."betRadarID", a.event, {_RAW} AS raw, a.bookmaker AS bookmaker1, {sql_strip("a.bet")} AS bet1,
+        b.bookmaker AS bookmaker2, {sql_strip("b.bet")} AS bet2 FROM q a JOIN c2 ON c2.bet = a.bet
+        JOIN q b ON b."betRadarID" = a."betRadarID" AND b.bet = c2.counter AND b.bookmaker <> a.bookmaker)
+      SELECT "betRadarID", event, {sql_round2("raw")} AS "RTP", bookmaker1, bet1, bookmaker2, bet2 FROM m
+      WHERE {sql_round2("raw")} > 95 AND "betRadarID" IN (SELECT "betRadarID" FROM q WHERE bet = 'OTHER')""",
     # A key of the target keeps its row; of the others the first comes in.
     "merge_first": f"""WITH {_CUSTOMER_SQL} SELECT * FROM c QUALIFY row_number() OVER (
       PARTITION BY "betRadarID", bet ORDER BY (ingest_seq % 4 = 0) DESC, ingest_seq) = 1""",

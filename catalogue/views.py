@@ -153,9 +153,21 @@ def naive_millis(ts: Column) -> Column:
         F.unix_date(F.to_date(ts)).cast("bigint") * 86_400_000
         + F.hour(ts) * 3_600_000
         + F.minute(ts) * 60_000
-        + F.floor(seconds * 1000)
+        + F.floor(seconds * 1000).cast("bigint")
     )
 
 
+def clock_instant(ts: Column) -> Column:
+    """The instant at which a clock on UTC shows a zone-less time."""
+    micros = F.floor(F.extract(F.lit("SECONDS"), ts) * 1_000_000).cast("bigint") % 1_000
+    return F.timestamp_micros(naive_millis(ts) * 1_000 + micros)
+
+
+def clock_time(instant: Column) -> Column:
+    """What a clock on UTC shows at an instant."""
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
 def iso_text(ts: Column) -> Column:
     return F.concat(F.replace(ts.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))

@@ -237,12 +237,13 @@ def exists_elsewhere(
 def join_on_event(quotes: DataFrame, other: DataFrame) -> DataFrame:
     """Distinct (bookmaker, event) of rows with an id whose event the other has.
 
-    Only the left side is kept, so a semi-join does it without the fan-out.
+    Only the left side is kept, so a semi-join does it without the fan-out. Both
+    sides are made distinct before they are shuffled on the event.
     """
     return (
         quotes.where(F.col("betRadarID").isNotNull())
         .select("bookmaker", "event")
         .distinct()
-        .join(other.select("event"), "event", "left_semi")
+        .join(other.select("event").distinct(), "event", "left_semi")
         .select("bookmaker", "event")
     )

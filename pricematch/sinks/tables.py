@@ -8,22 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def ensure_table(spark: SparkSession, name: str, schema: str) -> DataFrame:
-    """Create the table if it is absent."""
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet")
+def ensure_table(spark: SparkSession, name: str, schema: str, path: str | None = None) -> DataFrame:
+    """Create the table if it is absent, in the warehouse or at a path."""
+    location = f" LOCATION '{path}'" if path else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet{location}")
     return spark.table(name)
 
 
 def reset_table(spark: SparkSession, name: str, drop: bool = False) -> None:
-    """Empty the table between cycles, or drop it."""
-    spark.sql(f"DROP TABLE IF EXISTS {name}" if drop else f"TRUNCATE TABLE {name}")
+    """Empty the table between cycles, or drop it.
+
+    Emptied by an overwrite, as TRUNCATE is refused for a table at a path.
+    """
+    if drop:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    else:
+        spark.createDataFrame([], spark.table(name).schema).write.insertInto(name, overwrite=True)
 
 
 def snapshot(
-    df: DataFrame, name: str, bucket_by: Sequence[str] = (), buckets: int = 200
+    df: DataFrame, name: str, bucket_by: Sequence[str] = (), buckets: int = 200,
+    path: str | None = None,
 ) -> DataFrame:
     """A copy as a table. Bucketed by its keys, later joins on them skip a shuffle."""
     writer = df.write.mode("overwrite").format("parquet")
+    if path:
+        writer = writer.option("path", path)
     if bucket_by:
         writer = writer.bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
     writer.saveAsTable(name)

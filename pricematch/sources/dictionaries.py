@@ -59,9 +59,12 @@ def three_way_counters(spark: SparkSession) -> DataFrame:
 
 
 def read_dictionary(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """A headerless CSV dictionary; the last line of a repeated key wins."""
+    """A headerless CSV dictionary; the last line of a repeated key wins.
+
+    A quote inside a quoted field is doubled.
+    """
     columns = COLUMNS[kind]
-    lines = spark.read.csv(path, schema=", ".join(f"{c} string" for c in columns))
+    lines = spark.read.csv(path, schema=", ".join(f"{c} string" for c in columns), escape='"')
     lines = lines.where(F.col(columns[0]).isNotNull())
     if kind == "allowed":
         return lines.distinct()

@@ -222,6 +222,8 @@ def test_dictionaries(spark, tmp_path):
     path.write_text('"U/O 0,5 <> Ov.0,5",first\nb,x\n"U/O 0,5 <> Ov.0,5",last\n')
     got = dictionaries.read_dictionary(spark, str(path), "labels").collect()
     assert sorted(map(tuple, got)) == [("U/O 0,5 <> Ov.0,5", "last"), ("b", "x")]
+    path.write_text('"a ""b"", c",d\n')
+    assert dictionaries.read_dictionary(spark, str(path), "labels").first().original == 'a "b", c'
     allowed = {r.bet for r in dictionaries.allowed_labels(spark).collect()}
     two = dictionaries.two_way_counters(spark)
     assert len(allowed) == 24 and two.count() == 20
