@@ -38,7 +38,7 @@ def _feed(feed: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         good = accepted(_parsed(spark, sf_dir, feed))
         quotes = accepted(normalise_quotes(good, label_dictionary(spark)))
-        return doubles(quotes, "betOdd")
+        return doubles(quotes.drop("position"), "betOdd")
 
     return query
 
@@ -81,7 +81,7 @@ def landed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _landed_quotes(spark: SparkSession, pages: DataFrame) -> DataFrame:
     parsed = feeds.parse_map_feed(pages.withColumn("tournament", F.lit("Cup")), RUN)
     quotes = accepted(normalise_quotes(accepted(parsed), label_dictionary(spark)))
-    return doubles(quotes, "betOdd")
+    return doubles(quotes.drop("position"), "betOdd")
 
 
 def quotes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

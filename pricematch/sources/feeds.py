@@ -3,7 +3,9 @@
 A parser takes (source, tournament, payload) and returns one row per price with
 a ``reason`` on those the feed got wrong. It only explodes arrays inside the
 row, so it never shuffles and serves batch and stream alike. ``betOdd`` stays
-text, with ``odd_is_number`` where the feed sends a JSON number.
+text, with ``odd_is_number`` where the feed sends a JSON number. ``position`` is
+the price's place in its page; arrays compare from the left, so it puts the
+prices of a page in their order.
 """
 
 from __future__ import annotations
@@ -22,7 +24,9 @@ from pricematch.operators.filters import has_excluded_word
 from pricematch.operators.normalise import REASON
 from pricematch.operators.shape import sum_map_values
 
-RAW_COLUMNS = ["tournament", "betRadarID", "event", "date", "bet", "betOdd", "odd_is_number"]
+RAW_COLUMNS = [
+    "tournament", "betRadarID", "event", "date", "bet", "betOdd", "odd_is_number", "position",
+]
 
 
 def _page(df: DataFrame, schema: str) -> DataFrame:
@@ -51,16 +55,21 @@ def _with_matches(page: DataFrame, events: Column, key: str) -> DataFrame:
     return page.withColumn("matches", F.map_from_entries(entries)).drop("__events", "__keys")
 
 
-def each(df: DataFrame, kept: list[str], items: Column | str, *names: str) -> DataFrame:
-    """A row per item of an array, or per entry of a map.
+def each(
+    df: DataFrame, kept: list[str], items: Column | str, *names: str, at: str | None = None
+) -> DataFrame:
+    """A row per item of an array, or per entry of a map; ``at`` names its place.
 
     An inner explode would make the optimizer infer a filter on the array, push it
     below the parsing, and so parse every page once more for it.
     """
-    return df.select(*kept, F.explode_outer(items).alias(*names)).where(F.col(names[0]).isNotNull())
+    rows = F.posexplode_outer(items).alias(at, *names) if at else F.explode_outer(items).alias(*names)
+    return df.select(*kept, rows).where(F.col(names[0]).isNotNull())
 
 
-def _finish(rows: DataFrame, kept: list[str], number: bool, *reasons: tuple[str, Column]) -> DataFrame:
+def _finish(
+    rows: DataFrame, kept: list[str], number: bool, position: list[str], *reasons: tuple[str, Column]
+) -> DataFrame:
     """Raw columns and the first reason that holds.
 
     Columns the reasons look at come first, in a step of their own: used twice,
@@ -78,6 +87,7 @@ def _finish(rows: DataFrame, kept: list[str], number: bool, *reasons: tuple[str,
         "bet",
         "betOdd",
         F.lit(number).alias("odd_is_number"),
+        F.array(*position).alias("position"),
         reason.alias(REASON),
     )
 
@@ -107,15 +117,15 @@ def parse_flat_feed(
         lambda e: (e["date"] > now) & e["Id"].isNotNull(),
     )
     page = _with_matches(_page(df, schemas.FLAT_PAGE), events, "Id")
-    rows = each(page, [*kept, "tournament", "matches"], "__page.eventsOutcome", "o")
+    rows = each(page, [*kept, "tournament", "matches"], "__page.eventsOutcome", "o", at="i")
     rows = events_to_outcomes(rows, "matches", F.col("o.EventId")).select(
-        *kept, "tournament", "match", F.col("match.ident").alias("betRadarID"),
+        *kept, "tournament", "match", "i", F.col("match.ident").alias("betRadarID"),
         F.col("match.event").alias("event"), F.col("match.date").alias("date"),
         compose_label(F.col("o.Kind.Name"), F.col("o.Name")).alias("bet"),
         F.col("o.Odds").alias("betOdd"),
     )
     return _finish(
-        rows, kept, numeric_odds,
+        rows, kept, numeric_odds, ["i"],
         ("event not listed or started", F.col("match").isNull()),
         ("not a match", F.col("event").isNull()),
         ("no label", F.col("bet").isNull()),
@@ -141,19 +151,19 @@ def parse_nested_feed(
     kept = _carried(df, ("event_key",))
     page = _page(df, schemas.NESTED_PAGE).withColumn("head", F.col("__page.head"))
     asked = ["event_key"] if "event_key" in df.columns else []
-    events = each(page, [*kept, *asked, "tournament", "head"], "__page.body", "key", "e")
+    events = each(page, [*kept, *asked, "tournament", "head"], "__page.body", "key", "e", at="i")
     if asked:
         events = events.where(F.col("key") == F.col("event_key"))
     events = events.select(
-        *kept, "tournament", "head", F.col("e.bets").alias("bets"),
+        *kept, "tournament", "head", "i", F.col("e.bets").alias("bets"),
         F.col("e.externalReferences.BetRadar").alias("ref"),
         normalise_event(F.col("e.name"), splitter).alias("event"),
         parse_iso_date(F.col("e.dateTimeUTC"), tz_mode).alias("date"),
     ).where(F.col("date").isNull() | (F.col("date") >= now))
 
-    event = [*kept, "tournament", "event", "date", "ref"]
-    markets = each(events, [*event, "head"], "bets", "code", "m").select(
-        *event, head_to_body(F.col("head"), F.col("code")).alias("type"), "m"
+    event = [*kept, "tournament", "event", "date", "ref", "i"]
+    markets = each(events, [*event, "head"], "bets", "code", "m", at="j").select(
+        *event, "j", head_to_body(F.col("head"), F.col("code")).alias("type"), "m"
     ).where(~has_excluded_word(F.col("type.name")))
 
     infos = F.col("m.additionalInfos")
@@ -171,26 +181,26 @@ def parse_nested_feed(
         )
     )
     # A market whose lines cannot be told keeps one row, for the quarantine.
-    market = [*event, "type"]
-    rows = markets.select(*event, F.col("type.name").alias("type"), lines.alias("lines"))
+    market = [*event, "j", "type"]
+    rows = markets.select(*event, "j", F.col("type.name").alias("type"), lines.alias("lines"))
     rows = rows.select(*market, "lines", F.col("lines").isNull().alias("lost"))
-    rows = rows.select(*market, "lost", F.explode_outer("lines").alias("l")).where(
+    rows = rows.select(*market, "lost", F.posexplode_outer("lines").alias("k", "l")).where(
         F.col("lost") | F.col("l.info").isNull() | (F.col("l.info.status") == 1)
     )
     rows = rows.select(
-        *market, "lost",
+        *market, "lost", "k",
         F.col("l.spread").alias("spread"),
         (F.col("l").isNotNull() & F.col("l.info").isNull()).alias("no_info"),
-        F.explode_outer(F.map_values("l.info.outcome")).alias("o"),
+        F.posexplode_outer(F.map_values("l.info.outcome")).alias("n", "o"),
     ).where(F.col("lost") | F.col("no_info") | (F.col("o.status") == 1))
     rows = rows.select(
-        *market, "lost", "no_info",
+        *market, "lost", "no_info", "k", "n",
         F.col("ref.matchId").alias("betRadarID"),
         compose_label(F.col("type"), F.col("o.label"), F.col("spread")).alias("bet"),
         F.col("o.val").alias("betOdd"),
     )
     return _finish(
-        rows, kept, numeric_odds,
+        rows, kept, numeric_odds, ["i", "j", "k", "n"],
         ("not a match", F.col("event").isNull()),
         ("no date", F.col("date").isNull()),
         ("no event id", F.col("ref").isNull()),
@@ -228,23 +238,23 @@ def parse_offer_feed(
     )
     event = [*kept, "tournament", "event", "date"]
     started = F.coalesce(F.col("date") < now, F.lit(False))
-    offers = each(events, event, F.when(~started, F.col("offers")), "b").select(
-        *event, F.col("b.criterion.label").alias("type"),
+    offers = each(events, event, F.when(~started, F.col("offers")), "b", at="i").select(
+        *event, "i", F.col("b.criterion.label").alias("type"),
         F.col("b.outcomes").alias("outcomes"), own_lines(F.col("b.outcomes")).alias("lines"),
     )
-    rows = offers.select(*event, "type", "lines", F.posexplode_outer("outcomes").alias("i", "o"))
-    rows = rows.where(F.col("o").isNotNull()).select(
-        *event, "type", "o", sticky_line(F.col("lines"), F.col("i")).alias("line")
+    offer = [*event, "i", "type"]
+    rows = each(offers, [*offer, "lines"], "outcomes", "o", at="j").select(
+        *offer, "j", "o", sticky_line(F.col("lines"), F.col("j")).alias("line")
     )
     suffix = F.when(F.col("line").isNotNull(), line_suffix(F.col("line")))
-    rows = rows.select(*event, "type", "o", suffix.alias("suffix")).select(
-        *event,
+    rows = rows.select(*offer, "j", "o", suffix.alias("suffix")).select(
+        *event, "i", "j",
         F.lit(NO_ID).alias("betRadarID"),
         compose_label(F.col("type"), F.col("o.label"), F.col("suffix")).alias("bet"),
         F.col("o.oddsFractional").alias("betOdd"),
     )
     return _finish(
-        rows, kept, False,
+        rows, kept, False, ["i", "j"],
         ("not a match", F.col("event").isNull()),
         ("no date", F.col("date").isNull()),
         ("no label", F.col("bet").isNull()),
@@ -274,14 +284,14 @@ def parse_map_feed(
     kept = _carried(df)
     page = _with_matches(_page(df, schemas.MAP_PAGE), events, "code")
     rows = each(
-        page, [*kept, "tournament", "matches"], F.map_values("__page.infoAggiuntivaMap"), "m"
+        page, [*kept, "tournament", "matches"], F.map_values("__page.infoAggiuntivaMap"), "m", at="i"
     )
     rows = events_to_outcomes(rows, "matches", F.col("m.codiceAvvenimento")).select(
-        *kept, "tournament", "match", F.col("m.descrizione").alias("type"),
+        *kept, "tournament", "match", "i", F.col("m.descrizione").alias("type"),
         F.col("m.esitoList").alias("outcomes"),
     )
-    rows = each(rows, [*kept, "tournament", "match", "type"], "outcomes", "o").select(
-        *kept, "tournament", "match",
+    rows = each(rows, [*kept, "tournament", "match", "i", "type"], "outcomes", "o", at="j").select(
+        *kept, "tournament", "match", "i", "j",
         F.col("match.ident").alias("betRadarID"),
         F.col("match.event").alias("event"),
         F.col("match.date").alias("date"),
@@ -289,7 +299,7 @@ def parse_map_feed(
         odds_from_cents(F.col("o.quota")).cast("string").alias("betOdd"),
     )
     return _finish(
-        rows, kept, False,
+        rows, kept, False, ["i", "j"],
         ("event not listed or started", F.col("match").isNull()),
         ("no label", F.col("bet").isNull()),
         ("price", F.col("betOdd").isNull()),

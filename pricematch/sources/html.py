@@ -41,10 +41,10 @@ def extract_html_quotes(
     """
     kept = [c for c in df.columns if c != column]
     # A zero-width cut before each row leaves whole rows, and the page's start.
-    blocks = each(df, kept, F.split(column, f"(?={_ROW})"), "row")
+    blocks = each(df, kept, F.split(column, f"(?={_ROW})"), "row", at="i")
     blocks = blocks.where(F.col("row").rlike(f"^{_ROW}"))
     rows = blocks.select(
-        *kept,
+        *kept, "i",
         normalise_split_event(unescape(F.regexp_extract("row", _NAME, 1)), splitter).alias("event"),
         parse_italian_date(F.regexp_extract("row", _DATE, 1), run_ts).alias("date"),
         F.arrays_zip(
@@ -52,7 +52,7 @@ def extract_html_quotes(
             F.regexp_extract_all("row", F.lit(_PRICE), 2).alias("odd"),
         ).alias("prices"),
     )
-    return each(rows, [*kept, "event", "date"], "prices", "o").select(
+    return each(rows, [*kept, "i", "event", "date"], "prices", "o", at="j").select(
         *kept,
         F.lit(NO_ID).cast("bigint").alias("betRadarID"),
         "event",
@@ -60,6 +60,7 @@ def extract_html_quotes(
         unescape(F.col("o.bet")).alias("bet"),
         F.trim("o.odd").alias("betOdd"),
         F.lit(False).alias("odd_is_number"),
+        F.array("i", "j").alias("position"),
         F.when(F.col("event").isNull(), "not a match").alias(REASON),
     )
 

@@ -48,6 +48,21 @@ def test_flat_feed(spark):
     assert reasons(out) == ["event not listed or started", "event not listed or started", "no label", "not a match"]
 
 
+def test_first_price_of_a_page_wins(spark):
+    from pricematch.operators.match import tag_bookmaker
+    from pricematch.plans.runs import collect_quotes
+
+    event = {"Id": 1, "BetRadarId": 88, "Name": "Juventus-Napoli", "StartDate": "/Date(1616360400000+0100)/"}
+    odds = lambda *prices: {"events": [event], "eventsOutcome": [
+        {"EventId": 1, "Kind": {"Name": "1X2 Finale"}, "Name": "1", "Odds": p} for p in prices]}
+    first = pages(spark, odds("bad", 1.5, 1.4)).withColumn("ingest_seq", F.lit(1))
+    later = pages(spark, odds(1.3)).withColumn("ingest_seq", F.lit(2))
+    raw = feeds.parse_flat_feed(first.unionByName(later).repartition(3), RUN)
+    good, bad = collect_quotes(spark, tag_bookmaker(raw, "SportPesa"))
+    assert [r.betOdd for r in good.collect()] == [Decimal("1.50")]
+    assert [r.reason for r in bad.collect()] == ["price"]
+
+
 def nested_page(bets, when="2021-03-21T19:45:00Z", ref=None, name="AC Milan - Inter"):
     return {
         "head": {
