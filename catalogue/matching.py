@@ -176,8 +176,8 @@ SQL = {
     "two_way_harmonic": _WITH2 + _legs(2, _HARMONIC2, _JOIN2, strip=False),
     "three_way_hedge": _WITH3 + _legs(3, _HEDGE3, _JOIN3),
     "three_way_harmonic": _WITH3 + _legs(3, _HARMONIC3, _JOIN3, strip=False),
-    # The OR over whole tables is too slow here; the event bounds the join and
-    # the OR is then judged in full, as rows of one id or name share a date.
+    # Rows that share an id or a name also share their date in this view, so the
+    # date makes it a join on equality; the OR is judged in full.
     "fuzzy_match": f"WITH {LOOSE_SQL}, {COUNTERS2_SQL} " + _legs(
         2, _HARMONIC2,
         """FROM e a JOIN c2 ON c2.bet = a.bet

@@ -35,3 +35,20 @@ def read_feed(spark: SparkSession, path: str, bookmaker: str, whole_file: bool =
         F.col("_metadata.file_path").alias("source"),
         F.col("value").alias("payload"),
     )
+
+
+def name_tournaments(
+    pages: DataFrame, tournaments: DataFrame, pattern: str, id_column: str = "tournament_id"
+) -> DataFrame:
+    """Give pages the tournament their file is named after.
+
+    ``pattern`` finds the id in the page's ``source``; ``tournaments`` is what
+    ``flatten_schedule`` gives, one row per id. A page of an unlisted tournament
+    was never asked for, and is dropped.
+    """
+    names = tournaments.select(F.col(id_column).cast("string").alias("__id"), "tournament")
+    return (
+        pages.withColumn("__id", F.regexp_extract("source", pattern, 1))
+        .join(names.dropDuplicates(["__id"]), "__id")
+        .drop("__id")
+    )

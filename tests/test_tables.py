@@ -167,3 +167,13 @@ def test_read_feed(spark, tmp_path):
     assert sorted(r.payload for r in whole.collect()) == ['{"x":\n1}', '{"x": 2}']
     assert whole.columns == ["bookmaker", "source", "payload"]
     assert read_feed(spark, str(tmp_path), "Sisal", whole_file=False).count() == 3
+
+
+def test_pages_get_their_tournament(spark, tmp_path):
+    from pricematch.sources.quotes import name_tournaments, read_feed
+
+    (tmp_path / "odds-7.json").write_text("{}")
+    (tmp_path / "odds-8.json").write_text("{}")
+    listed = spark.createDataFrame([(7, "Serie A"), (9, "Liga")], "tournament_id bigint, tournament string")
+    pages = name_tournaments(read_feed(spark, str(tmp_path), "SportPesa"), listed, r"odds-(\d+)\.json")
+    assert [(r.tournament, r.payload) for r in pages.collect()] == [("Serie A", "{}")]
