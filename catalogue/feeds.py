@@ -49,6 +49,18 @@ def feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.groupBy("bookmaker", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of four feeds, some of them broken on the way."""
+    found = []
+    for feed, build in (("flat", payloads.flat), ("nested", payloads.nested), ("offer", payloads.offer), ("map", payloads.mapped)):
+        pages = build(payloads.orders(spark, sf_dir))
+        broken = F.when(F.col("ingest_seq") % 5 == 0, F.replace("payload", F.lit(":"), F.lit(";")))
+        broken = broken.when(F.col("ingest_seq") % 5 == 1, F.lit("<html>busy</html>")).otherwise(F.col("payload"))
+        bad = feeds.unreadable_pages(pages.withColumn("payload", broken), feed)
+        found.append(bad.select("ingest_seq", F.lit(feed).alias("feed"), "reason"))
+    return union_feeds(*found)
+
+
 def html_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
     found = html.extract_html_quotes(payloads.html(pages), HTML_RUN)
@@ -135,6 +147,7 @@ QUERIES = {
     "offer_feed": _feed("offer"),
     "map_feed": _feed("map"),
     "feed_rejects": feed_rejects,
+    "unreadable_pages": unreadable,
     "html_quotes": html_quotes,
     "schedule_flat": _schedule("flat"),
     "schedule_nested": _schedule("nested"),
@@ -229,6 +242,8 @@ SQL = {
       UNION ALL SELECT 'SportPesa', 'not a match', later FROM o
       UNION ALL SELECT 'AdmiralYes', 'unknown market or line', 2 * open FROM o
       UNION ALL SELECT 'Sisal', 'event not listed or started', later + 4 * (total - later) FROM o""",
+    "unreadable_pages": """SELECT o_orderkey AS ingest_seq, feed, 'unreadable page' AS reason FROM orders
+      CROSS JOIN (VALUES ('flat'), ('nested'), ('offer'), ('map')) AS t(feed) WHERE o_orderkey % 5 < 2""",
     "html_quotes": """WITH p AS (SELECT *, '1.' || lpad((page_id % 100)::VARCHAR, 2, '0') AS odd,
         'HOME' || page_id || ' - AWAY' || (page_id + 1) AS event,
         TIMESTAMP '2021-04-27 12:00:00' + to_minutes(CAST(page_id % 60 AS INTEGER)) AS date FROM pages)

@@ -101,7 +101,7 @@ def nested(df: DataFrame) -> DataFrame:
 def offer(df: DataFrame) -> DataFrame:
     """One event with fractional prices; a line holds until the next one."""
     outcome = lambda line, label, n, d: F.struct(
-        F.lit(line).cast("bigint").alias("line"), F.lit(label).alias("label"),
+        F.lit(line).cast("int").alias("line"), F.lit(label).alias("label"),
         text(n.cast("bigint"), "/", d.cast("bigint")).alias("oddsFractional"))
     n, d = customer() % 30 + 1, order_key() % 16 + 1
     bet = lambda label, *outs: F.struct(F.struct(F.lit(label).alias("label")).alias("criterion"), F.array(*outs).alias("outcomes"))

@@ -20,9 +20,10 @@ MATCHES3 = (
     "bookmaker3 string, bet3 string, betOdd3 decimal(10,2), insertingdate timestamp_ntz"
 )
 
-# Odds pages. Prices are read as text so that both 1.85 and "1.85" survive.
+# Odds pages. Prices and shared ids are read as text, so that both 1.85 and
+# "1.85" survive.
 FLAT_PAGE = (
-    "struct<events:array<struct<Id:bigint,BetRadarId:bigint,Name:string,StartDate:string>>,"
+    "struct<events:array<struct<Id:bigint,BetRadarId:string,Name:string,StartDate:string>>,"
     "eventsOutcome:array<struct<EventId:bigint,Kind:struct<Name:string>,Name:string,Odds:string>>>"
 )
 
@@ -30,7 +31,7 @@ NESTED_PAGE = (
     "struct<head:map<string,struct<name:string,"
     "spreadOptions:map<string,struct<key:string,display:string>>>>,"
     "body:map<string,struct<name:string,dateTimeUTC:string,"
-    "externalReferences:struct<BetRadar:struct<matchId:bigint>>,"
+    "externalReferences:struct<BetRadar:struct<matchId:string>>,"
     "bets:map<string,struct<hasSpread:boolean,additionalInfos:map<string,struct<status:int,"
     "outcome:map<string,struct<status:int,label:string,val:string>>>>>>>>>"
 )
@@ -38,12 +39,12 @@ NESTED_PAGE = (
 OFFER_PAGE = (
     "struct<events:array<struct<`group`:string,start:string,name:string>>,"
     "betOffers:array<struct<criterion:struct<label:string>,"
-    "outcomes:array<struct<line:bigint,label:string,oddsFractional:string>>>>>"
+    "outcomes:array<struct<line:double,label:string,oddsFractional:string>>>>>"
 )
 
 MAP_PAGE = (
     "struct<avvenimentoFeList:array<struct<data:string,codiceAvvenimento:bigint,"
-    "descrizione:string,externalProviderInfoList:array<struct<idAvvProviderLive:bigint>>>>,"
+    "descrizione:string,externalProviderInfoList:array<struct<idAvvProviderLive:string>>>>,"
     "infoAggiuntivaMap:map<string,struct<codiceAvvenimento:bigint,descrizione:string,"
     "esitoList:array<struct<descrizione:string,quota:bigint>>>>>"
 )

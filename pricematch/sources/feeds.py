@@ -55,6 +55,25 @@ def _with_matches(page: DataFrame, events: Column, key: str) -> DataFrame:
     return page.withColumn("matches", F.map_from_entries(entries)).drop("__events", "__keys")
 
 
+PAGES = {
+    "flat": schemas.FLAT_PAGE,
+    "nested": schemas.NESTED_PAGE,
+    "offer": schemas.OFFER_PAGE,
+    "map": schemas.MAP_PAGE,
+}
+
+
+def unreadable_pages(df: DataFrame, feed: str) -> DataFrame:
+    """Pages that are not JSON of the feed's form, for the quarantine.
+
+    The parsers find nothing in them. A page that says nothing reads ``{}``.
+    """
+    parsed = F.from_json("payload", PAGES[feed])
+    return df.withColumn(REASON, F.when(F.coalesce(F.to_json(parsed), F.lit("{}")) == "{}", "unreadable page")).where(
+        F.col(REASON).isNotNull()
+    )
+
+
 def each(
     df: DataFrame, kept: list[str], items: Column | str, *names: str, at: str | None = None
 ) -> DataFrame:
@@ -81,7 +100,7 @@ def _finish(
     return rows.select(
         *kept,
         "tournament",
-        F.col("betRadarID").cast("bigint").alias("betRadarID"),
+        F.col("betRadarID").try_cast("bigint").alias("betRadarID"),
         "event",
         "date",
         "bet",
@@ -211,7 +230,7 @@ def parse_nested_feed(
 
 def own_lines(outcomes: Column) -> Column:
     """The line of each outcome; 0 counts as none."""
-    return F.transform(outcomes, lambda o: F.nullif(o["line"], F.lit(0).cast("bigint")))
+    return F.transform(outcomes, lambda o: F.nullif(o["line"], F.lit(0.0)))
 
 
 def sticky_line(lines: Column, position: Column) -> Column:
@@ -274,7 +293,7 @@ def parse_map_feed(
             F.col("__page.avvenimentoFeList"),
             lambda e: F.struct(
                 e["codiceAvvenimento"].alias("code"),
-                F.get(e["externalProviderInfoList"], 0)["idAvvProviderLive"].alias("ident"),
+                F.get(e["externalProviderInfoList"], 0)["idAvvProviderLive"].try_cast("bigint").alias("ident"),
                 normalise_event(e["descrizione"], splitter).alias("event"),
                 parse_iso_date(e["data"], tz_mode).alias("date"),
             ),

@@ -135,6 +135,22 @@ def test_offer_feed_line_sticks(spark):
     assert {q[3] for q in quotes(out)} == {-1}
 
 
+def test_ids_and_lines_in_either_form(spark):
+    bets = {"3": {"hasSpread": False, "additionalInfos": {"0": info(outcome("1", "2.105"))}}}
+    page = nested_page(bets, ref={"BetRadar": {"matchId": "26587112"}})
+    out = feeds.parse_nested_feed(pages(spark, page), RUN, numeric_odds=False)
+    assert [(q[2], q[3]) for q in quotes(out)] == [("2.105", 26587112)]
+    out = feeds.parse_offer_feed(pages(spark, offer_page([2500.0, 0.0])), RUN)
+    assert [q[1] for q in quotes(out)] == ["T 2.5 <> o0", "T 2.5 <> o1"]
+
+
+def test_unreadable_pages(spark):
+    rows = [("{}",), ("<html>",), ('{"events": [{"Id": 1}]}',), (None,), ('{"other": 1}',)]
+    df = spark.createDataFrame(rows, "payload string")
+    got = feeds.unreadable_pages(df, "flat").collect()
+    assert [r.payload for r in got] == ["{}", "<html>", None, '{"other": 1}']
+
+
 def test_map_feed(spark):
     event = lambda code, ident, name="AC Milan - Inter", when="2021-03-21T19:45:00Z": {
         "data": when, "codiceAvvenimento": code, "descrizione": name,
