@@ -5,8 +5,8 @@ from __future__ import annotations
 from datetime import datetime
 
 from catalogue import payloads
-from catalogue.views import COUNTERS2_SQL, COUNTERS3_SQL, doubles, spread, sql_round2, sql_strip, table
-from pricematch.operators.match import match_two_way, tag_bookmaker
+from catalogue.views import COUNTERS3_SQL, doubles, spread, sql_round2, sql_strip, table
+from pricematch.operators.match import tag_bookmaker
 from pricematch.operators.normalise import accepted, normalise_quotes, rejected
 from pricematch.operators.shape import union_feeds
 from pricematch.plans.runs import collect_quotes, match_run, refresh_matches, resolve_quotes
