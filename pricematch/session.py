@@ -12,6 +12,10 @@ from pyspark.sql import SparkSession
 def local_session(name: str = "pricematch", cpus: int | None = None) -> SparkSession:
     """A session for tests and the bench. On a cluster, use the cluster's own."""
     cpus = cpus or 8
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    seen = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in seen:  # Python workers take it over
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, seen)])
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
@@ -34,14 +38,12 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session without that setting gets a folder of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = os.path.join(tempfile.gettempdir(), "pricematch-scratch")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return os.path.join(tempfile.gettempdir(), f"pricematch-{spark.sparkContext.applicationId}")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -16,15 +16,19 @@ def con():
     return con
 
 
+OWN = {name: fn for module in entry.MODULES for name, fn in module.QUERIES.items()}
+
+
 def test_names():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(OWN) == {name for module in entry.MODULES for name in module.SQL}
+    assert set(OWN) <= set(entry.queries())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(OWN))
 def test_query(spark, con, name):
     df = entry.queries()[name](spark, SF_DIR)
     cur = con.execute(entry.oracle_sql()[name])
