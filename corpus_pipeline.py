@@ -1,29 +1,61 @@
-"""A corpus cleaned in stages. Each takes (spark, docs, sf_dir) and its result is written and read again for the next."""
+"""A corpus cleaned in stages. Each takes (spark, docs, sf_dir) and its result is written and read again for the next.
+
+Every stage but the last returns the columns of its input. Rows leave where a stage says so: documents that the quality
+rules reject, all but one of each group of near-duplicates, documents that hold a benchmark passage. Secrets are
+masked in the texts that stay, and ``n_chars`` follows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricematch.llm import minhash, packing
+from pricematch.llm import decontaminate, minhash, packing, quality_rules, secret_scan
 from pricematch.llm.common import new_folder, ship, table
 from pricematch.llm.queries import TOKENIZER
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor the decision list learned from ``labels`` reject."""
+    return quality_rules.keep_good(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates the document with the smallest id; of repeated rows of it, one."""
+    """Of every group of near-duplicates (five-word shingles, 0.8) the document with the smallest id; of repeated rows, one."""
     ship(spark)
     kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of ``benchmark``."""
+    ship(spark)
+    return decontaminate.clean(docs, decontaminate.load(table(spark, sf_dir, "benchmark")))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked; a document without one is untouched."""
+    ship(spark)
+    kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
+    old = docs.withColumnRenamed("text", "__old").withColumn("text", F.col("__old"))
+    out = secret_scan.redact(old, secret_scan.fit(docs))
+    if kind is not None:
+        changed = F.col("text") != F.col("__old")
+        out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 tokens."""
     ship(spark)
     return packing.pack(docs, TOKENIZER)
 
 
 STAGES = [
+    ("quality_rules", good_quality),
     ("near_dedup", one_of_each),
+    ("decontamination", without_benchmark),
+    ("secret_scans", without_secrets),
     ("packing", packed),
 ]
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, records
+from . import chat, decontaminate, licences, minhash, nbsvm, packing, quality_rules, records, secret_scan, wrappers
 from .common import new_folder, ship, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -22,14 +22,47 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.score(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels"))).drop("rule")
+
+
+def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = nbsvm.fit(docs, labels.filter(~held_out))
+    return nbsvm.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = wrappers.extract(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), decontaminate.load(table(spark, sf_dir, "benchmark")))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +73,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES = {f.__name__: _shipped(f) for f in (
-    op1_token_records, op3_minhash, op9_packing,
+    op1_token_records, op2_secrets, op3_minhash, op4_quality_rules, op5_perspectives, op6_licences,
+    op7_quality_classifier, op8_main_text, op9_packing, op10_decontaminate,
 )}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_perspectives": chat.PERSPECTIVES_SQL, "op6_licences": licences.SCAN_SQL}
