@@ -12,7 +12,7 @@ from pricematch.operators.shape import union_feeds
 from pricematch.plans.runs import collect_quotes, match_run, refresh_matches, resolve_quotes
 from pricematch.schemas import MATCHES2, MATCHES3
 from pricematch.session import scratch_path
-from pricematch.sinks.tables import read_version, write_version
+from pricematch.sinks.tables import read_version, write_quarantine, write_version
 from pricematch.sources import feeds, html
 from pricematch.sources.dictionaries import label_dictionary, three_way_counters, two_way_counters
 from pricematch.sources.quotes import read_feed
@@ -49,14 +49,17 @@ def feed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.groupBy("bookmaker", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _broken(pages: DataFrame) -> DataFrame:
+    broken = F.when(F.col("ingest_seq") % 5 == 0, F.replace("payload", F.lit(":"), F.lit(";")))
+    broken = broken.when(F.col("ingest_seq") % 5 == 1, F.lit("<html>busy</html>")).otherwise(F.col("payload"))
+    return pages.withColumn("payload", broken)
+
+
 def unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of four feeds, some of them broken on the way."""
     found = []
     for feed, build in (("flat", payloads.flat), ("nested", payloads.nested), ("offer", payloads.offer), ("map", payloads.mapped)):
-        pages = build(payloads.orders(spark, sf_dir))
-        broken = F.when(F.col("ingest_seq") % 5 == 0, F.replace("payload", F.lit(":"), F.lit(";")))
-        broken = broken.when(F.col("ingest_seq") % 5 == 1, F.lit("<html>busy</html>")).otherwise(F.col("payload"))
-        bad = feeds.unreadable_pages(pages.withColumn("payload", broken), feed)
+        bad = feeds.unreadable_pages(_broken(build(payloads.orders(spark, sf_dir))), feed)
         found.append(bad.select("ingest_seq", F.lit(feed).alias("feed"), "reason"))
     return union_feeds(*found)
 
@@ -86,8 +89,9 @@ def landed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Land the pages as text, a page per line, and parse what is read back."""
     path = scratch_path(spark, "landed")
     payloads.mapped(payloads.orders(spark, sf_dir)).select("payload").write.text(path)
-    pages = read_feed(spark, path, "Sisal", whole_file=False).drop("source")
-    return _landed_quotes(spark, pages)
+    pages = read_feed(spark, path, "Sisal", whole_file=False).withColumn("tournament", F.lit("Cup"))
+    quotes, _ = collect_quotes(spark, feeds.parse_map_feed(pages, RUN))
+    return doubles(quotes, "betOdd")
 
 
 def _landed_quotes(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -136,9 +140,18 @@ def resolved_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = [_parsed(spark, sf_dir, f) for f in ("flat", "nested", "offer", "map")]
-    _, bad = collect_quotes(spark, *parsed)
-    return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    """What a run over partly broken pages rejects, written to the quarantine and counted there."""
+    raw = []
+    for feed, build, parse, bookmaker in (
+        ("flat", payloads.flat, feeds.parse_flat_feed, "SportPesa"), ("nested", payloads.nested, feeds.parse_nested_feed, "AdmiralYes"),
+        ("offer", payloads.offer, feeds.parse_offer_feed, "888Sport"), ("map", payloads.mapped, feeds.parse_map_feed, "Sisal"),
+    ):
+        pages = _broken(build(payloads.orders(spark, sf_dir)))
+        raw.append(tag_bookmaker(union_feeds(parse(pages, RUN), feeds.unreadable_pages(pages, feed)), bookmaker))
+    _, bad = collect_quotes(spark, *raw)
+    path = scratch_path(spark, "quarantine")
+    write_quarantine(bad.select("bookmaker", "ingest_seq", "reason"), path)
+    return spark.read.parquet(path).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {
@@ -205,7 +218,7 @@ _MAP = _quotes("Sisal", "o_orderkey + 1", True, ("1X2 <> 1", _price(3)), ("1X2 <
 # Rows without an id take the one their event has elsewhere, or are dropped.
 _RESOLVED = f"""u AS ({_FLAT} UNION ALL {_NESTED} UNION ALL {_OFFER} UNION ALL {_MAP}),
 found AS (SELECT event, date, min("betRadarID") AS id FROM u WHERE "betRadarID" <> -1 GROUP BY event, date),
-r AS (SELECT bookmaker, tournament, CASE WHEN "betRadarID" = -1 THEN id ELSE "betRadarID" END AS "betRadarID",
+r AS MATERIALIZED (SELECT bookmaker, tournament, CASE WHEN "betRadarID" = -1 THEN id ELSE "betRadarID" END AS "betRadarID",
   event, date, bet, "betOdd" FROM u LEFT JOIN found USING (event, date)
   WHERE "betRadarID" <> -1 OR id IS NOT NULL)"""
 _LINES = [f"U/O {n}.5 <> {a} {n}.5" for n in range(7) for a in ("OVER", "UNDER")]
@@ -266,9 +279,10 @@ SQL = {
     "quotes_stream": f"SELECT * EXCLUDE (ingest_seq) REPLACE ('Cup' AS tournament) FROM ({_MAP})",
     "resolved_quotes": f"WITH {_RESOLVED} SELECT * FROM r",
     "run_quarantine": """WITH o AS (SELECT count(*) AS total, count(*) FILTER (WHERE o_orderdate > TIMESTAMP '1997-01-01') AS later,
-        count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1997-01-01') AS open FROM orders)
+        count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1997-01-01') AS open FROM orders WHERE o_orderkey % 5 >= 2)
       SELECT 'event not listed or started' AS reason, 2 * later + 8 * (total - later) AS n FROM o
-      UNION ALL SELECT 'not a match', later FROM o UNION ALL SELECT 'unknown market or line', 2 * open FROM o""",
+      UNION ALL SELECT 'not a match', later FROM o UNION ALL SELECT 'unknown market or line', 2 * open FROM o
+      UNION ALL SELECT 'unreadable page', 4 * count(*) FROM orders WHERE o_orderkey % 5 < 2""",
     "match_run_two_way": f"WITH {_RESOLVED}, {_LIVE2} " + _matches(
         2, 'a."betOdd" * (1::DOUBLE - 1::DOUBLE / b."betOdd") * 100::DOUBLE',
         """JOIN c2 ON c2.bet = a.bet JOIN r b ON b."betRadarID" = a."betRadarID"

@@ -8,6 +8,8 @@ from catalogue.views import (
 )
 from pricematch.operators import filters, match, shape
 from pricematch.operators.identity import backfill_ids
+from pricematch.session import scratch_path
+from pricematch.sinks.tables import write_version
 from pricematch.sources.dictionaries import three_way_counters, two_way_counters
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -57,13 +59,25 @@ def lookup_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(match.lookup_counter(quotes(spark, sf_dir), two_way_counters(spark)), "betOdd")
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quotes as a run stores them: the back-fill reads them twice."""
+    base = scratch_path(spark, "loose-quotes")
+    return spark.read.parquet(write_version(loose_quotes(spark, sf_dir), base, 0))
+
+
 def backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = filters.drop_unresolved(backfill_ids(loose_quotes(spark, sf_dir)))
+    resolved = filters.drop_unresolved(backfill_ids(_stored(spark, sf_dir)))
     return doubles(resolved, "betOdd")
 
 
+def loose_two_way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes that lack an id match nothing."""
+    found = match.match_two_way(loose_quotes(spark, sf_dir), two_way_counters(spark))
+    return doubles(found, *PRICES2)
+
+
 def backfilled_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = filters.drop_unresolved(backfill_ids(loose_quotes(spark, sf_dir)))
+    resolved = filters.drop_unresolved(backfill_ids(_stored(spark, sf_dir)))
     return doubles(match.match_two_way(resolved, two_way_counters(spark)), *PRICES2)
 
 
@@ -115,6 +129,7 @@ QUERIES = {
     "top_rtp": top_rtp,
     "rtp_over_95": rtp_over_95,
     "lookup_counter": lookup_counter,
+    "loose_two_way": loose_two_way,
     "backfill_ids": backfilled,
     "backfilled_matches": backfilled_matches,
     "same_selection": same_selection,
@@ -171,35 +186,32 @@ r AS (SELECT bookmaker, tournament,
 _SAME = """SELECT a."betRadarID", a.bet, a.bookmaker, a.tournament, a.event, a.date,
   a."betOdd"::DOUBLE AS "betOdd", b.bookmaker AS bookmaker2, b."betOdd"::DOUBLE AS "betOdd2" """
 
+# The link in full, id OR (name AND date), as the two joins it is made of.
+_ID, _NAME = '(b."betRadarID" <> -1 AND b."betRadarID" = a."betRadarID")', "(b.event = a.event AND b.date = a.date)"
+_PAIR = "FROM e a JOIN c2 ON c2.bet = a.bet JOIN e b ON b.bet = c2.counter AND b.bookmaker <> a.bookmaker"
+_LINKED = f"SELECT a, b {_PAIR} AND {_ID} UNION ALL SELECT a, b {_PAIR} AND {_NAME} AND NOT {_ID}"
+_PAIR3 = _PAIR.replace("c2.counter", "c3.counter1").replace("c2", "c3")
+_ID_A, _ID_B = '(c."betRadarID" <> -1 AND c."betRadarID" = p.a."betRadarID")', '(c."betRadarID" <> -1 AND c."betRadarID" = p.b."betRadarID")'
+_NAME_A = "(c.event = p.a.event AND c.date = p.a.date)"
+_THIRD = "SELECT p.a AS a, p.b AS b, c FROM p JOIN e c ON c.bet = p.k AND c.bookmaker <> p.a.bookmaker AND c.bookmaker <> p.b.bookmaker"
+_LINKED3 = f"""p AS (SELECT a, b, c3.counter2 AS k {_PAIR3} AND {_ID} UNION ALL SELECT a, b, c3.counter2 {_PAIR3} AND {_NAME} AND NOT {_ID}),
+t AS ({_THIRD} AND {_ID_A} UNION ALL {_THIRD} AND {_ID_B} AND NOT {_ID_A} UNION ALL {_THIRD} AND {_NAME_A} AND NOT {_ID_A} AND NOT {_ID_B}) """
+
 SQL = {
     "two_way_hedge": _WITH2 + _legs(2, _HEDGE2, _JOIN2),
     "two_way_harmonic": _WITH2 + _legs(2, _HARMONIC2, _JOIN2, strip=False),
     "three_way_hedge": _WITH3 + _legs(3, _HEDGE3, _JOIN3),
     "three_way_harmonic": _WITH3 + _legs(3, _HARMONIC3, _JOIN3, strip=False),
-    # Rows that share an id or a name also share their date in this view, so the
-    # date makes it a join on equality; the OR is judged in full.
-    "fuzzy_match": f"WITH {LOOSE_SQL}, {COUNTERS2_SQL} " + _legs(
-        2, _HARMONIC2,
-        """FROM e a JOIN c2 ON c2.bet = a.bet
-  JOIN e b ON b.bet = c2.counter AND b.bookmaker <> a.bookmaker AND b.date = a.date
-    AND ((b."betRadarID" <> -1 AND b."betRadarID" = a."betRadarID") OR b.event = a.event)""",
-        strip=False),
-    "fuzzy_three_way": f"WITH {LOOSE_SQL}, {COUNTERS3_SQL} " + _legs(
-        3, _HARMONIC3,
-        """FROM e a JOIN c3 ON c3.bet = a.bet
-  JOIN e b ON b.bet = c3.counter1 AND b.bookmaker <> a.bookmaker AND b.date = a.date
-    AND ((b."betRadarID" <> -1 AND b."betRadarID" = a."betRadarID") OR b.event = a.event)
-  JOIN e c ON c.bet = c3.counter2 AND c.bookmaker <> a.bookmaker AND c.bookmaker <> b.bookmaker
-    AND c.date = a.date
-    AND ((c."betRadarID" <> -1 AND (c."betRadarID" = a."betRadarID" OR c."betRadarID" = b."betRadarID"))
-      OR c.event = a.event)""",
-        strip=False),
+    "fuzzy_match": f"WITH {LOOSE_SQL}, {COUNTERS2_SQL} " + _legs(2, _HARMONIC2, f"FROM ({_LINKED}) p", strip=False),
+    "fuzzy_three_way": f"WITH {LOOSE_SQL}, {COUNTERS3_SQL}, " + _LINKED3 + _legs(3, _HARMONIC3, "FROM t", strip=False),
     "top_rtp": _WITH2 + 'SELECT * FROM (' + _legs(2, _HEDGE2, _JOIN2) + """) WHERE "RTP" > 95
   ORDER BY "RTP" DESC, tournament, "betRadarID", event, date, bookmaker1, bet1, "betOdd1",
     bookmaker2, bet2, "betOdd2" LIMIT 50""",
     "rtp_over_95": _WITH2 + 'SELECT * FROM (' + _legs(2, _HEDGE2, _JOIN2) + ') WHERE "RTP" > 95',
     "lookup_counter": _WITH2 + """SELECT bookmaker, tournament, "betRadarID", event, date, q.bet,
   "betOdd"::DOUBLE AS "betOdd", counter FROM q JOIN c2 ON c2.bet = q.bet""",
+    "loose_two_way": f"WITH {LOOSE_SQL}, {COUNTERS2_SQL} " + _legs(
+        2, _HEDGE2, f"FROM (SELECT a, b {_PAIR} AND {_ID}) p"),
     "backfill_ids": f"WITH {LOOSE_SQL}{_BACKFILL} " + """SELECT bookmaker, tournament, "betRadarID",
   event, date, bet, "betOdd"::DOUBLE AS "betOdd" FROM r WHERE "betRadarID" <> -1""",
     "backfilled_matches": f"WITH {LOOSE_SQL}{_BACKFILL}, {COUNTERS2_SQL} " + _legs(

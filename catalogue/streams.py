@@ -7,7 +7,6 @@ from datetime import datetime
 from catalogue.views import COUNTERS2_SQL, SELECTIONS, choose, clock_instant, clock_time, doubles, sql_round2, table
 from pricematch.fixed_values import QUOTE_KEYS
 from pricematch.session import scratch_path
-from pricematch.sinks.tables import read_version
 from pricematch.sources.dictionaries import two_way_counters
 from pricematch.streaming import cycle
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -57,7 +56,7 @@ def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cycle.stream_match(_stream(spark, sf_dir), two_way_counters(spark), "seen", "1 hour", "6 hours")
-    found = found.withColumn("window_start", clock_time(F.col("window_start")))
+    found = found.withColumns({c: clock_time(F.col(c)) for c in ("seen1", "seen2")})
     return doubles(cycle.run_to_files(found, "stream-match"), "betOdd1", "betOdd2")
 
 
@@ -66,32 +65,42 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(cycle.run_to_files(kept.drop("seen"), "stream-late"), "betOdd")
 
 
+RUN_TIME = "1999-06-01 00:00:00"
 RESULTS = "betRadarID bigint, RTP double, event string, insertingdate timestamp_ntz"
 
 
+PARTS = 4
+
+
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upsert new results into those of an earlier run, then purge what is stale."""
+    """A run of several flushes into an earlier run's results, and its one purge.
+
+    Results are landed a file at a time and read a file per batch; a customer comes several
+    times within a batch and over batches, and each batch has a time of its own.
+    """
     base = scratch_path(spark, "stream-upsert")
     orders = table(spark, sf_dir, "orders")
-    old = orders.where("o_orderkey % 3 <> 0").select(
-        F.col("o_orderkey").alias("betRadarID"), F.col("o_totalprice").alias("RTP"),
-        F.concat(F.lit("OLD "), F.col("o_orderstatus")).alias("event"),
-        F.col("o_orderdate").alias("insertingdate"),
+    part = (F.col("o_orderkey") % PARTS).cast("int")
+    new = orders.select(
+        F.col("o_custkey").alias("betRadarID"), F.col("o_totalprice").alias("RTP"),
+        F.concat(F.lit("NEW "), F.col("o_orderkey")).alias("event"),
+        (F.lit(RUN_TIME).cast("timestamp_ntz") + F.make_dt_interval(mins=part)).alias("insertingdate"),
+        F.col("o_orderkey").alias("seq"), part.alias("part"),
     )
-    run = datetime(1999, 6, 1)
-    arriving = cycle.quotes_stream(spark, f"{sf_dir}/orders.parquet", ORDERS)
-    new = arriving.where("o_orderkey % 2 = 0").select(
-        F.col("o_orderkey").alias("betRadarID"), (F.col("o_totalprice") + 1).alias("RTP"),
-        F.concat(F.lit("NEW "), F.col("o_orderstatus")).alias("event"),
-        F.lit(run.isoformat(sep=" ")).cast("timestamp_ntz").alias("insertingdate"),
+    for k in range(PARTS):
+        new.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{base}/landed")
+    old = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(
+        F.col("c_custkey").alias("betRadarID"), F.col("c_acctbal").alias("RTP"),
+        F.concat(F.lit("OLD "), F.col("c_custkey")).alias("event"),
+        F.lit("1999-05-01 00:00:00").cast("timestamp_ntz").alias("insertingdate"),
     )
+    keys = ["betRadarID"]
     query = cycle.stream_upsert(
-        new, f"{base}/state", RESULTS, f"{base}/checkpoint", ["betRadarID"], ["RTP", "insertingdate"],
-        run, old,
+        cycle.quotes_stream(spark, f"{base}/landed/", f"{RESULTS}, seq bigint", max_files=1),
+        f"{base}/state", RESULTS, f"{base}/checkpoint", keys, ["RTP", "insertingdate"], old, ["seq"],
     )
     query.awaitTermination()
-    done = query.lastProgress
-    return read_version(spark, f"{base}/state", done["batchId"] + 1 if done else 0, RESULTS)
+    return cycle.finish_cycle(spark, f"{base}/state", RESULTS, keys, query.lastProgress["batchId"] + 1, datetime.fromisoformat(RUN_TIME))
 
 
 QUERIES = {
@@ -113,25 +122,20 @@ SQL = {
     "stream_merge": f"""WITH {STREAM_SQL} SELECT bookmaker, "betRadarID", event, date, bet,
   "betOdd"::DOUBLE AS "betOdd", ingest_seq FROM s
   QUALIFY row_number() OVER (PARTITION BY bookmaker, "betRadarID", event, bet ORDER BY ingest_seq) = 1""",
-    # Windows still open at the last watermark have not been sent out.
-    "stream_match": f"""WITH {STREAM_SQL}, {COUNTERS2_SQL},
-  w AS (SELECT time_bucket(INTERVAL 6 HOURS, date, TIMESTAMP '1970-01-01') AS window_start,
-    bookmaker, "betRadarID", bet, min("betOdd")::DOUBLE AS "betOdd" FROM s GROUP BY ALL)
+    "stream_match": f"""WITH {STREAM_SQL}, {COUNTERS2_SQL}
   SELECT {sql_round2("raw")} AS "RTP", * EXCLUDE (raw) FROM (
-    SELECT a."betOdd" * (1::DOUBLE - 1::DOUBLE / b."betOdd") * 100::DOUBLE AS raw,
-      a."betRadarID", a.window_start, a.bookmaker AS bookmaker1, a.bet AS bet1, a."betOdd" AS "betOdd1",
-      b.bookmaker AS bookmaker2, b.bet AS bet2, b."betOdd" AS "betOdd2"
-    FROM w a JOIN c2 ON c2.bet = a.bet JOIN w b ON b."betRadarID" = a."betRadarID"
-      AND b.window_start = a.window_start AND b.bet = c2.counter AND b.bookmaker <> a.bookmaker
-    WHERE a.window_start + INTERVAL 6 HOURS <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR)""",
+    SELECT a."betOdd"::DOUBLE * (1::DOUBLE - 1::DOUBLE / b."betOdd"::DOUBLE) * 100::DOUBLE AS raw,
+      a."betRadarID", a.bookmaker AS bookmaker1, a.bet AS bet1, a."betOdd"::DOUBLE AS "betOdd1", a.date AS seen1,
+      b.bookmaker AS bookmaker2, b.bet AS bet2, b."betOdd"::DOUBLE AS "betOdd2", b.date AS seen2
+    FROM s a JOIN c2 ON c2.bet = a.bet JOIN s b ON b."betRadarID" = a."betRadarID"
+      AND b.bet = c2.counter AND b.bookmaker <> a.bookmaker
+      AND b.date BETWEEN a.date - INTERVAL 6 HOURS AND a.date + INTERVAL 6 HOURS)""",
     "stream_late": f"""WITH {STREAM_SQL} SELECT bookmaker, "betRadarID", event, date, bet,
   "betOdd"::DOUBLE AS "betOdd", ingest_seq FROM s WHERE date >= TIMESTAMP '2024-01-15 12:00:00'""",
-    "stream_upsert": """WITH o AS (SELECT o_orderkey AS id, o_totalprice AS rtp,
-    'OLD ' || o_orderstatus AS event, o_orderdate AS d FROM orders WHERE o_orderkey % 3 <> 0),
-  n AS (SELECT o_orderkey AS id, o_totalprice + 1 AS rtp, 'NEW ' || o_orderstatus AS event,
-    TIMESTAMP '1999-06-01' AS d FROM orders WHERE o_orderkey % 2 = 0)
-  SELECT coalesce(o.id, n.id) AS "betRadarID", coalesce(n.rtp, o.rtp) AS "RTP",
-    coalesce(o.event, n.event) AS event, coalesce(n.d, o.d) AS insertingdate
-  FROM o FULL JOIN n ON o.id = n.id
-  WHERE coalesce(n.d, o.d) >= TIMESTAMP '1999-06-01' - INTERVAL 2 SECONDS""",
+    "stream_upsert": f"""WITH n AS (SELECT *, o_orderkey % {PARTS} AS part FROM orders)
+  SELECT o_custkey AS "betRadarID", arg_max(o_totalprice, part * 1e12 + o_orderkey) AS "RTP",
+    CASE WHEN o_custkey % 2 = 0 AND o_custkey IN (SELECT c_custkey FROM customer) THEN 'OLD ' || o_custkey
+      ELSE 'NEW ' || arg_min(o_orderkey, part * 1e12 + o_orderkey) END AS event,
+    TIMESTAMP '{RUN_TIME}' + to_minutes(CAST(max(part) AS INTEGER)) AS insertingdate
+  FROM n GROUP BY o_custkey""",
 }

@@ -25,12 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give heavy work per row to all cores.
 
-    A table of one small file is read by one task. Where a table has fewer
-    partitions than there are cores it is hashed on its key; a large table has
-    more, and is left as it is.
+    Rows are dealt by their key to as many tasks as shuffles have, whatever the
+    files are like.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def days_after(day: str, days: Column) -> Column:
@@ -98,11 +96,12 @@ q AS (SELECT bookmaker, 'T' || (part % 50) AS tournament, part AS "betRadarID",
 
 
 def loose_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``quotes``, but B0 has no ids and B1 names its events in its own way."""
+    """As ``quotes``, but B0 has no ids, B1 names its events in its own way, and B2 has them a day later."""
     mine = F.col("bookmaker")
     return quotes(spark, sf_dir).withColumns(
         {
             "betRadarID": F.when(mine == "B0", F.lit(-1).cast("bigint")).otherwise(F.col("betRadarID")),
+            "date": F.when(mine == "B2", F.col("date") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("date")),
             "event": F.when(mine == "B1", F.concat(F.lit("B1 "), F.col("event"))).otherwise(F.col("event")),
         }
     )
@@ -112,7 +111,7 @@ LOOSE_SQL = QUOTES_SQL + """,
 e AS (SELECT bookmaker, tournament,
   CASE WHEN bookmaker = 'B0' THEN -1 ELSE "betRadarID" END AS "betRadarID",
   CASE WHEN bookmaker = 'B1' THEN 'B1 ' || event ELSE event END AS event,
-  date, bet, "betOdd" FROM q)"""
+  CASE WHEN bookmaker = 'B2' THEN date + INTERVAL 1 DAY ELSE date END AS date, bet, "betOdd" FROM q)"""
 
 COUNTERS2_SQL = f"c2(bet, counter) AS ({sql_values(TWO_WAY_COUNTERS)})"
 COUNTERS3_SQL = f"c3(bet, counter1, counter2) AS ({sql_values(THREE_WAY_COUNTERS)})"

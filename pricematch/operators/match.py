@@ -42,6 +42,11 @@ def stamp_run(df: DataFrame, run_ts: datetime | Column) -> DataFrame:
     return df.withColumn("insertingdate", naive_timestamp(run_ts))
 
 
+def with_id(quotes: DataFrame) -> DataFrame:
+    """Quotes whose event has an id. -1 and null say that it is unknown: such rows share no event."""
+    return quotes.where(F.col("betRadarID").isNotNull() & (F.col("betRadarID") != NO_ID))
+
+
 def _seeds(quotes: DataFrame, counters: DataFrame) -> DataFrame:
     """Quotes on selections the dictionary has a market for."""
     return quotes.join(counters.select("bet"), "bet", "left_semi").withColumn(
@@ -86,9 +91,10 @@ def match_two_way(
 ) -> DataFrame:
     """Pairs (selection, complement) of one id at two bookmakers, both ways round.
 
-    The hedge return differs by direction, so (A, B) and (B, A) are both kept.
+    The hedge return differs by direction, so (A, B) and (B, A) are both kept. Quotes
+    without an id match nothing.
     """
-    seeds = _seeds(quotes, counters)
+    seeds = _seeds(with_id(quotes), counters)
     partners = _partners(
         _columns(seeds, "betRadarID", "bookmaker", "bet", "betOdd"), counters, "counter", 2
     )
@@ -106,7 +112,7 @@ def match_three_way(
 
     Every selection seeds its own triples, as the hedge return depends on it.
     """
-    seeds = _seeds(quotes, counters)
+    seeds = _seeds(with_id(quotes), counters)
     legs = _columns(seeds, "betRadarID", "bookmaker", "bet", "betOdd")
     triples = (
         seeds.join(_partners(legs, counters, "counter1", 2), ["betRadarID", "__market"])
@@ -206,10 +212,11 @@ def match_three_way_fuzzy(
 def same_selection_pairs(quotes: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """For each seed, the same selection of the same id at another bookmaker.
 
-    ``seeds`` limits the left side, for instance to ``head(quotes, 1000, ...)``.
+    ``seeds`` limits the left side, for instance to ``head(quotes, 1000, ...)``. Rows with id
+    -1 or null have no known event and pair with nothing.
     """
-    left = quotes if seeds is None else seeds
-    right = quotes.select(
+    left = with_id(quotes if seeds is None else seeds)
+    right = with_id(quotes).select(
         "betRadarID", "bet", F.col("bookmaker").alias("bookmaker2"), F.col("betOdd").alias("betOdd2")
     )
     return left.join(right, ["betRadarID", "bet"]).where(F.col("bookmaker") != F.col("bookmaker2"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
@@ -61,3 +61,60 @@ def read_version(spark: SparkSession, base: str, version: int | None, schema: st
     if version is None:
         return spark.createDataFrame([], StructType.fromDDL(schema))
     return spark.read.schema(schema).parquet(f"{base}/version={version:012d}")
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system its path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class BucketedState:
+    """A table in hash buckets of its key, of which a new version rewrites only those it touches.
+
+    Version n writes its buckets under ``state-n`` and a small table that says for each bucket
+    which version holds it. A version written again, as a retried batch does, replaces itself.
+    Files that neither the newest nor the version before it needs are deleted.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, schema: str, keys: Sequence[str], buckets: int = 64):
+        self.spark, self.base, self.schema, self.buckets = spark, base.rstrip("/"), schema, buckets
+        self.keys = list(keys)
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _where(self, version: int) -> dict[int, int]:
+        """Bucket to the version that holds it: at most as many rows as there are buckets."""
+        rows = self.spark.read.schema("bucket int, version long").parquet(f"{self.base}/places-{version:012d}").collect()
+        return {r.bucket: r.version for r in rows}
+
+    def read(self, version: int, only: Sequence[int] | None = None) -> DataFrame:
+        paths = [
+            f"{self.base}/state-{v:012d}/__bucket={b}"
+            for b, v in sorted(self._where(version).items()) if only is None or b in only
+        ]
+        if not paths:
+            return self.spark.createDataFrame([], StructType.fromDDL(self.schema))
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def write(self, state: DataFrame, version: int, before: int | None = None) -> None:
+        """Make ``state`` the content of its buckets; the others stay as in version ``before``."""
+        folder = f"{self.base}/state-{version:012d}"
+        state.withColumn("__bucket", self.bucket()).write.mode("overwrite").partitionBy("__bucket").parquet(folder)
+        old = {} if before is None else self._where(before)
+        written = self.spark.read.schema(f"{self.schema}, __bucket int").parquet(folder).select("__bucket").distinct().collect()
+        now = old | {r[0]: version for r in written}
+        places = self.spark.createDataFrame(sorted(now.items()), "bucket int, version long")
+        places.coalesce(1).write.mode("overwrite").parquet(f"{self.base}/places-{version:012d}")
+        if before is not None and before > 0:
+            self._forget(before - 1, old, now)
+
+    def _forget(self, version: int, *needed: dict[int, int]) -> None:
+        keep = {v for places in needed for v in places.values()}
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/places-{version:012d}")
+        if not place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place):
+            return  # forgotten by an earlier try of this batch
+        for v in set(self._where(version).values()) - keep:
+            drop_folder(self.spark, f"{self.base}/state-{v:012d}")
+        drop_folder(self.spark, f"{self.base}/places-{version:012d}")

@@ -59,15 +59,16 @@ def three_way_counters(spark: SparkSession) -> DataFrame:
 
 
 def read_dictionary(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """A headerless CSV dictionary; the last line of a repeated key wins.
+    """A headerless CSV dictionary; the last line of a repeated key wins, files by their path.
 
     A quote inside a quoted field is doubled.
     """
     columns = COLUMNS[kind]
     lines = spark.read.csv(path, schema=", ".join(f"{c} string" for c in columns), escape='"')
-    lines = lines.where(F.col(columns[0]).isNotNull())
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = lines.select(*columns, place.alias("line")).where(F.col(columns[0]).isNotNull())
     if kind == "allowed":
-        return lines.distinct()
-    entry = F.struct(F.monotonically_increasing_id().alias("line"), *columns[1:])
+        return lines.select(*columns).distinct()
+    entry = F.struct("line", *columns[1:])
     last = lines.select(columns[0], entry.alias("entry")).groupBy(columns[0]).agg(F.max("entry").alias("entry"))
     return last.select(columns[0], *[F.col(f"entry.{c}").alias(c) for c in columns[1:]])

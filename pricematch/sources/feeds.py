@@ -68,9 +68,12 @@ def unreadable_pages(df: DataFrame, feed: str) -> DataFrame:
 
     The parsers find nothing in them. A page that says nothing reads ``{}``.
     """
-    parsed = F.from_json("payload", PAGES[feed])
-    return df.withColumn(REASON, F.when(F.coalesce(F.to_json(parsed), F.lit("{}")) == "{}", "unreadable page")).where(
-        F.col(REASON).isNotNull()
+    page = df.withColumn("__page", F.from_json("payload", PAGES[feed]))
+    fields = [F.col(f"__page.{name}") for name in page.schema["__page"].dataType.fieldNames()]
+    return (
+        page.where(F.coalesce(*[F.when(f.isNotNull(), True) for f in fields]).isNull())
+        .drop("__page")
+        .withColumn(REASON, F.lit("unreadable page"))
     )
 
 
@@ -233,9 +236,23 @@ def own_lines(outcomes: Column) -> Column:
     return F.transform(outcomes, lambda o: F.nullif(o["line"], F.lit(0.0)))
 
 
-def sticky_line(lines: Column, position: Column) -> Column:
-    """An outcome's own line, or else that of the nearest outcome before it."""
-    return F.try_element_at(F.array_compact(F.slice(lines, F.lit(1), position + 1)), F.lit(-1))
+def sticky_lines(lines: Column) -> Column:
+    """For each outcome its own line, or else that of the nearest outcome before it.
+
+    The places of own lines cut the offer into runs, each of which repeats one line: every
+    outcome is written once, however long the offer is.
+    """
+    def runs(own: Column) -> Column:
+        places = F.filter(F.transform(own, lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
+
+        def filled(at: Column) -> Column:
+            head = F.array_repeat(F.lit(None).cast("double"), F.coalesce(F.get(at, 0), F.size(own)))
+            rest = F.transform(at, lambda p, k: F.array_repeat(F.get(own, p), F.coalesce(F.get(at, k + 1), F.size(own)) - p))
+            return F.concat(head, F.flatten(rest))
+
+        return F.transform(F.array(places), filled)[0]
+
+    return F.transform(F.array(lines), runs)[0]
 
 
 def parse_offer_feed(
@@ -259,12 +276,12 @@ def parse_offer_feed(
     started = F.coalesce(F.col("date") < now, F.lit(False))
     offers = each(events, event, F.when(~started, F.col("offers")), "b", at="i").select(
         *event, "i", F.col("b.criterion.label").alias("type"),
-        F.col("b.outcomes").alias("outcomes"), own_lines(F.col("b.outcomes")).alias("lines"),
+        F.arrays_zip(
+            F.col("b.outcomes").alias("o"), sticky_lines(own_lines(F.col("b.outcomes"))).alias("line")
+        ).alias("outcomes"),
     )
     offer = [*event, "i", "type"]
-    rows = each(offers, [*offer, "lines"], "outcomes", "o", at="j").select(
-        *offer, "j", "o", sticky_line(F.col("lines"), F.col("j")).alias("line")
-    )
+    rows = each(offers, offer, "outcomes", "z", at="j").select(*offer, "j", "z.o", "z.line")
     suffix = F.when(F.col("line").isNotNull(), line_suffix(F.col("line")))
     rows = rows.select(*offer, "j", "o", suffix.alias("suffix")).select(
         *event, "i", "j",

@@ -24,7 +24,10 @@ def read_quotes_jdbc(
 
 
 def read_feed(spark: SparkSession, path: str, bookmaker: str, whole_file: bool = True) -> DataFrame:
-    """Landed payloads as (bookmaker, source, payload).
+    """Landed payloads as (bookmaker, source, ingest_seq, payload).
+
+    ``ingest_seq`` (file path, place of the split in the file, row in the split) orders
+    payloads as they lie in the files, files by their path.
 
     One document per file, or per line where ``whole_file`` is false: many small
     files cost more to list than to read, and lines can be split between tasks.
@@ -33,6 +36,11 @@ def read_feed(spark: SparkSession, path: str, bookmaker: str, whole_file: bool =
     return text.select(
         F.lit(bookmaker).alias("bookmaker"),
         F.col("_metadata.file_path").alias("source"),
+        F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+        ).alias("ingest_seq"),
         F.col("value").alias("payload"),
     )
 
@@ -44,11 +52,11 @@ def name_tournaments(
 
     ``pattern`` finds the id in the page's ``source``; ``tournaments`` is what
     ``flatten_schedule`` gives, one row per id. A page of an unlisted tournament
-    was never asked for, and is dropped.
+    was never asked for, and is dropped. Of several names of an id the first by spelling is taken.
     """
     names = tournaments.select(F.col(id_column).cast("string").alias("__id"), "tournament")
     return (
         pages.withColumn("__id", F.regexp_extract("source", pattern, 1))
-        .join(names.dropDuplicates(["__id"]), "__id")
+        .join(names.groupBy("__id").agg(F.min("tournament").alias("tournament")), "__id")
         .drop("__id")
     )

@@ -12,12 +12,12 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pricematch.fixed_values import QUOTE_KEYS
+from pricematch.fixed_values import NO_ID, QUOTE_KEYS
 from pricematch.functions.scoring import RTP
 from pricematch.operators.filters import future_only
 from pricematch.session import scratch_path
 from pricematch.sinks.merge import insert_only_rows, purge_stale, upsert_matches
-from pricematch.sinks.tables import read_version, write_version
+from pricematch.sinks.tables import BucketedState
 
 
 def quotes_stream(
@@ -28,6 +28,7 @@ def quotes_stream(
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     # A pattern, as the source does not take the name of a single file.
+    path = path.rstrip("/")
     return reader.load(f"{path[:-1]}[{path[-1]}]")
 
 
@@ -57,45 +58,35 @@ def stream_late(quotes: DataFrame, run_ts: datetime | Column | None = None, incl
     return future_only(quotes, F.localtimestamp() if run_ts is None else run_ts, inclusive)
 
 
-def lowest_prices(
-    quotes: DataFrame, event_time: str, delay: str, every: str, id_column: str = "betRadarID"
-) -> DataFrame:
-    """One price per bookmaker, id, selection and window.
-
-    The aggregate combines before its shuffle, so a busy event reaches the join
-    behind it as one row per bookmaker and selection, however often it is quoted.
-    """
-    return (
-        quotes.withWatermark(event_time, delay)
-        .groupBy(F.window(event_time, every), "bookmaker", id_column, "bet")
-        .agg(F.min("betOdd").alias("betOdd"))
-    )
-
-
 def stream_match(
-    quotes: DataFrame, counters: DataFrame, event_time: str, delay: str, every: str, rtp: str = "hedge"
+    quotes: DataFrame, counters: DataFrame, event_time: str, delay: str, within: str, rtp: str = "hedge"
 ) -> DataFrame:
-    """Two-way matches of quotes of one window, sent out when the window closes.
+    """Two-way matches as quotes arrive: every pair of complementary quotes of one id at two
+    bookmakers whose times are at most ``within`` apart, sent out when the later one arrives.
 
-    The window bounds the join's state; a quote later than ``delay`` is too late.
+    No quote is thinned out, and no window has an edge to fall on either side of. The bound
+    lets the join drop a quote from its state ``within`` and ``delay`` after its time; only a
+    quote later than ``delay`` is too late. Rows without an id meet nothing.
     """
-    seeds = lowest_prices(quotes, event_time, delay, every).join(counters, "bet")
-    partners = lowest_prices(quotes, event_time, delay, every).withColumnsRenamed(
-        {"bookmaker": "bookmaker2", "bet": "counter", "betOdd": "betOdd2"}
+    known = quotes.where(F.col("betRadarID").isNotNull() & (F.col("betRadarID") != NO_ID))
+    seeds = known.withWatermark(event_time, delay).join(counters, "bet").select(
+        "betRadarID", F.col("bookmaker").alias("bookmaker1"), F.col("bet").alias("bet1"),
+        F.col("betOdd").alias("betOdd1"), F.col(event_time).alias("seen1"), F.col("counter").alias("__want"),
+    )
+    partners = known.withWatermark(event_time, delay).select(
+        F.col("betRadarID").alias("__id"), F.col("bookmaker").alias("bookmaker2"), F.col("bet").alias("bet2"),
+        F.col("betOdd").alias("betOdd2"), F.col(event_time).alias("seen2"),
     )
-    pairs = seeds.join(partners, ["window", "betRadarID", "counter"]).where(
-        F.col("bookmaker") != F.col("bookmaker2")
+    span = F.expr(f"INTERVAL {within}")
+    pairs = seeds.join(
+        partners,
+        (F.col("betRadarID") == F.col("__id")) & (F.col("__want") == F.col("bet2"))
+        & (F.col("bookmaker1") != F.col("bookmaker2"))
+        & (F.col("seen2") >= F.col("seen1") - span) & (F.col("seen2") <= F.col("seen1") + span),
     )
     return pairs.select(
-        RTP[rtp](F.col("betOdd"), F.col("betOdd2")).alias("RTP"),
-        "betRadarID",
-        F.col("window.start").alias("window_start"),
-        F.col("bookmaker").alias("bookmaker1"),
-        F.col("bet").alias("bet1"),
-        F.col("betOdd").alias("betOdd1"),
-        "bookmaker2",
-        F.col("counter").alias("bet2"),
-        "betOdd2",
+        RTP[rtp](F.col("betOdd1"), F.col("betOdd2")).alias("RTP"),
+        "betRadarID", "bookmaker1", "bet1", "betOdd1", "seen1", "bookmaker2", "bet2", "betOdd2", "seen2",
     )
 
 
@@ -125,23 +116,29 @@ def stream_merge(
 
 def stream_upsert(
     matches: DataFrame, base: str, schema: str, checkpoint: str, keys: Sequence[str],
-    update: Sequence[str], run_ts: datetime | Column | None = None,
-    start: DataFrame | None = None,
+    update: Sequence[str], start: DataFrame | None = None, order: Sequence[str] | None = None,
+    buckets: int = 64,
 ) -> StreamingQuery:
-    """Upsert each micro-batch's matches and purge what it did not touch.
+    """Upsert each micro-batch's matches into a state in hash buckets of the key.
 
-    Batch n reads version n of the table and writes version n + 1, so that a
-    batch run again writes the same. Version 0 is the table to start on, by
-    default an empty one; a stream that is restarted is given the same.
+    Batch n reads the buckets it touches in version n and writes them as version n + 1, so that
+    a batch run again writes the same and a small batch costs a small part of the table. Version
+    0 is the table to start on, by default an empty one; a stream that is restarted is given the
+    same. Nothing is purged here: a run flushes many batches and ends with one ``finish_cycle``.
     """
     spark = matches.sparkSession
-    write_version(read_version(spark, base, None, schema) if start is None else start, base, 0)
+    state = BucketedState(spark, base, schema, keys, buckets)
+    state.write(spark.createDataFrame([], schema) if start is None else start, 0)
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        old = read_version(batch.sparkSession, base, batch_id, schema)
-        now = F.localtimestamp() if run_ts is None else run_ts
-        new_state = purge_stale(upsert_matches(old, batch, keys, update), now)
-        write_version(new_state, base, batch_id + 1)
+        # Micro-batches have a session of their own, the state's reads need that of the stream.
+        batch.persist()
+        try:
+            touched = [r[0] for r in batch.select(state.bucket().alias("b")).distinct().collect()]
+            old = state.read(batch_id, touched)
+            state.write(upsert_matches(old, batch, keys, update, order), batch_id + 1, batch_id)
+        finally:
+            batch.unpersist()
 
     return (
         matches.writeStream.foreachBatch(refresh)
@@ -151,6 +148,14 @@ def stream_upsert(
     )
 
 
+def finish_cycle(
+    spark: SparkSession, base: str, schema: str, keys: Sequence[str], version: int,
+    run_ts: datetime | Column, buckets: int = 64,
+) -> DataFrame:
+    """What a run leaves: the state of ``version`` without rows older than the run's start, ``run_ts``."""
+    return purge_stale(BucketedState(spark, base, schema, keys, buckets).read(version), run_ts)
+
+
 def run_to_files(stream: DataFrame, name: str) -> DataFrame:
     """Run an append stream over what is there now, and read what it wrote."""
     spark = stream.sparkSession

@@ -269,3 +269,9 @@ def test_dictionaries(spark, tmp_path):
 def test_parsers_do_not_shuffle(spark, fn):
     plan = fn(pages(spark, {}), RUN)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan and "PythonUDF" not in plan
+
+
+def test_sticky_lines(spark):
+    df = spark.createDataFrame([([2.5, None, 3.5, None],), ([None, 1.0],), ([None],), ([],), (None,)], "x array<double>")
+    got = [r[0] for r in df.select(feeds.sticky_lines(F.col("x"))).collect()]
+    assert got == [[2.5, 2.5, 3.5, 3.5], [None, 1.0], [None], [], None]

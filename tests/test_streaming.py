@@ -4,7 +4,6 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from pricematch.sinks.tables import read_version
 from pricematch.sources.dictionaries import two_way_counters
 from pricematch.streaming import cycle
 
@@ -48,22 +47,19 @@ def test_merge_first_wins_over_batches(spark, landed, tmp_path):
 
 
 def test_match_equals_batch(spark, landed):
+    """Quotes a few minutes apart meet wherever they lie, in one batch or over two, and none waits at the end."""
     out = cycle.run_to_files(
-        cycle.stream_match(stream(spark, landed), two_way_counters(spark), "seen", "10 minutes", "30 minutes"), "t")
-    got = sorted((r.window_start, r.betRadarID, r.bookmaker1, r.bet1, r.bookmaker2, r.bet2, float(r.RTP)) for r in out.collect())
+        cycle.stream_match(stream(spark, landed + "/"), two_way_counters(spark), "seen", "10 minutes", "7 minutes"), "t")
+    got = sorted((r.betRadarID, r.bookmaker1, r.bet1, r.seen1, r.bookmaker2, r.bet2, r.seen2, float(r.RTP)) for r in out.collect())
     rows = spark.read.parquet(landed).collect()
-    best = {}
-    for r in rows:
-        start = datetime(2021, 3, 1) + timedelta(minutes=30 * ((r.seen - datetime(2021, 3, 1)).seconds // 1800))
-        key = (start, r.betRadarID, r.bookmaker, r.bet)
-        best[key] = min(best.get(key, r.betOdd), r.betOdd)
-    closed = max(r.seen for r in rows) - timedelta(minutes=10)
     other = {"1X2 <> 1": "DOPPIA CHANCE OUT <> X2", "DOPPIA CHANCE OUT <> X2": "1X2 <> 1"}
     want = sorted(
-        (s, i, b, bet, b2, bet2, round((float(o) * (1.0 - 1.0 / float(o2))) * 100, 2))
-        for (s, i, b, bet), o in best.items() for (s2, i2, b2, bet2), o2 in best.items()
-        if (s, i) == (s2, i2) and b != b2 and bet2 == other[bet] and s + timedelta(minutes=30) <= closed)
+        (a.betRadarID, a.bookmaker, a.bet, a.seen, b.bookmaker, b.bet, b.seen, round((float(a.betOdd) * (1.0 - 1.0 / float(b.betOdd))) * 100, 2))
+        for a in rows for b in rows
+        if a.betRadarID == b.betRadarID and a.bookmaker != b.bookmaker and b.bet == other[a.bet] and abs(a.seen - b.seen) <= timedelta(minutes=7))
     assert got == want and got
+    second = datetime(2021, 3, 1) + timedelta(minutes=100)  # where the second file, and so batch, begins
+    assert any((x[3] < second) != (x[6] < second) for x in got)
 
 
 def test_late_uses_the_clock(spark, landed):
@@ -81,11 +77,12 @@ def test_upsert_over_batches(spark, landed, tmp_path):
     matches = stream(spark, landed).where("ingest_seq % 100 = betRadarID").select(
         "betRadarID", F.col("ingest_seq").cast("double").alias("RTP"), F.col("ingest_seq").cast("string").alias("event"),
         F.lit(run.isoformat(sep=" ")).cast("timestamp_ntz").alias("insertingdate"))
-    query = cycle.stream_upsert(matches, base, schema, check, ["betRadarID"], ["RTP", "insertingdate"], run)
+    keys = ["betRadarID"]
+    query = cycle.stream_upsert(matches, base, schema, check, keys, ["RTP", "insertingdate"], buckets=4)
     query.awaitTermination()
     versions = query.lastProgress["batchId"] + 1
     assert versions == 3
-    state = {r.betRadarID: (r.RTP, r.event) for r in read_version(spark, base, versions, schema).collect()}
+    state = {r.betRadarID: (r.RTP, r.event) for r in cycle.finish_cycle(spark, base, schema, keys, versions, run, 4).collect()}
     # The event keeps its first value, the return is the latest.
     first = {}
     last = {}
@@ -94,3 +91,19 @@ def test_upsert_over_batches(spark, landed, tmp_path):
             first.setdefault(r.betRadarID, str(r.ingest_seq))
             last[r.betRadarID] = float(r.ingest_seq)
     assert state == {k: (last[k], first[k]) for k in first}
+
+
+def test_a_run_of_many_flushes_keeps_them_all(spark, landed, tmp_path):
+    """Each batch brings ten new keys and has a clock of its own; the purge comes once, at the end."""
+    base, schema, keys = str(tmp_path / "state"), "k bigint, RTP double, insertingdate timestamp_ntz", ["k"]
+    start = spark.createDataFrame([(-1, 1.0, datetime(2021, 2, 1)), (3, 1.0, datetime(2021, 2, 1))], schema)
+    matches = stream(spark, landed).where("ingest_seq % 10 = 0").select(
+        F.col("ingest_seq").alias("k"), F.lit(2.0).alias("RTP"), (F.floor(F.col("ingest_seq") / 100) * 10).alias("step"))
+    late = F.lit("2021-03-02 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("step").cast("int"))
+    matches = matches.withColumn("insertingdate", late).drop("step")
+    query = cycle.stream_upsert(matches, base, schema, str(tmp_path / "check"), keys, ["RTP", "insertingdate"], start, buckets=8)
+    query.awaitTermination()
+    held = cycle.finish_cycle(spark, base, schema, keys, query.lastProgress["batchId"] + 1, datetime(2021, 3, 2), 8)
+    assert sorted(r.k for r in held.collect()) == list(range(0, 300, 10))
+    kept = [p.name for p in (tmp_path / "state").iterdir() if p.name.startswith("places")]
+    assert len(kept) == 2

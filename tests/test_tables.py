@@ -49,6 +49,16 @@ def test_upsert_retains(spark):
     assert sorted(r.k for r in kept.collect()) == [1, 3]
 
 
+def test_upsert_of_a_key_twice(spark):
+    """As if row by row: the last update wins, the first insert's other columns stay."""
+    schema = "k int, RTP int, event string, insertingdate timestamp_ntz"
+    t0, t1, t2 = datetime(2021, 1, 1), datetime(2021, 1, 2), datetime(2021, 1, 3)
+    old = spark.createDataFrame([(1, 10, "old", t0)], schema)
+    new = spark.createDataFrame([(1, 11, "a", t1), (1, 9, "b", t2), (2, 20, "c", t2), (2, 30, "d", t1)], schema)
+    out = merge.upsert_matches(old, new, ["k"], ["RTP", "insertingdate"])
+    assert sorted(map(tuple, out.collect())) == [(1, 9, "old", t2), (2, 20, "d", t2)]
+
+
 def test_upsert_can_update_to_null(spark):
     old = spark.createDataFrame([(1, 10)], "k int, RTP int")
     new = spark.createDataFrame([(1, None)], "k int, RTP int")
@@ -165,7 +175,7 @@ def test_read_feed(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"x": 2}')
     whole = read_feed(spark, str(tmp_path), "Sisal")
     assert sorted(r.payload for r in whole.collect()) == ['{"x":\n1}', '{"x": 2}']
-    assert whole.columns == ["bookmaker", "source", "payload"]
+    assert whole.columns == ["bookmaker", "source", "ingest_seq", "payload"]
     assert read_feed(spark, str(tmp_path), "Sisal", whole_file=False).count() == 3
 
 
