@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes
+from .common import let, stored, text_bytes
 from .graph import components
 from .shingles import WordHashes, mixed, overlap, shingle_set
 
-BITS = 2  # kept of each minimum
-_FIELDS = 32  # fields of BITS bits in a long
+BITS = 4  # kept of each minimum
+_FIELDS = 16  # fields of BITS bits in a long
 _BLOCK = 1 << 15  # shingles that are hashed together, so that they stay in the processor's cache
 _HASHES: list[WordHashes] = []
 
@@ -75,11 +75,11 @@ class Signer:
 
 def estimate(a: list[Column], b: list[Column], fields: int) -> Column:
     """Similarity by bit counts: the share of equal fields, less what is equal by chance."""
-    pairs = F.lit(0x5555555555555555)
     differ = []
     for x, y in zip(a, b, strict=True):
         z = x.bitwiseXOR(y)
-        differ.append(F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(pairs)))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        differ.append(F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(0x1111111111111111))))
     chance = 1.0 / (1 << BITS)
     return (1.0 - sum(differ[1:], differ[0]) / fields - chance) / (1.0 - chance)
 
@@ -137,20 +137,37 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return both.select("a", "b", "raw_a", "raw_b").mapInArrow(confirm, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 52, rows: int = 6, slack: float = 0.14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """``rep, shingles`` of the texts with these ids."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _word_hashes()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                sets = [shingle_set(raw, width, hashes).view(np.int64) for raw in part.column("raw").to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["rep", "shingles"])
+
+    return texts.join(ids, texts["doc_id"] == ids["rep"], "left_semi").mapInArrow(build, "rep long, shingles array<long>")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 52, rows: int = 6, slack: float = 0.11, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row.
 
     Two documents are linked when ``100 * shared >= percent * union`` over their sets of ``width``-word
     shingles. ``component_id`` is the smallest id that links reach, ``kept`` marks the rows that bear it.
 
     1. One pass makes each text's set, its fingerprint, MinHash minima, a key for each band of ``rows``
-       minima and 2 low bits of every minimum. Rows of equal sets become one class.
-    2. Every member of a band's bucket is paired with the bucket's smallest id: as many pairs as members.
-       Bit counts, corrected for chance, drop pairs that are more than ``slack`` (5 standard errors)
-       below the threshold, and full sets confirm the rest.
+       minima and 4 low bits of every minimum. Rows of equal sets become one class.
+    2. The smallest id of a band's bucket is its hub. Every document is paired with the smallest of its
+       hubs, then with those hubs that are not yet in its component: a few pairs for each document. Bit
+       counts, corrected for chance, drop pairs that are more than ``slack`` (4.6 standard errors) below
+       the threshold, and full sets confirm the rest.
     3. Where a bucket still holds several components of those links, members of different components are
-       paired too, if sizes and bit counts allow, and confirmed. Pairs inside a component can't change
-       the answer, so large groups of copies never meet pair by pair; none is skipped otherwise.
+       compared too, if sizes and bit counts allow: a semi join finds those with a partner to test, their
+       full sets join them, and the join itself keeps linked pairs alone. Pairs inside a component can't
+       change the answer, so large groups of copies never meet pair by pair; none is skipped otherwise.
 
     A pair at the threshold misses all bands with a chance of (1 - 0.8**6)**52, 1 in 7 million, and a
     more similar pair less.
@@ -166,27 +183,53 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     classes = signed.filter("doc_id is not null and n > 0").groupBy("fp_a", "fp_b", "n")
     classes = stored(classes.agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("keys", *longs), "doc_id").alias("v")).select("fp_a", "fp_b", "n", "rep", "v.*"), "classes")
 
-    member = classes.select(F.explode("keys").alias("key"), "rep")
+    member = classes.select(F.posexplode("keys").alias("band", "key"), "rep")
     hubs = member.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).filter("hub < most").select("key", "hub")
-    members = stored(member.join(hubs, "key").distinct(), "members")
-
-    sides = classes.select("rep", "n", *longs)
-    similar = lambda x, y: (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * percent) & (estimate([x[c] for c in longs], [y[c] for c in longs], fields) >= percent / 100 - slack)
-    named = lambda df, name: df.select(F.struct("n", *longs).alias(name), F.col("rep").alias(f"{name}_rep"))
-    star = members.filter("rep <> hub").select("hub", "rep").distinct()
-    star = star.join(named(sides, "x"), F.col("hub") == F.col("x_rep")).join(named(sides, "y"), F.col("rep") == F.col("y_rep"))
-    star = star.filter(similar(F.col("x"), F.col("y"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    found = stored(_confirmed(star, texts, width, percent).distinct(), "links")
-    first = stored(components(found), "components")
-
-    placed = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
-    several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    open_ = stored(placed.join(several, "key").filter("rep <> hub").select("key", "rep", "comp").join(sides, "rep"), "open")
-    x = open_.select("key", "comp", F.col("rep").alias("a"), F.struct("n", *longs).alias("x"))
-    y = open_.select("key", F.col("comp").alias("comp_b"), F.col("rep").alias("b"), F.struct("n", *longs).alias("y"))
-    across = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & similar(F.col("x"), F.col("y")))
-    more = _confirmed(across.select("a", "b").distinct(), texts, width, percent)
-    linked = stored(components(found.union(more)), "components")
+    members = stored(member.join(hubs, "key"), "members")
+
+    sides = classes.select("rep", F.struct("n", *longs).alias("v"))
+    x, y = sides.select(F.col("rep").alias("a"), F.col("v").alias("x")), sides.select(F.col("rep").alias("b"), F.col("v").alias("y"))
+    near = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    near &= estimate([F.col(f"x.{c}") for c in longs], [F.col(f"y.{c}") for c in longs], fields) >= percent / 100 - slack
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        likely = pairs.join(x, "a").join(y, "b").filter(near).select("a", "b")
+        return stored(_confirmed(likely, texts, width, percent).distinct(), "links")
+
+    def placed(links: DataFrame) -> DataFrame:
+        now = components(links)
+        return stored(now, "components")
+
+    def component(of: str, name: str) -> DataFrame:
+        return first.select(F.col("node").alias(of), F.col("component").alias(name))
+
+    hub = members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    found = confirmed(hub.groupBy("b").agg(F.min("a").alias("a")))
+    first = placed(found)
+    apart = hub.distinct().join(component("a", "ca"), "a", "left").join(component("b", "cb"), "b", "left")
+    found = found.union(confirmed(apart.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")))
+    first = placed(found)
+
+    now = members.join(component("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    several = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    mixed_up = now.join(several, "key").filter("rep <> hub").select("key", "band", "rep", "comp")
+    open_ = stored(mixed_up.join(classes.select("rep", "keys", F.struct("n", *longs).alias("v")), "rep"), "open")
+    # a pair of several shared buckets counts in the first
+    once = F.array_position(F.zip_with("keys_a", "keys_b", lambda p, q: p == q), True) == F.col("band") + 1
+
+    def sides_of(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+        return tuple(rows.select(F.col("key").alias(f"key_{k}"), *(["band"] if k == "a" else []), F.col("comp").alias(f"comp_{k}"), F.col("rep").alias(k), F.col("v").alias(v), F.col("keys").alias(f"keys_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in more)) for k, v in (("a", "x"), ("b", "y")))
+
+    far = (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & near & once
+    left, right = sides_of(open_)
+    partnered = left.join(right, far, "left_semi").select(F.col("key_a").alias("key"), F.col("a").alias("rep"), F.col("comp_a").alias("comp"), "band", F.col("x").alias("v"), F.col("keys_a").alias("keys"))
+    partnered = stored(partnered, "partnered")
+    sets = stored(_sets(texts, partnered.select("rep").distinct(), width), "sets")
+    left, right = sides_of(partnered.join(sets, "rep"), "shingles")
+    shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    linked_enough = let(shared, lambda k: 100 * k >= percent * (F.col("x.n") + F.col("y.n") - k))
+    more = left.join(right, far & (F.col("a") < F.col("b")) & linked_enough).select("a", "b")
+    linked = placed(found.union(more))
 
     own = classes.select("fp_a", "fp_b", "n", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     # a repeated id with two texts is one node, so it may be in a component below its class's smallest id
