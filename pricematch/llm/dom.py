@@ -22,10 +22,10 @@ class Node:
     tag: str
     attributes: dict[str, str] = field(default_factory=dict)
     parts: list = field(default_factory=list)  # text and nodes in page order
+    children: list[Node] = field(default_factory=list)
 
-    @property
-    def children(self) -> list[Node]:
-        return [p for p in self.parts if isinstance(p, Node)]
+    def __post_init__(self) -> None:
+        self.kind = (self.tag, self.attributes.get("id"), self.attributes.get("class"))
 
     def text(self) -> str:
         """All text below, white space as one blank."""
@@ -88,6 +88,7 @@ def parse(page: str) -> Node:
                     break
         node = Node(tag, {a[0].lower(): entities.unescape(a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(m[3])} if m[3] else {})
         stack[-1].parts.append(node)
+        stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if tag == "title":
@@ -108,10 +109,6 @@ def numbered(root: Node) -> list[Node]:
     return out
 
 
-def _alike(a: Node, b: Node) -> bool:
-    return a.tag == b.tag and a.attributes.get("id") == b.attributes.get("id") and a.attributes.get("class") == b.attributes.get("class")
-
-
 def match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None, most: int = 60) -> int:
     """Simple tree matching: the most nodes of two trees that pair up keeping order and ancestry.
 
@@ -119,7 +116,7 @@ def match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None, most:
     in order without a table of scores: for the former any choice scores the same, for the latter the table would
     grow with the square of the page.
     """
-    if not _alike(a, b):
+    if a.kind != b.kind:
         return 0
     if pairs is not None:
         pairs.append((a, b))
@@ -127,15 +124,16 @@ def match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None, most:
     if not x or not y:
         return 1
     total = 1
-    if all(_alike(c, x[0]) for c in (*x, *y)) and not any(c.children for c in (*x, *y)) or len(x) > most and len(y) > most:
+    kind = x[0].kind
+    if all(c.kind == kind and not c.children for c in (*x, *y)) or len(x) > most and len(y) > most:
         j = 0
         for c in x:
-            k = next((k for k in range(j, min(len(y), j + most)) if _alike(c, y[k])), None)
+            k = next((k for k in range(j, min(len(y), j + most)) if c.kind == y[k].kind), None)
             if k is not None:
                 total += match(c, y[k], pairs, most)
                 j = k + 1
         return total
-    scores = [[match(c, d, None, most) for d in y] for c in x]
+    scores = [[0 if c.kind != d.kind else match(c, d, None, most) if c.children and d.children else 1 for d in y] for c in x]
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x)):
         for j in range(len(y)):

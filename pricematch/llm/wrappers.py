@@ -172,14 +172,15 @@ def extract(pages: DataFrame, least: int = 3, share: float = 0.9, close: float =
        elements that are marked as menus, headers, footers, sidebars, notices, adverts, forms or comments.
 
     Pages meet their host's first page by host and one of ``salts`` numbers, so a host with a third of all pages is
-    spread over many tasks. Pages of a host with no other page have no template; marks alone decide.
+    spread over many tasks. Hosts of at most ``least`` pages have no template; marks alone decide.
 
     Null or empty html: empty text. Null url: the host is empty, as for urls without one. Null and repeated ids: a row
     each. Equal pages get equal texts. Very long pages are read whole. No rows: none. Other columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)))
-    first = rows.filter("html <> ''").groupBy("host").agg(F.min_by("html", F.struct(F.col("page_id").isNull(), "page_id", "html")).alias("first"))
+    first = rows.filter("html <> ''").groupBy("host").agg(F.min_by("html", F.struct(F.col("page_id").isNull(), "page_id", "html")).alias("first"), F.count("*").alias("n"))
+    first = first.filter(F.col("n") > least).select("host", "first")  # fewer pages can't agree often enough
     first = stored(first, "first-pages").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
     paired = rows.filter("html <> ''").join(first, ["host", "salt"]).select("host", "html", "first")
     votes = paired.mapInArrow(lambda batches: _votes(batches, close), "host string, node long, pages long, same long")
