@@ -9,6 +9,7 @@ the record, ids of the shard's documents before it).
 
 from __future__ import annotations
 
+import itertools
 import struct
 import uuid
 from collections.abc import Iterator
@@ -145,13 +146,19 @@ def read_records(index: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",
             for batch in batches:
                 for k in range(0, batch.num_rows, 256):
                     part = batch.slice(k, 256)
-                    records = []
-                    for f, at, size in zip(*(part.column(c).to_pylist() for c in ("file", "offset", "size")), strict=True):
+                    records, wanted = [], list(zip(*(part.column(c).to_pylist() for c in ("file", "offset", "size")), strict=True))
+                    for f, run in itertools.groupby(wanted, key=lambda r: r[0]):
                         if f != name:
                             if opened is not None:
                                 opened.close()
                             opened, name = files.open_input_file(f"{root}/{f}"), f
-                        records.append(opened.read_at(size, at))
+                        run = list(run)
+                        first, last = run[0][1], run[-1][1] + run[-1][2]
+                        if last - first <= 2 * sum(size for _, _, size in run):  # neighbours: one read
+                            block = opened.read_at(last - first, first)
+                            records += [block[at - first : at - first + size] for _, at, size in run]
+                        else:
+                            records += [opened.read_at(size, at) for _, at, size in run]
                     widths = part.column("id_bytes").to_pylist()
                     ids = [np.frombuffer(p, f"<u{w}").astype("<u4").tobytes() for p, w in zip(unframe(records), widths, strict=True)]
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(ids, pa.binary())], names=[*keep, "ids"])
