@@ -47,6 +47,21 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(made)
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """What ``make()`` gives, kept for later tasks of this worker process under ``name``.
+
+    Only one operator's tables are kept at a time, so that stages that follow each other on the same
+    workers do not add up their memory.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

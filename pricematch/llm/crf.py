@@ -54,7 +54,7 @@ def near(token: str) -> int:
 class Codes(dict):
     """Shape and neighbour class of a token, worked out once."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 

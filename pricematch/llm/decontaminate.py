@@ -12,16 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import held, text_bytes
 from .shingles import WordHashes, mixed, shingle_row, words_of
 
-_STATE: list[WordHashes] = []
-
-
 def _hashes() -> WordHashes:
-    if not _STATE:
-        _STATE.append(WordHashes())
-    return _STATE[0]
+    return held("word hashes", WordHashes)
 
 
 def _signs(shingles: np.ndarray) -> np.ndarray:

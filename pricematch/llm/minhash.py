@@ -9,21 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stored, text_bytes
+from .common import held, let, stored, text_bytes
 from .graph import components
 from .shingles import WordHashes, mixed, overlap, shingle_set
 
 BITS = 4  # kept of each minimum
 _FIELDS = 16  # fields of BITS bits in a long
 _BLOCK = 1 << 15  # shingles that are hashed together, so that they stay in the processor's cache
-_HASHES: list[WordHashes] = []
 
 
 def _word_hashes() -> WordHashes:
-    """One table for each worker process."""
-    if not _HASHES:
-        _HASHES.append(WordHashes())
-    return _HASHES[0]
+    return held("word hashes", WordHashes)
 
 
 class Signer:
@@ -186,6 +182,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     member = classes.select(F.posexplode("keys").alias("band", "key"), "rep")
     hubs = member.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).filter("hub < most").select("key", "hub")
     members = stored(member.join(hubs, "key"), "members")
+    # only texts that share a bucket are compared: whole texts are shuffled once
+    chosen = members.select("rep").distinct()
+    texts = stored(texts.join(chosen, texts["doc_id"] == chosen["rep"], "left_semi"), "texts")
 
     sides = classes.select("rep", F.struct("n", *longs).alias("v"))
     x, y = sides.select(F.col("rep").alias("a"), F.col("v").alias("x")), sides.select(F.col("rep").alias("b"), F.col("v").alias("y"))
@@ -213,22 +212,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     now = members.join(component("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     several = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
     mixed_up = now.join(several, "key").filter("rep <> hub").select("key", "band", "rep", "comp")
-    open_ = stored(mixed_up.join(classes.select("rep", "keys", F.struct("n", *longs).alias("v")), "rep"), "open")
+    open_ = stored(mixed_up.join(sides, "rep"), "open")
     # a pair of several shared buckets counts in the first
     once = F.array_position(F.zip_with("keys_a", "keys_b", lambda p, q: p == q), True) == F.col("band") + 1
 
     def sides_of(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
-        return tuple(rows.select(F.col("key").alias(f"key_{k}"), *(["band"] if k == "a" else []), F.col("comp").alias(f"comp_{k}"), F.col("rep").alias(k), F.col("v").alias(v), F.col("keys").alias(f"keys_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in more)) for k, v in (("a", "x"), ("b", "y")))
+        return tuple(rows.select(F.col("key").alias(f"key_{k}"), *(["band"] if k == "a" else []), F.col("comp").alias(f"comp_{k}"), F.col("rep").alias(k), F.col("v").alias(v), *(F.col(c).alias(f"{c}_{k}") for c in more)) for k, v in (("a", "x"), ("b", "y")))
 
-    far = (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & near & once
+    far = (F.col("key_a") == F.col("key_b")) & (F.col("comp_a") != F.col("comp_b")) & near
     left, right = sides_of(open_)
-    partnered = left.join(right, far, "left_semi").select(F.col("key_a").alias("key"), F.col("a").alias("rep"), F.col("comp_a").alias("comp"), "band", F.col("x").alias("v"), F.col("keys_a").alias("keys"))
+    partnered = left.join(right, far, "left_semi").select(F.col("key_a").alias("key"), F.col("a").alias("rep"), F.col("comp_a").alias("comp"), "band", F.col("x").alias("v"))
     partnered = stored(partnered, "partnered")
     sets = stored(_sets(texts, partnered.select("rep").distinct(), width), "sets")
-    left, right = sides_of(partnered.join(sets, "rep"), "shingles")
+    left, right = sides_of(partnered.join(sets, "rep").join(classes.select("rep", "keys"), "rep"), "shingles", "keys")
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
     linked_enough = let(shared, lambda k: 100 * k >= percent * (F.col("x.n") + F.col("y.n") - k))
-    more = left.join(right, far & (F.col("a") < F.col("b")) & linked_enough).select("a", "b")
+    more = left.join(right, far & (F.col("a") < F.col("b")) & once & linked_enough).select("a", "b")
     linked = placed(found.union(more))
 
     own = classes.select("fp_a", "fp_b", "n", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left")

@@ -11,11 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import held, text_bytes
 from .shingles import WordHashes, shingle_row
 
 BITS = 18
-_STATE: list = []
 _RUN = re.compile(rb"(.)\1+")
 _SHAPE_TABLE = bytes(
     97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256)
@@ -58,9 +57,7 @@ class Grams:
 
 
 def _grams() -> Grams:
-    if not _STATE:
-        _STATE.append(Grams())
-    return _STATE[0]
+    return held("grams", Grams)
 
 
 @dataclass

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import text_bytes
+from .common import held, text_bytes
 
 KINDS = ("assign", "access", "hex", "crf")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -23,13 +23,10 @@ _HEX_TABLE = bytes(120 if chr(c) in "0123456789abcdef" else 46 for c in range(25
 #: The same patterns for the server side, to find texts to learn from.
 _ANY = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8})|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"""
 _WINDOW = 17
-_CODES: list[crf.Codes] = []
 
 
 def _codes() -> crf.Codes:
-    if not _CODES:
-        _CODES.append(crf.Codes())
-    return _CODES[0]
+    return held("token codes", crf.Codes)
 
 
 def base_spans(raw: bytes, text: str) -> list[tuple[int, int, int, int]]:

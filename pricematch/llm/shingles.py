@@ -11,7 +11,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """64-bit hashes of words, made when first asked for; at most about ``limit`` are kept."""
 
-    def __init__(self, limit: int = 600_000):
+    def __init__(self, limit: int = 300_000):
         super().__init__()
         self.limit = limit
 

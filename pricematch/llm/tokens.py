@@ -7,8 +7,7 @@ import os
 
 import numpy as np
 
-_ENCODERS: dict[str, "Encoder"] = {}
-
+from .common import held
 
 class Encoder:
     """Encodes whole texts with the tokenizers library, each distinct word once.
@@ -19,7 +18,7 @@ class Encoder:
     tokenizers encode each text in one piece. Either way the ids are the library's for the text.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -89,6 +88,4 @@ def _drops_blanks(path: str) -> bool:
 
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process, however many tasks it runs."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(f"tokens {path}", lambda: Encoder(path))
