@@ -90,7 +90,8 @@ def _root(nodes: list[Node], dropped: set[int]) -> tuple[Node, bool]:
 
 
 def _own_text(node: Node) -> str:
-    return node.text() if not any(c.tag not in INLINE for c in node.children) else ""
+    """The text of a block without blocks in it; inline elements are parts of one, never template by themselves."""
+    return node.text() if node.tag not in INLINE and not any(c.tag not in INLINE for c in node.children) else ""
 
 
 def _started(page: str) -> tuple[Node, list[Node]]:
