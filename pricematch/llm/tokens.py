@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import struct
 
 import numpy as np
 
 from .common import held
 
+_NOT_PLAIN = re.compile(rb"[^\x21-\x7e]")
+
+
 class Encoder:
     """Encodes whole texts with the tokenizers library, each distinct word once.
 
@@ -16,6 +21,10 @@ class Encoder:
     alone and none of them can hold a blank), a text's ids are those of its words, one after the
     other. Words are then encoded together and kept in a table of at most ``limit`` words. Other
     tokenizers encode each text in one piece. Either way the ids are the library's for the text.
+
+    Words of printable ASCII alone that hold no added token skip the library's normaliser, which leaves
+    them as they are but for their case, and its splitter: its own pattern cuts them here, and each piece
+    goes to the library's model. That takes a third of the time.
     """
 
     def __init__(self, path: str, limit: int = 800_000):
@@ -26,6 +35,7 @@ class Encoder:
         self.limit, self.words = limit, {}
         self.by_word = _drops_blanks(path)
         self.mark = self._separator() if self.by_word else None
+        self.model, self.pieces, self.lower, self.added = self.tokenizer.model, *(_plain_words(path) if self.by_word else (None, False, None))
 
     @property
     def id_bytes(self) -> int:
@@ -56,7 +66,18 @@ class Encoder:
                 return sign, ids[0]
         return None
 
+    def _plain_word(self, word: bytes) -> bytes:
+        text = word.decode("ascii")
+        tokenize = self.model.tokenize
+        ids = [t.id for piece in self.pieces(text.lower() if self.lower else text) for t in tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _learn(self, words: list[bytes], together: int = 2000) -> None:
+        if self.pieces is not None:
+            other = [w for w in words if _NOT_PLAIN.search(w) or self.added and self.added.search(w)]
+            odd = set(other)
+            self.words.update((w, self._plain_word(w)) for w in words if w not in odd)
+            words = other
         if self.mark is None:
             self.words.update((w, self._plain(w)) for w in words)
             return
@@ -86,6 +107,24 @@ def _drops_blanks(path: str) -> bool:
     return bool(known and kept and pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"))
 
 
+def _plain_words(path: str) -> tuple:
+    """For words of printable ASCII: what cuts them into pieces, whether they are put in lower case, and a pattern of
+    the added tokens (in either case). Without a cut if the tokenizer does more to them."""
+    import regex
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    normal = (spec.get("normalizer") or {}).get("normalizers") or [spec.get("normalizer") or {}]
+    blanks = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    same = all(n.get("type") in (None, "NFC", "Lowercase") or n == blanks for n in normal)
+    if not same or len(steps) != 2 or steps[1].get("type") != "ByteLevel" or steps[1].get("add_prefix_space") or steps[1].get("use_regex"):
+        return None, False, None
+    added = [re.escape(t["content"].encode()) for t in spec.get("added_tokens") or []]
+    cut = regex.compile(steps[0]["pattern"]["Regex"]).findall
+    return cut, any(n.get("type") == "Lowercase" for n in normal), re.compile(b"|".join(added), re.I) if added else None
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process, however many tasks it runs."""
     return held(f"tokens {path}", lambda: Encoder(path))
