@@ -59,8 +59,8 @@ def test_checksum():
 
 def test_words_encode_as_whole_texts():
     e = Encoder(queries.TOKENIZER)
-    assert e.by_word
-    for text in ("á ́b\x1cc", "♥ a♥ ♥♥ <|endoftext|>x don't IT'S 12", "İSTANBUL Σς ﬁ", "", " \x85  x\x0b", "日本 😀"):
+    assert e.by_word and e.pieces
+    for text in ("He'LL x'sy 'twas A1b2--c <|EndOfText|> <|startoftext|>z__Q... \x7f\x01a", "á ́b\x1cc", "♥ a♥ ♥♥ <|endoftext|>x don't IT'S 12", "İSTANBUL Σς ﬁ", "", " \x85  x\x0b", "日本 😀"):
         whole = e.tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(e.ids(text.encode()), "<u4").tolist() == whole
 
