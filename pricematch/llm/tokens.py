@@ -24,7 +24,7 @@ class Encoder:
 
     Words of printable ASCII alone that hold no added token skip the library's normaliser, which leaves
     them as they are but for their case, and its splitter: its own pattern cuts them here, and each piece
-    goes to the library's model. That takes a third of the time.
+    goes to the library's model.
     """
 
     def __init__(self, path: str, limit: int = 800_000):
