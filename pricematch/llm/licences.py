@@ -25,6 +25,19 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: The notices that ``windows`` looks for: those above and more.
+NOTICES = TEMPLATES + (
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("CC0-1.0", "CC0 1.0 Universal (CC0 1.0) Public Domain Dedication"),
+)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -83,6 +96,74 @@ def scan(docs: DataFrame, percent: int = 80, templates: tuple[tuple[str, str], .
     return rows.select("doc_id", "m.licence", "m.passage", "m.n_shared", "m.n_passage", "m.n_template")
 
 
+def windows(docs: DataFrame, percent: int = 80, templates: tuple[tuple[str, str], ...] = NOTICES, widths: tuple[float, ...] = (1.0, 1.25, 1.5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, licence, template, start, passage, n_shared, n_passage, n_template``: notices wherever they are in a
+    text, whatever its lines and paragraphs.
+
+    A window starts at a word pair of the template, holds at most a ``widths`` multiple of the template's pairs and ends
+    at its last pair of the template. It is scored as a passage of ``scan``. Of a template's windows that reach
+    ``percent``, the best is taken, of equals the first, then the best of those that share no pair with it, and so on.
+    ``template`` is the template's number, ``start`` the window's first word, counted from 0 over the text in lower case
+    with everything but a-z and 0-9 as gaps, and ``passage`` its words.
+
+    Such a window shares at least ``percent / (200 - percent)`` of the template's distinct pairs, so only texts with that
+    many of them anywhere are cut into windows. No row leaves its task; templates are literals.
+
+    Null or blank text: no row. Null and repeated ids: rows for each. A notice in a text several times: a row for each
+    place. Notices that differ in a word, or hold another, can match in one place: a row each. Very long texts are read
+    whole. No rows: none. Other columns are not read.
+    """
+    sets = [(name, _template_bigrams(text), len(re.sub("[^a-z0-9]+", " ", text.lower()).split()) - 1) for name, text in templates]
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    literals = lambda pairs: F.array(*map(F.lit, pairs))
+    least = lambda pairs: -(-percent * len(pairs) // (200 - percent))
+
+    def pairs_of(words: Column) -> Column:
+        return F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
+
+    def likely(known: Column) -> Column:
+        return F.array_compact(F.array(*(F.when(F.size(F.array_intersect(known, literals(pairs))) >= least(pairs), F.lit(k)) for k, (_, pairs, _) in enumerate(sets))))
+
+    every = sorted({p for _, pairs, _ in sets for p in pairs})
+    known = let(F.split(normal(F.col("t")), " "), lambda w: F.array_intersect(pairs_of(w), literals(every)))
+    # An outer explode, as the optimizer would add a filter to an inner one that computes its input again.
+    rows = rows.select("doc_id", "t", F.explode_outer(let(known, likely)).alias("k")).where("k IS NOT NULL")
+    fixed = F.array(*(F.struct(F.lit(name).alias("licence"), literals(pairs).alias("pairs"), F.lit(len(pairs)).alias("size"), F.lit(least(pairs)).alias("least"), F.array(*(F.lit(int(c * n)) for c in widths)).alias("widths")) for name, pairs, n in sets))
+
+    def found(w: Column, p: Column, of: Column) -> Column:
+        def at(hits: Column) -> Column:
+            def scored(j: Column, width: Column) -> Column:
+                s = F.get(hits, j)
+
+                def window(inside: Column) -> Column:
+                    shared = F.size(F.array_distinct(F.transform(inside, lambda x: F.get(p, x))))
+                    n = F.size(F.array_distinct(F.slice(p, s + 1, F.element_at(inside, -1) - s + 1)))
+                    return let(F.struct(shared.alias("shared"), n.alias("n")), lambda c: F.when(
+                        200 * c["shared"] >= percent * (c["n"] + of["size"]),
+                        F.struct((-c["shared"] / (c["n"] + of["size"])).alias("order"), s.alias("s"), F.element_at(inside, -1).alias("e"), c["shared"].alias("shared"), c["n"].alias("n")),
+                    ))
+
+                reach = F.get(hits, j + of["least"] - 1)
+                return F.when(reach < s + width, let(F.filter(F.slice(hits, j + 1, width), lambda x: x < s + width), window))
+
+            numbers = F.transform(hits, lambda _, j: j)
+            return F.array_distinct(F.array_compact(F.flatten(F.transform(numbers, lambda j: F.transform(of["widths"], lambda width: scored(j, width))))))
+
+        def best(windows: Column) -> Column:
+            clear = lambda taken, x: ~F.exists(taken, lambda a: (a["s"] <= x["e"]) & (x["s"] <= a["e"]))
+            return F.aggregate(windows, F.slice(windows, 1, 0), lambda taken, x: F.when(clear(taken, x), F.concat(taken, F.array(x))).otherwise(taken))
+
+        hits = F.array_compact(F.transform(p, lambda x, i: F.when(F.array_contains(of["pairs"], x), i)))
+        return F.transform(
+            let(F.sort_array(let(hits, at)), best),
+            lambda m: F.struct(of["licence"].alias("licence"), m["s"].cast("long").alias("start"), F.array_join(F.slice(w, m["s"] + 1, m["e"] - m["s"] + 2), " ").alias("passage"), m["shared"].cast("long").alias("n_shared"), m["n"].cast("long").alias("n_passage"), of["size"].cast("long").alias("n_template")),
+        )
+
+    matches = let(F.split(normal(F.col("t")), " "), lambda w: let(pairs_of(w), lambda p: let(F.get(fixed, "k"), lambda of: found(w, p, of))))
+    rows = rows.select("doc_id", F.col("k").alias("template"), F.explode_outer(matches).alias("m")).where("m IS NOT NULL")
+    return rows.select("doc_id", "m.licence", "template", "m.start", "m.passage", "m.n_shared", "m.n_passage", "m.n_template")
+
+
 def _templates_sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     return ",\n  ".join(f"({quote(name)}, [{', '.join(map(quote, _template_bigrams(text)))}])" for name, text in TEMPLATES)

@@ -43,6 +43,10 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_licence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.windows(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -73,7 +77,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 
 QUERIES = {f.__name__: _shipped(f) for f in (
-    op1_token_records, op2_secrets, op3_minhash, op4_quality_rules, op5_perspectives, op6_licences,
+    op1_token_records, op2_secrets, op3_minhash, op4_quality_rules, op5_perspectives, op6_licences, op6_licence_windows,
     op7_quality_classifier, op8_main_text, op9_packing, op10_decontaminate,
 )}
 SQL: dict[str, str] = {"op5_perspectives": chat.PERSPECTIVES_SQL, "op6_licences": licences.SCAN_SQL}

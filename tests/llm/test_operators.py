@@ -211,6 +211,28 @@ def test_licences(spark, odd, none):
     assert licences.scan(none).count() == 0 and licences.scan(odd).count() == 0
 
 
+def test_licence_windows(spark, odd, none):
+    full = {k: next(t for n, t in licences.NOTICES if n == k and len(t) > 90) for k in ("MIT", "BSD-3-Clause", "GPL-2.0", "CC0-1.0")}
+    three = full["MIT"].replace(" The above", "\r\n\r\nThe above").replace(" THE SOFTWARE IS", "\r\n\r\nTHE SOFTWARE IS")
+    apache = next(t for n, t in licences.NOTICES if n == "Apache-2.0" and len(t) > 90).replace("http", "\n\nhttp").replace("Unless", "\n\nUnless")
+    data = [
+        (1, "# Read me\n\n" + three + "\n\nMore of the text"), (2, "x = 1\n" + apache + "\ny = 2"),
+        (3, "Copyright 2020 Jane Doe. Licensed under the MIT License."), (4, "a " * 400 + full["BSD-3-Clause"].replace(" ", "\n # ") + " b" * 400),
+        (5, f"{full['MIT']}\n{full['MIT']}"), (6, full["GPL-2.0"]), (7, "And so " + full["CC0-1.0"] + " The end"), (8, "permission is hereby granted, free of charge"),
+    ]
+    got = licences.windows(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    found = Counter((r.doc_id, r.licence) for r in got)
+    assert found[2, "Apache-2.0"] == found[3, "MIT"] == 2 and found[1, "MIT"] == found[4, "BSD-3-Clause"] == found[6, "GPL-2.0"] == found[7, "CC0-1.0"] == 1
+    assert found[5, "MIT"] == 2 and not any(r.doc_id == 8 for r in got)
+    for r in got:
+        text = re.sub("[^a-z0-9]+", " ", data[r.doc_id - 1][1].lower()).split()
+        said = text[r.start : r.start + len(r.passage.split())]
+        pairs, template = set(zip(said, said[1:])), {tuple(p.split()) for p in licences._template_bigrams(licences.NOTICES[r.template][1])}
+        assert said == r.passage.split() and (r.n_shared, r.n_passage, r.n_template) == (len(pairs & template), len(pairs), len(template))
+        assert 200 * r.n_shared >= 80 * (r.n_passage + r.n_template)
+    assert licences.windows(none).count() == 0 and licences.windows(odd).count() == 0
+
+
 def test_main_text(spark):
     page = lambda k: f"<html><head><title>t</title></head><body><header>Site</header><nav><a>Menu</a></nav><div class='cookie-notice'>ok</div><article><h1>Title {k}</h1><p>One &amp; {k}\n two<p>Three <b>bold</b> {k}<div class='comments'>bad</div></article><aside>s</aside><form>f</form><footer>c</footer></body></html>"
     data = [(k, f"http://a.example/{k}", page(k)) for k in range(6)] + [(7, None, None), (8, "http://b.example", ""), (0, "http://a.example/0", page(0))]
