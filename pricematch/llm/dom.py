@@ -6,6 +6,8 @@ import html as entities
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
+
 _MARKUP = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -26,10 +28,14 @@ class Node:
 
     def __post_init__(self) -> None:
         self.kind = (self.tag, self.attributes.get("id"), self.attributes.get("class"))
+        self.shape, self.size = 0, 1  # see _shaped
+        self._said: str | None = None
 
     def text(self) -> str:
         """All text below, white space as one blank."""
-        return " ".join("".join(_strings(self)).split())
+        if self._said is None:
+            self._said = " ".join("".join(_strings(self)).split())
+        return self._said
 
 
 def _strings(node: Node):
@@ -109,31 +115,148 @@ def numbered(root: Node) -> list[Node]:
     return out
 
 
+_SHAPES: dict[tuple, int] = {}
+_SCORES: dict[tuple[int, int], int] = {}
+_LAST = [0]
+
+
+def _shaped(root: Node) -> None:
+    """Give each node below the number of its shape, the kinds of its subtree, and the subtree's size."""
+    if root.shape:
+        return
+    if len(_SHAPES) > 200_000:
+        _SHAPES.clear()  # numbers are not given twice
+    for node in reversed(numbered(root)):
+        key = (node.kind, *(c.shape for c in node.children))
+        if key not in _SHAPES:
+            _LAST[0] += 1
+            _SHAPES[key] = _LAST[0]
+        node.shape, node.size = _SHAPES[key], 1 + sum(c.size for c in node.children)
+
+
+def _score(a: Node, b: Node) -> int:
+    """The most nodes of two trees that pair up; it depends on their shapes alone."""
+    if a.kind != b.kind:
+        return 0
+    if a.shape == b.shape:
+        return a.size
+    x, y = a.children, b.children
+    if not x or not y:
+        return 1
+    key = (a.shape, b.shape)
+    if key not in _SCORES:
+        kind = x[0].kind
+        if all(c.kind == kind and not c.children for c in (*x, *y)):
+            found = min(len(x), len(y))
+        elif len(x) * len(y) > 3600:
+            found = int(_last_row(_weights(x, y, 0))[-1])
+        else:
+            best = [0] * (len(y) + 1)
+            for c in x:
+                before, left = best, 0
+                best = [0]
+                for j, d in enumerate(y):
+                    left = max(before[j + 1], left, before[j] + _score(c, d))
+                    best.append(left)
+            found = best[-1]
+        if len(_SCORES) > 1_000_000:
+            _SCORES.clear()
+        _SCORES[key] = 1 + found
+        return 1 + found
+    return _SCORES[key]
+
+
+def _weights(x: list[Node], y: list[Node], bonus: int) -> list[np.ndarray]:
+    """For each of ``x`` what pairing it with each of ``y`` is worth: nodes that pair up, and ``bonus`` for equal text.
+    Equal rows are one array."""
+    shapes = [d.shape for d in y]
+    by_shape: dict[int, np.ndarray] = {}
+    by_text: dict[tuple, list[int]] = {}
+    if bonus:
+        for j, d in enumerate(y):
+            by_text.setdefault((d.kind, d.text()), []).append(j)
+    out = []
+    for c in x:
+        if c.shape not in by_shape:
+            known = {d.shape: _score(c, d) for d in y}
+            by_shape[c.shape] = np.array([known[s] for s in shapes], np.int64)
+        row = by_shape[c.shape]
+        if bonus and c.text() and (c.kind, c.text()) in by_text:
+            row = row.copy()
+            row[by_text[c.kind, c.text()]] += bonus
+        out.append(row)
+    return out
+
+
+def _last_row(weights: list[np.ndarray]) -> np.ndarray:
+    """Worth of the best pairing in order with the first j of the other list, for each j."""
+    best = np.zeros(len(weights[0]) + 1, np.int64) if weights else np.zeros(1, np.int64)
+    for w in weights:
+        best[1:] = np.maximum(best[1:], best[:-1] + w)
+        np.maximum.accumulate(best, out=best)
+    return best
+
+
+def _chosen(weights: list[np.ndarray], i: int, j: int, out: list[tuple[int, int]]) -> None:
+    """Pairs of the best pairing in order, in memory that is linear in the lists: the first list is halved and the second
+    cut where the halves' worths add up to the most."""
+    if not weights or not len(weights[0]):
+        return
+    if len(weights) == 1:
+        k = int(weights[0].argmax())
+        if weights[0][k] > 0:
+            out.append((i, j + k))
+        return
+    half = len(weights) // 2
+    front, back = _last_row(weights[:half]), _last_row([w[::-1] for w in reversed(weights[half:])])
+    cut = int((front + back[::-1]).argmax())
+    _chosen([w[:cut] for w in weights[:half]], i, j, out)
+    _chosen([w[cut:] for w in weights[half:]], i + half, j + cut, out)
+
+
+def _in_order(x: list[Node], y: list[Node]) -> list[tuple[int, int]]:
+    """Pairs of two lists in order with the most pairs of equal text and, of these, the most nodes."""
+    same = lambda c, d: c.shape == d.shape and c.text() == d.text()
+    head, tail, least = 0, 0, min(len(x), len(y))
+    while head < least and same(x[head], y[head]):
+        head += 1
+    while tail < least - head and same(x[-1 - tail], y[-1 - tail]):
+        tail += 1
+    out = [(k, k) for k in range(head)]
+    left, right = x[head : len(x) - tail], y[head : len(y) - tail]
+    if left and right:
+        alike = all(c.shape == left[0].shape for c in (*left, *right))
+        texts = {c.text() for c in left} - {""}
+        if alike and not any(d.text() in texts for d in right):
+            out += [(head + k, head + k) for k in range(min(len(left), len(right)))]
+        else:
+            _chosen(_weights(left, right, 1 + sum(c.size for c in (*left, *right))), head, head, out)
+    return out + [(len(x) - k, len(y) - k) for k in range(tail, 0, -1)]
+
+
 def match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None, most: int = 60) -> int:
     """Simple tree matching: the most nodes of two trees that pair up keeping order and ancestry.
 
-    ``pairs`` gets them. Leaves that are all alike, and lists of over ``most`` children on each side, are paired
-    in order without a table of scores: for the former any choice scores the same, for the latter the table would
-    grow with the square of the page.
+    ``pairs`` gets them. Of leaves that are all alike, and of lists of over ``most`` children on each side, those of equal
+    text pair up first, by an exact longest common subsequence, as a constant block keeps its text and not its place.
+    ``pairs`` can hold fewer than the most nodes for it.
     """
+    _shaped(a)
+    _shaped(b)
+    if pairs is None:
+        return _score(a, b)
     if a.kind != b.kind:
         return 0
-    if pairs is not None:
-        pairs.append((a, b))
+    pairs.append((a, b))
     x, y = a.children, b.children
     if not x or not y:
-        return 1
-    total = 1
+        return _score(a, b)
     kind = x[0].kind
     if all(c.kind == kind and not c.children for c in (*x, *y)) or len(x) > most and len(y) > most:
-        j = 0
-        for c in x:
-            k = next((k for k in range(j, min(len(y), j + most)) if c.kind == y[k].kind), None)
-            if k is not None:
-                total += match(c, y[k], pairs, most)
-                j = k + 1
-        return total
-    scores = [[0 if c.kind != d.kind else match(c, d, None, most) if c.children and d.children else 1 for d in y] for c in x]
+        for i, j in _in_order(x, y):
+            match(x[i], y[j], pairs, most)
+        return _score(a, b)
+    scores = [[_score(c, d) for d in y] for c in x]
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x)):
         for j in range(len(y)):
@@ -147,7 +270,6 @@ def match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None, most:
         else:
             i, j = i - 1, j - 1
             chosen.append((i, j))
-    if pairs is not None:
-        for i, j in reversed(chosen):
-            match(x[i], y[j], pairs, most)
-    return total + best[-1][-1]
+    for i, j in reversed(chosen):
+        match(x[i], y[j], pairs, most)
+    return _score(a, b)

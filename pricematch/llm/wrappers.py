@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import let, stored
 from .dom import INLINE, RAW, Node, match, numbered, parse
 
 #: Elements, roles and words of class or id that mark what is not the article.
@@ -113,34 +113,70 @@ def aligned(page: Node, first: str) -> list[tuple[int, str, str, Node]]:
     return [(number[id(a)], x, y, b) for a, b in pairs if (x := _own_text(a)) and (y := _own_text(b))]
 
 
-def _votes(batches: Iterator[pa.RecordBatch], close: float) -> Iterator[pa.RecordBatch]:
-    """Per host and node of its first page: pages aligned there, and those with equal text. Pages mostly equal to
-    the first one are copies of it and have no vote."""
-    counts: dict[tuple[str, int], list[int]] = {}
+def _alignments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each page but the reference itself: the reference's nodes that it is aligned with, whether their texts are
+    equal, the lengths of its own, and the length of its blocks that are aligned with none."""
+    for batch in batches:
+        kept, out = [], ([], [], [], [])
+        for at, (page, first) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("html", "first")), strict=True)):
+            if page == first:
+                continue
+            root = parse(page)
+            pairs = aligned(root, first)
+            sizes = [len(y) for _, _, y, _ in pairs]
+            rest = sum(len(_own_text(n)) for n in numbered(root)) - sum(sizes)
+            kept.append(at)
+            for column, value in zip(out, ([k for k, *_ in pairs], [x == y for _, x, y, _ in pairs], sizes, rest), strict=True):
+                column.append(value)
+        types = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(kept, pa.int64())) for c in ("host", "layout", "salt")), *(pa.array(v, t) for v, t in zip(out, types, strict=True))], names=["host", "layout", "salt", "nodes", "same", "sizes", "rest"])
+
+
+def is_copy(nodes: list[int], same: list[bool], sizes: list[int], rest: int, varying: set[int], close: float) -> bool:
+    """Whether a page says what its reference says: whether over ``close`` of the text in its varying slots is equal. Text
+    that is aligned with nothing varies."""
+    total = rest + sum(size for k, size in zip(nodes, sizes, strict=True) if k in varying)
+    return not total or sum(size for k, equal, size in zip(nodes, same, sizes, strict=True) if equal and k in varying) > close * total
+
+
+def _votes(batches: Iterator[pa.RecordBatch], least: int, close: float) -> Iterator[pa.RecordBatch]:
+    """Per host, layout and node of its reference: pages aligned there, and those with equal text. Copies of the
+    reference have no vote."""
+    counts: dict[tuple[str, str, int], list[int]] = {}
 
     def batch_of() -> pa.RecordBatch:
         keys = list(counts)
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([counts[k][i] for k in keys], pa.int64()) for i in (0, 1))], names=["host", "node", "pages", "same"])
+        out = pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))), *(pa.array([counts[k][i] for k in keys], pa.int64()) for i in (0, 1))], names=["host", "layout", "node", "pages", "same"])
         counts.clear()
         return out
 
     for batch in batches:
-        for host, page, first in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "first")), strict=True):
-            if page == first:
-                continue
-            pairs = aligned(parse(page), first)
-            total = sum(len(y) for _, _, y, _ in pairs)
-            if sum(len(y) for _, x, y, _ in pairs if x == y) > close * total:
+        varying: dict[tuple[str, str], set[int]] = {}
+        hosts, layouts, slots = batch.column("host").to_pylist(), batch.column("layout").to_pylist(), batch.column("slots")
+        for at, (host, layout, nodes, same, sizes, rest) in enumerate(zip(hosts, layouts, *(batch.column(c).to_pylist() for c in ("nodes", "same", "sizes", "rest")), strict=True)):
+            if (host, layout) not in varying:
+                varying[host, layout] = {s["node"] for s in slots[at].as_py() or () if s["pages"] - s["same"] >= least}
+            if is_copy(nodes, same, sizes, rest, varying[host, layout], close):
                 continue
-            for k, x, y, _ in pairs:
-                seen = counts.setdefault((host, k), [0, 0])
+            for k, equal in zip(nodes, same, strict=True):
+                seen = counts.setdefault((host, layout, k), [0, 0])
                 seen[0] += 1
-                seen[1] += x == y
+                seen[1] += equal
         if len(counts) > 50_000:
             yield batch_of()
     yield batch_of()
 
 
+def layout_of(html: Column) -> Column:
+    """A digest of a page's layout: the tags and classes of its containers without digits, and the number of its blocks
+    to a power of four."""
+    block = r"(?i)<(?:p|li|h[1-6]|td|dt|dd|div|section|main|article|table)(?=[\s/>])[^>]*"
+    said = lambda t: F.concat(F.regexp_extract(t, "^<[a-z]+", 0), F.lit("."), F.regexp_replace(F.regexp_extract(t, r"""\sclass\s*=\s*["']?([^"']*)""", 1), "[0-9]+", ""))
+    holders = lambda starts: F.filter(F.array_distinct(F.transform(starts, lambda t: F.lower(t))), lambda t: t.rlike("^<(?:div|section|main|article|table)"))
+    digest = lambda starts: F.md5(F.concat_ws(" ", F.sort_array(F.array_distinct(F.transform(holders(starts), said))), F.floor(F.log(4.0, F.size(starts) + 1)).cast("string")))
+    return let(F.regexp_extract_all(html, F.lit(block), 0), digest)
+
+
 def main_text(page: str, first: str | None, constant: list[int]) -> str:
     """The article: its blocks without marked elements and without nodes that are template."""
     root = parse(page)
@@ -163,16 +199,18 @@ def host_of(url: Column) -> Column:
 def extract(pages: DataFrame, least: int = 3, share: float = 0.9, close: float = 0.5, salts: int = 16, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text`` for each row.
 
-    1. The page with the smallest id of each host is its first page. Every other page's tree is aligned with it
-       by simple tree matching.
-    2. Each aligned block votes whether its text equals the first page's; votes are summed by host and node,
-       in the task first. Nodes with equal text on ``share`` of at least ``least`` pages are template. Pages of
-       which more than ``close`` equals the first one are its copies and do not vote, so that groups of copies do not
-       turn articles into template.
+    1. A host's pages are told apart by their layout (``layout_of``). Each layout of over ``least`` pages has its page with
+       the smallest id as its reference; pages of rarer layouts go with the reference of the host's commonest one, or, if
+       all are rare, with the first page. Every page's tree is aligned with its reference by simple tree matching.
+    2. Each aligned block votes whether its text equals the reference's; votes are summed by reference and node, in the task
+       first. Nodes with equal text on ``share`` of at least ``least`` pages are template. Copies of the reference, pages
+       of which more than ``close`` of the text in the varying slots equals its own, do not vote, so that groups of
+       copies do not turn articles into template. A slot varies if its text differs on ``least`` pages; text that is
+       constant does not make a page a copy.
     3. Each page is aligned again; template nodes go, and the blocks of the article, the varying slots, stay, without
        elements that are marked as menus, headers, footers, sidebars, notices, adverts, forms or comments.
 
-    Pages meet their host's first page by host and one of ``salts`` numbers, so a host with a third of all pages is
+    Pages meet their reference by host, layout and one of ``salts`` numbers, so a host with a third of all pages is
     spread over many tasks. Hosts of at most ``least`` pages have no template; marks alone decide.
 
     Null or empty html: empty text. Null url: the host is empty, as for urls without one. Null and repeated ids: a row
@@ -180,13 +218,26 @@ def extract(pages: DataFrame, least: int = 3, share: float = 0.9, close: float =
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)))
-    first = rows.filter("html <> ''").groupBy("host").agg(F.min_by("html", F.struct(F.col("page_id").isNull(), "page_id", "html")).alias("first"), F.count("*").alias("n"))
-    first = first.filter(F.col("n") > least).select("host", "first")  # fewer pages can't agree often enough
+    rows = rows.withColumn("form", F.when(F.col("html") != "", layout_of(F.col("html"))))
+    order = F.struct(F.col("page_id").isNull(), "page_id", "form")
+    forms = stored(rows.filter("html <> ''").groupBy("host", "form").agg(F.count("*").alias("n"), F.min(order).alias("low")), "layouts")
+    usual = forms.groupBy("host").agg(F.min(F.struct(F.when(F.col("n") > least, -F.col("n")).otherwise(0).alias("n"), "low", "form")).alias("m"), F.sum("n").alias("n"))
+    usual = usual.filter(F.col("n") > least).select("host", F.col("m.form").alias("usual"))  # fewer pages can't agree often enough
+    # The rows of a rare layout go with the usual one; only common layouts and one more for each host are listed.
+    listed = forms.filter(F.col("n") > least).select("host", "form").join(usual, "host").select("host", "form", F.col("form").alias("common"))
+    listed = stored(listed.unionByName(usual.select("host", F.lit("").alias("form"), F.col("usual").alias("common"))), "references")
+    by_form = listed.filter("form <> ''").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+    by_host = listed.filter("form = ''").select("host", F.col("common").alias("usual")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+    rows = rows.join(by_form, ["host", "form", "salt"], "left").join(by_host, ["host", "salt"], "left").withColumn("layout", F.coalesce("common", "usual"))
+    first = rows.filter("html <> '' AND form = layout").groupBy("host", "layout").agg(F.min_by("html", F.struct(F.col("page_id").isNull(), "page_id", "html")).alias("first"))
     first = stored(first, "first-pages").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
-    paired = rows.filter("html <> ''").join(first, ["host", "salt"]).select("host", "html", "first")
-    votes = paired.mapInArrow(lambda batches: _votes(batches, close), "host string, node long, pages long, same long")
-    votes = votes.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    constant = votes.filter((F.col("pages") >= least) & (F.col("same") >= share * F.col("pages"))).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("constant"))
+    paired = rows.filter("html <> ''").join(first, ["host", "layout", "salt"]).select("host", "layout", "salt", "html", "first")
+    found = stored(paired.mapInArrow(_alignments, "host string, layout string, salt long, nodes array<long>, same array<boolean>, sizes array<long>, rest long"), "alignments")
+    slots = found.select("host", "layout", F.explode(F.arrays_zip("nodes", "same")).alias("a")).groupBy("host", "layout", F.col("a.nodes").alias("node")).agg(F.count("*").alias("pages"), F.sum(F.col("a.same").cast("long")).alias("same"))
+    slots = slots.groupBy("host", "layout").agg(F.collect_list(F.struct("node", "pages", "same")).alias("slots")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+    votes = found.join(slots, ["host", "layout", "salt"], "left").mapInArrow(lambda batches: _votes(batches, least, close), "host string, layout string, node long, pages long, same long")
+    votes = votes.groupBy("host", "layout", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
+    constant = votes.filter((F.col("pages") >= least) & (F.col("same") >= share * F.col("pages"))).groupBy("host", "layout").agg(F.sort_array(F.collect_list("node")).alias("constant"))
     constant = stored(constant, "templates")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +245,6 @@ def extract(pages: DataFrame, least: int = 3, share: float = 0.9, close: float =
             texts = [main_text(page, first, constant or []) if page else "" for page, first, constant in zip(*(batch.column(c).to_pylist() for c in ("html", "first", "constant")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    known = first.join(constant, "host")
-    full = rows.join(known, ["host", "salt"], "left").select("page_id", "url", "html", "first", "constant")
+    known = first.join(constant, ["host", "layout"])
+    full = rows.join(known, ["host", "layout", "salt"], "left").select("page_id", "url", "html", "first", "constant")
     return full.mapInArrow(read, f"page_id {dict(rows.dtypes)['page_id']}, url string, text string")

@@ -247,6 +247,33 @@ def test_tree_matching():
     assert dom.match(a, b) == 5
 
 
+def test_template_of_each_layout(spark):
+    filler = "Constant words of the site that stand on every page. " * 6
+    varied = lambda k, n=1: " ".join(f"word{k}x{i}" for i in range(12 * n))
+    long = lambda k: f"<html><body><div class='a'><p>{varied(k)}</p></div><div class='b'>{filler}</div></body></html>"
+    other = lambda k: f"<html><body><section><h2>{varied(k)}</h2><p>{varied(-k)}</p></section><section class='z'>Second layout {filler}</section></body></html>"
+    flat = lambda k: "<html><body>" + "".join(f"<p>{varied(f'{k}y{i}')}</p>" for i in range(70 + k)) + f"<p>{filler}</p>" + "".join(f"<p>{varied(f'{k}z{i}')}</p>" for i in range(70)) + "</body></html>"
+    data = [(0, "http://a.example/0", "<html><body><table><tr><td>Error</td></tr></table></body></html>")]
+    data += [(k, f"http://{host}.example/{k}", page(k)) for host, page in (("a", long), ("a", other), ("b", flat)) for k in range(1, 9)]
+    copy = "<html><body><div class='a'><p>{}</p><p>{}</p></div><div class='b'>{}</div></body></html>"
+    data += [(k, f"http://c.example/{k}", copy.format(varied("same", 4), varied(k), filler)) for k in range(95)]
+    data += [(k, f"http://c.example/{k}", copy.format(varied(k, 4), varied(-k), filler)) for k in range(95, 100)]
+    got = wrappers.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+    assert len(got) == len(data)
+    for r in got:
+        assert "Constant words" not in r.text and (r.page_id == 0 or r.text)
+        assert "c.example" not in r.url or r.page_id >= 95 or varied("same", 4) in r.text
+
+
+def test_long_lists_pair_equal_texts():
+    page = lambda n, m: dom.parse("<div>" + "".join(f"<p>{n}a{i}</p>" for i in range(n)) + "<p>fixed</p>" + "".join(f"<p>{m}b{i}</p>" for i in range(m)) + "</div>")
+    pairs = []
+    dom.match(page(150, 70), page(70, 151), pairs)
+    assert any(a.tag == "p" and a.text() == b.text() == "fixed" for a, b in pairs)
+    a, b = (dom.parse("<div>" + "<p>x<div><i>y</i></div>" * n + "<h2>z</h2>" * 3 + "</div>") for n in (90, 80))
+    assert dom.match(a, b) == 1 + 1 + 80 * 3 + 3
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = corpus_pipeline.run(spark, SF)
