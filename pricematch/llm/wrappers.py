@@ -20,6 +20,7 @@ _WORDS = frozenset(
     " cookie cookies consent gdpr notice notices popup modal overlay comment comments reply replies respond disqus share sharing social related recommended newsletter subscribe signup login"
     " search pagination pager toolbar widget widgets skip hidden".split()
 )
+_COMMENTS = frozenset("comment comments reply replies respond disqus".split())
 _MAIN = frozenset("article content main post entry story body maincontent articlebody postbody".split())
 _STARTS: dict[str, tuple[Node, list[Node]]] = {}
 
@@ -35,7 +36,9 @@ def skipped(node: Node, in_article: bool) -> bool:
         return True
     if node.tag == "header" and not in_article or node.attributes.get("role") in _ROLES:
         return True
-    if node.tag in ("body", "html", "article", "main", "#root"):
+    if node.tag == "article":  # comments can be articles; a class of another kind can end in such a word
+        return any(re.split("[^a-z0-9]+", c)[0] in _COMMENTS for c in node.attributes.get("class", "").lower().split())
+    if node.tag in ("body", "html", "main", "#root"):
         return False
     marks = _marks(node)
     return bool(marks & (_WORDS - {"header"} if in_article else _WORDS))
@@ -53,20 +56,20 @@ def blocks(node: Node, dropped: set[int], in_article: bool = False) -> list[str]
             out.append(text)
         here.clear()
 
-    todo: list = [(iter(node.parts), False)]
+    todo: list = [(iter(node.parts), False, in_article)]
     while todo:
-        parts, is_block = todo[-1]
+        parts, is_block, inside = todo[-1]
         for p in parts:
             if isinstance(p, str):
                 here.append(p)
-            elif id(p) in dropped or skipped(p, in_article):
+            elif id(p) in dropped or skipped(p, inside):
                 if p.tag not in INLINE:
                     close()
             else:
                 block = p.tag not in INLINE
                 if block:
                     close()
-                todo.append((iter(p.parts), block))
+                todo.append((iter(p.parts), block, inside or _is_article(p)))
                 break
         else:
             todo.pop()
@@ -76,17 +79,28 @@ def blocks(node: Node, dropped: set[int], in_article: bool = False) -> list[str]
     return out
 
 
-def _root(nodes: list[Node], dropped: set[int]) -> tuple[Node, bool]:
-    """Where the article is: the marked element with the most text, article and main elements first; else the page."""
-    for marked in (
-        lambda n: n.tag == "article" or n.attributes.get("itemprop", "").lower() == "articlebody",
-        lambda n: n.tag == "main" or n.attributes.get("role") == "main",
-        lambda n: n.tag in ("div", "section", "td") and bool(_marks(n) & _MAIN) and not skipped(n, False),
-    ):
-        found = [(sum(map(len, blocks(n, dropped, True))), -k, n) for k, n in enumerate(nodes) if marked(n)]
-        if found and max(found)[0]:
-            return max(found, key=lambda f: f[:2])[2], True
-    return nodes[0], False
+def _is_article(node: Node) -> bool:
+    said = node.attributes
+    return node.tag in ("article", "main") or said.get("role") == "main" or said.get("itemprop", "").lower() == "articlebody"
+
+
+def _article(root: Node, dropped: set[int]) -> list[str]:
+    """The blocks of all outermost elements that are marked as article, main part or its container, in page order,
+    those below skipped elements left out; without a text in them, those of the page. A container that holds an article
+    can hold the site's header too; other headers in it are the article's."""
+    out: list[str] = []
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if id(node) in dropped or skipped(node, False):
+            continue
+        if _is_article(node):
+            out += blocks(node, dropped, True)
+        elif node.tag in ("div", "section", "td") and _marks(node) & _MAIN:
+            out += blocks(node, dropped, not any(map(_is_article, numbered(node))))
+        else:
+            todo += reversed(node.children)
+    return out or blocks(root, dropped)
 
 
 def _own_text(node: Node) -> str:
@@ -187,9 +201,7 @@ def main_text(page: str, first: str | None, constant: list[int]) -> str:
     elif constant:
         root, nodes = _started(page)
         dropped = {id(nodes[k]) for k in constant}
-    nodes = numbered(root)
-    start, in_article = _root(nodes, dropped)
-    return "\n".join(blocks(start, dropped, in_article))
+    return "\n".join(_article(root, dropped))
 
 
 def host_of(url: Column) -> Column:

@@ -265,6 +265,16 @@ def test_template_of_each_layout(spark):
         assert "c.example" not in r.url or r.page_id >= 95 or varied("same", 4) in r.text
 
 
+def test_all_articles_of_a_page():
+    read = lambda body: wrappers.main_text(f"<html><body>{body}</body></html>", None, [])
+    comment = "<article class='comment-body'><p>" + "A reader's long comment. " * 20 + "</p></article>"
+    assert read("<article><p>One</p></article><div class='ad'>buy</div><article><p>Two, longer</p></article>" + comment) == "One\nTwo, longer"
+    assert read("<div class='post-body'><p>One</p></div><p>else</p><div class='post-body'><header>Two</header></div>") == "One\nTwo"
+    assert read("<aside><article>Aside, and longer</article></aside><main><p>Story</p><article>Card</article></main>") == "Story\nCard"
+    assert read("<div class='content'><header>Site</header><article><header>Title</header>Story</article></div>") == "Title\nStory"
+    assert read("<p>Story</p>" + comment) == "Story"
+
+
 def test_long_lists_pair_equal_texts():
     page = lambda n, m: dom.parse("<div>" + "".join(f"<p>{n}a{i}</p>" for i in range(n)) + "<p>fixed</p>" + "".join(f"<p>{m}b{i}</p>" for i in range(m)) + "</div>")
     pairs = []
