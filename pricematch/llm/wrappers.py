@@ -20,18 +20,32 @@ _WORDS = frozenset(
     " cookie cookies consent gdpr notice notices popup modal overlay comment comments reply replies respond disqus share sharing social related recommended newsletter subscribe signup login"
     " search pagination pager toolbar widget widgets skip hidden".split()
 )
+_CONTAINERS = frozenset("div section ul ol dl table figure details fieldset".split())
+_TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p section".split())
 _COMMENTS = frozenset("comment comments reply replies respond disqus".split())
 _MAIN = frozenset("article content main post entry story body maincontent articlebody postbody".split())
 _STARTS: dict[str, tuple[Node, list[Node]]] = {}
 
 
-def _marks(node: Node) -> set[str]:
-    said = f"{node.attributes.get('class', '')} {node.attributes.get('id', '')}"
+def _words(said: str) -> set[str]:
     return {w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", said).lower()) if w}
 
 
+def _marks(node: Node, ids: bool = True) -> set[str]:
+    return _words(f"{node.attributes.get('class', '')} {node.attributes.get('id', '') if ids else ''}")
+
+
+def _whole(name: str) -> bool:
+    """Whether all words of a class name are marks, as in social-share, but not related-work."""
+    words = _words(name)
+    return bool(words) and words <= _WORDS - {"header"}
+
+
 def skipped(node: Node, in_article: bool) -> bool:
-    """Whether the node is marked as anything but article text. A header inside an article holds its title."""
+    """Whether the node is marked as anything but article text. A header inside an article holds its title.
+
+    Inside an article only whole class names of block containers are marks, as ids and single words come from its
+    headings too; other constant text is left to the wrapper. Outside, ids of headings and paragraphs are no marks."""
     if node.tag in SKIPPED or "hidden" in node.attributes or node.attributes.get("aria-hidden") == "true":
         return True
     if node.tag == "header" and not in_article or node.attributes.get("role") in _ROLES:
@@ -40,8 +54,9 @@ def skipped(node: Node, in_article: bool) -> bool:
         return any(re.split("[^a-z0-9]+", c)[0] in _COMMENTS for c in node.attributes.get("class", "").lower().split())
     if node.tag in ("body", "html", "main", "#root"):
         return False
-    marks = _marks(node)
-    return bool(marks & (_WORDS - {"header"} if in_article else _WORDS))
+    if in_article:
+        return node.tag in _CONTAINERS and any(_whole(c) for c in node.attributes.get("class", "").split())
+    return bool(_marks(node, node.tag not in _TEXTS) & _WORDS)
 
 
 def blocks(node: Node, dropped: set[int], in_article: bool = False) -> list[str]:

@@ -275,6 +275,14 @@ def test_all_articles_of_a_page():
     assert read("<p>Story</p>" + comment) == "Story"
 
 
+def test_ids_and_words_inside_an_article_are_text():
+    kept = "<h2 id='side-effects'>Side effects</h2><section id='related-work'><p>Related</p></section><h2 id='search'>Search</h2><p id='foot-and-mouth'>Foot and mouth</p><div class='related-work'>More</div>"
+    gone = "<div class='social-share'>share</div><ul class='menu'><li>menu</ul><div class='ad box'>ad</div>"
+    for around in ("<article>{}</article>", "<main>{}</main>", "<div class='post'>{}</div>"):
+        assert wrappers.main_text(around.format(kept + gone), None, []) == "Side effects\nRelated\nSearch\nFoot and mouth\nMore"
+    assert wrappers.main_text("<h2 id='side-effects'>Side</h2><div id='search'>form</div><p id='skip'>Text</p>", None, []) == "Side\nText"
+
+
 def test_long_lists_pair_equal_texts():
     page = lambda n, m: dom.parse("<div>" + "".join(f"<p>{n}a{i}</p>" for i in range(n)) + "<p>fixed</p>" + "".join(f"<p>{m}b{i}</p>" for i in range(m)) + "</div>")
     pairs = []
