@@ -165,6 +165,22 @@ def test_map_feed(spark):
     assert len(reasons(out)) == 4
 
 
+def test_html_forms(spark):
+    page = """<div class="bg coupon-rows" data-event-name="C vs D"><span data-selection-key="k">2</span></div>
+      <div data-event-name='Citt&agrave; vs Rock&#x27;n &quot;Best&quot;' class='coupon-row bg'>
+      <td class='cell date'>12:30</td><span class=x data-selection-key='k&#49;&nbsp;&amp;lt; "q"'>1.5</span></div>
+      <div class="bg coupon-row" data-event-name="Home vs Away"><span>no price</span></div>
+      <div id='l' class='hidden-links x'><a href='/a?x&amp;y'></a></div>"""
+    df = spark.createDataFrame([(page,)], "html string")
+    got = html.extract_html_quotes(df, datetime(2021, 5, 6)).collect()
+    assert len(got) == 2 and got[0].event == "CITT\u00c0 - ROCK' \"BEST\""
+    assert got[0].bet == 'k1\u00a0&lt; "q"' and got[0].betOdd == "1.5" and got[0].date is not None and got[0].reason is None
+    assert got[1].bet is None and got[1].reason == "no price"
+    assert [r.href for r in html.extract_links(df).collect()] == ["/a?x&y"]
+    texts = spark.createDataFrame([("&#0;&nope;&#xD800; & &#128512;",), (None,)], "t string")
+    assert [r[0] for r in texts.select(html.unescape(texts.t)).collect()] == ["&#0;&nope;&#xD800; & \U0001f600", None]
+
+
 def test_html_quotes(spark):
     page = """<html><div class="x">noise</div>
     <div class="bg coupon-row" data-event-name="AC Milan vs FC Inter" data-x="1"><table><tr>
