@@ -75,13 +75,15 @@ def file_class(codes: np.ndarray) -> int:
     return int((kinds == 2).any()) * 2 + int((kinds == 4).sum() * 20 > len(codes))
 
 
-def features(codes: np.ndarray) -> np.ndarray:
-    """Active feature numbers of each token, one column for each template."""
+def features(codes: np.ndarray, kind: int | None = None) -> np.ndarray:
+    """Active feature numbers of each token, one column for each template; ``kind`` is the class of the file that the
+    tokens are a window of, else they are the file."""
     n = len(codes)
+    kind = file_class(codes) if kind is None else kind
     shapes, kinds = codes >> 3, np.concatenate([np.zeros(3, np.int32), codes & 7, np.zeros(1, np.int32)])
     columns = [
         shapes // (_SETS * _SWITCHES), shapes // _SWITCHES % _SETS, shapes % _SWITCHES, shapes,
-        kinds[2 : n + 2], kinds[1 : n + 1], kinds[:n], kinds[4 : n + 4], np.full(n, file_class(codes), np.int32),
+        kinds[2 : n + 2], kinds[1 : n + 1], kinds[:n], kinds[4 : n + 4], np.full(n, kind, np.int32),
     ]
     return np.stack([c + at for c, at in zip(columns, _OFFSETS, strict=True)], axis=1)
 
@@ -149,11 +151,12 @@ def never() -> Model:
     return Model(weights, np.zeros((3, 3)))
 
 
-def train(codes: list[np.ndarray], labels: list[np.ndarray], rounds: int = 120, penalty: float = 2e-4, rate: float = 0.15) -> Model:
-    """Conditional likelihood with a quadratic penalty by Adam, on windows of one common length."""
+def train(codes: list[np.ndarray], labels: list[np.ndarray], files: list[int], rounds: int = 120, penalty: float = 2e-4, rate: float = 0.15) -> Model:
+    """Conditional likelihood with a quadratic penalty by Adam, on windows of one common length and the classes of their
+    files."""
     if not any((y > 0).any() for y in labels):
         return never()
-    x, y = np.stack([features(c) for c in codes]), np.stack(labels).astype(int)
+    x, y = np.stack([features(c, f) for c, f in zip(codes, files, strict=True)]), np.stack(labels).astype(int)
     n, length, _ = x.shape
     theta, moves = np.zeros((DIM, 3)), np.zeros((3, 3))
     m, v = [np.zeros_like(theta), np.zeros_like(moves)], [np.zeros_like(theta), np.zeros_like(moves)]

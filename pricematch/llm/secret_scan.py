@@ -43,8 +43,8 @@ def base_spans(raw: bytes, text: str) -> list[tuple[int, int, int, int]]:
     return sorted(out)
 
 
-def _windows(raw: bytes, most: int) -> list[tuple[list[int], list[int]]]:
-    """Training windows of a text: around tokens in values of base spans, around other odd tokens, and around every so many plain ones."""
+def _windows(raw: bytes, most: int) -> list[tuple[list[int], list[int], int]]:
+    """Training windows of a text, each with the class of the whole text: around tokens in values of base spans, around other odd tokens, and around every so many plain ones."""
     text = raw.decode("utf-8", "replace")
     codes = _codes().of(text)
     if not len(codes):
@@ -65,7 +65,8 @@ def _windows(raw: bytes, most: int) -> list[tuple[list[int], list[int]]]:
     pad, half = np.int32(crf.shape(".") * 8), _WINDOW // 2
     wide = np.concatenate([np.full(half, pad), codes, np.full(half, pad)])
     wide_labels = np.concatenate([np.zeros(half, np.int8), labels, np.zeros(half, np.int8)])
-    return [(wide[c : c + _WINDOW].tolist(), wide_labels[c : c + _WINDOW].tolist()) for c in centres.tolist()]
+    kind = crf.file_class(codes)
+    return [(wide[c : c + _WINDOW].tolist(), wide_labels[c : c + _WINDOW].tolist(), kind) for c in centres.tolist()]
 
 
 def _variants(codes: np.ndarray, labels: np.ndarray) -> Iterator[np.ndarray]:
@@ -92,23 +93,26 @@ def fit(docs: DataFrame, sample: int = 300, per_text: int = 12, id_col: str = "d
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [w for raw in batch.column("raw").to_pylist() for w in _windows(raw, per_text)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=["codes", "labels"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.int32())], names=["codes", "labels", "file"])
 
-    codes, labels = [], []
+    codes, labels, files = [], [], []
     for chosen in (texts.filter(F.col("text").rlike(_ANY)), texts):
         some = chosen.orderBy(*order).limit(sample).select(text_bytes().alias("raw"))
-        for k, row in enumerate(some.mapInArrow(windows, "codes array<int>, labels array<int>").collect()):
+        for k, row in enumerate(some.mapInArrow(windows, "codes array<int>, labels array<int>, file int").collect()):
             c, y = np.array(row.codes, np.int32), np.array(row.labels, np.int8)
             codes.append(c)
             labels.append(y)
+            files.append(row.file)
             if k % 2 and (y > 0).any():
                 codes.append(c & ~np.int32(7))
                 labels.append(y)
+                files.append(0)  # so it would be without any such sign in the file
             if (y > 0).any():
                 other = list(_variants(c, y))
                 codes += other
                 labels += [y] * len(other)
-    return crf.train(codes, labels)
+                files += [row.file] * len(other)
+    return crf.train(codes, labels, files)
 
 
 def crf_spans(model: crf.Model, text: str) -> list[tuple[int, int]]:

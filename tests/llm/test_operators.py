@@ -158,6 +158,17 @@ def test_secrets(spark, odd, none):
     assert clean[5] == '[SECRET]" [SECRET] é́' and clean[2] is None and clean[6] == ODD[7][1]
 
 
+def test_file_feature_is_learned_on_files():
+    key = "0123456789abcdef0123456789abcdef01234567"
+    text = f'token = "{key}" ' + "plain words of a long text " * 60
+    codes = secret_scan._codes().of(text)
+    kind = crf.file_class(codes)
+    windows = secret_scan._windows(text.encode(), 12)
+    assert kind >= 2 and {f for _, _, f in windows} == {kind}
+    alone = [np.array(c, np.int32) for c, _, f in windows if crf.file_class(np.array(c, np.int32)) != f]
+    assert alone and all((crf.features(c, kind)[:, -1] == crf.features(codes)[0, -1]).all() for c in alone)
+
+
 def test_decoding_in_stretches_is_viterbi():
     rng = np.random.default_rng(3)
     for _ in range(30):
