@@ -9,10 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licences, minhash, nbsvm, packing, quality_rules, records, secret_scan, wrappers
+from . import chat, decontaminate, licences, minhash, nbsvm, packing, pieces, quality_rules, records, secret_scan, wrappers
 from .common import new_folder, ship, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), decontaminate.load(table(spark, sf_dir, "benchmark")))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), PIECES), PIECES)
+    digest = [F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256")]
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), *digest)
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,5 +86,6 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES = {f.__name__: _shipped(f) for f in (
     op1_token_records, op2_secrets, op3_minhash, op4_quality_rules, op5_perspectives, op6_licences, op6_licence_windows,
     op7_quality_classifier, op8_main_text, op9_packing, op10_decontaminate,
+    op11_pieces,
 )}
 SQL: dict[str, str] = {"op5_perspectives": chat.PERSPECTIVES_SQL, "op6_licences": licences.SCAN_SQL}
