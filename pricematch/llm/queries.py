@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, licences, minhash, nbsvm, packing, pieces, quality_rules, records, secret_scan, wrappers
+from . import chat, decontaminate, divergence, licences, minhash, nbsvm, packing, pieces, quality_rules, records, secret_scan, spelling, wrappers
 from .common import new_folder, ship, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -74,6 +74,14 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), *digest)
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(table(spark, sf_dir, "documents")))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +94,6 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES = {f.__name__: _shipped(f) for f in (
     op1_token_records, op2_secrets, op3_minhash, op4_quality_rules, op5_perspectives, op6_licences, op6_licence_windows,
     op7_quality_classifier, op8_main_text, op9_packing, op10_decontaminate,
-    op11_pieces,
+    op11_pieces, op12_divergence, op13_spelling,
 )}
-SQL: dict[str, str] = {"op5_perspectives": chat.PERSPECTIVES_SQL, "op6_licences": licences.SCAN_SQL}
+SQL: dict[str, str] = {"op5_perspectives": chat.PERSPECTIVES_SQL, "op6_licences": licences.SCAN_SQL, "op12_divergence": divergence.AUDIT_SQL}
