@@ -202,7 +202,9 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     """The rows of :func:`encode` with ``text``, what the library's decoder makes of ``ids``. Null ids: null text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = piece_table(model).library
+        import sentencepiece
+
+        library = sentencepiece.SentencePieceProcessor(model_file=model)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
