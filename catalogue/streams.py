@@ -7,6 +7,7 @@ from datetime import datetime
 from catalogue.views import COUNTERS2_SQL, SELECTIONS, choose, clock_instant, clock_time, doubles, sql_round2, table
 from pricematch.fixed_values import QUOTE_KEYS
 from pricematch.session import scratch_path
+from pricematch.sinks.growing import GrowingState
 from pricematch.sources.dictionaries import two_way_counters
 from pricematch.streaming import cycle
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -51,7 +52,39 @@ def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = _stream(spark, sf_dir).drop("seen")
     schema = "bookmaker string, betRadarID bigint, event string, date timestamp_ntz, bet string, betOdd decimal(10,2), ingest_seq bigint"
     cycle.stream_merge(quotes, f"{base}/out", schema, f"{base}/checkpoint").awaitTermination()
-    return doubles(spark.read.schema(schema).parquet(f"{base}/out"), "betOdd")
+    return doubles(cycle.merged_quotes(spark, f"{base}/out", schema), "betOdd")
+
+
+LANDED = "bookmaker string, betRadarID bigint, event string, bet string, betOdd decimal(10,2), ingest_seq bigint"
+BATCHES, LEAF_ROWS = 10, 2_000
+LANDED_COLUMNS = [c.split()[0] for c in LANDED.split(", ")]
+
+
+def _returning(lines: DataFrame) -> DataFrame:
+    """Lines as quotes of ten batches by their part; one in 997 comes again in the next batch, at another price."""
+    line = lines.select(
+        F.concat(F.lit("B"), F.col("l_suppkey") % 7).alias("bookmaker"), F.col("l_partkey").alias("betRadarID"),
+        F.concat(F.lit("EVENT "), F.col("l_partkey")).alias("event"), F.concat(F.lit("LINE "), F.col("l_linenumber")).alias("bet"),
+        (F.lit(1.0) + F.col("l_quantity") / 25).cast("decimal(10,2)").alias("betOdd"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ingest_seq"), (F.col("l_partkey") % BATCHES).cast("int").alias("batch"),
+    ).groupBy("bookmaker", "betRadarID", "event", "bet", "ingest_seq", "batch").agg(F.min("betOdd").alias("betOdd"))
+    again = line.where(F.col("ingest_seq") % 997 == 5).withColumns({"batch": F.col("batch") + 1, "betOdd": (F.col("betOdd") + 1).cast("decimal(10,2)"), "ingest_seq": F.col("ingest_seq") + 1_000_000_000_000})
+    return line.unionByName(again)
+
+
+def stream_merge_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of eleven batches brought and inserted, and whether it read a part of the table only."""
+    base = scratch_path(spark, "stream-merge-batches")
+    rows = _returning(table(spark, sf_dir, "lineitem"))
+    told = []
+    for k in range(BATCHES + 1):
+        rows.where(F.col("batch") == k).drop("batch").select(LANDED_COLUMNS).write.mode("append").parquet(f"{base}/landed")
+        quotes = cycle.quotes_stream(spark, f"{base}/landed", LANDED)
+        cycle.stream_merge(quotes, f"{base}/out", LANDED, f"{base}/checkpoint", most_rows=LEAF_ROWS, told=lambda *numbers: told.append(numbers)).awaitTermination()
+    numbers = spark.createDataFrame(told, "batch long, leaves long, leaves_read long, inserted long")
+    # leaves that may hold a returning key are read: one for each at most, but for keys the filters take for known
+    return numbers.select("batch", "inserted", (F.col("leaves_read") <= F.greatest(F.lit(1), F.col("leaves"))).alias("in_leaves"),
+                          ((F.col("leaves") < 8) | (F.col("leaves_read") < F.col("leaves"))).alias("part_only"))
 
 
 def stream_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +108,24 @@ PARTS = 4
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run of several flushes into an earlier run's results, and its one purge.
 
-    Results are landed a file at a time and read a file per batch; a customer comes several
-    times within a batch and over batches, and each batch has a time of its own.
+    Each part lands with as many files as it has and is one batch of the stream, which goes on where it
+    stopped. A customer comes several times within a batch and over batches, and each batch has a time of its own.
     """
+    return _upserted(spark, sf_dir)[0]
+
+
+def stream_upsert_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state's leaves after such a run: none above the bound, each key in one, no row lost."""
+    _, state, version = _upserted(spark, sf_dir)
+    leaves = spark.createDataFrame([(x.depth, x.prefix, x.rows) for x in state.leaves(version)], "depth int, prefix long, rows long")
+    whole = leaves.agg(F.sum("rows").alias("rows"), F.max("rows").alias("most"), F.sum(F.pow(F.lit(0.5), F.col("depth"))).alias("space"), F.count("*").alias("leaves"))
+    return whole.select("rows", (F.col("most") <= UPSERT_ROWS).alias("bounded"), (F.col("space") == 1).alias("covers"), (F.col("leaves") >= F.col("rows") / UPSERT_ROWS).alias("grown"))
+
+
+UPSERT_ROWS = 200
+
+
+def _upserted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, GrowingState, int]:
     base = scratch_path(spark, "stream-upsert")
     orders = table(spark, sf_dir, "orders")
     part = (F.col("o_orderkey") % PARTS).cast("int")
@@ -87,28 +135,31 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(RUN_TIME).cast("timestamp_ntz") + F.make_dt_interval(mins=part)).alias("insertingdate"),
         F.col("o_orderkey").alias("seq"), part.alias("part"),
     )
-    for k in range(PARTS):
-        new.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(f"{base}/landed")
     old = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(
         F.col("c_custkey").alias("betRadarID"), F.col("c_acctbal").alias("RTP"),
         F.concat(F.lit("OLD "), F.col("c_custkey")).alias("event"),
         F.lit("1999-05-01 00:00:00").cast("timestamp_ntz").alias("insertingdate"),
     )
     keys = ["betRadarID"]
-    query = cycle.stream_upsert(
-        cycle.quotes_stream(spark, f"{base}/landed/", f"{RESULTS}, seq bigint", max_files=1),
-        f"{base}/state", RESULTS, f"{base}/checkpoint", keys, ["RTP", "insertingdate"], old, ["seq"],
-    )
-    query.awaitTermination()
-    return cycle.finish_cycle(spark, f"{base}/state", RESULTS, keys, query.lastProgress["batchId"] + 1, datetime.fromisoformat(RUN_TIME))
+    for k in range(PARTS):
+        new.where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{base}/landed")
+        cycle.stream_upsert(
+            cycle.quotes_stream(spark, f"{base}/landed", f"{RESULTS}, seq bigint"),
+            f"{base}/state", RESULTS, f"{base}/checkpoint", keys, ["RTP", "insertingdate"], old, ["seq"], most_rows=UPSERT_ROWS,
+        ).awaitTermination()
+    state = GrowingState(spark, f"{base}/state", RESULTS, keys)
+    version = state.newest()
+    return cycle.finish_cycle(spark, f"{base}/state", RESULTS, keys, version, datetime.fromisoformat(RUN_TIME)), state, version
 
 
 QUERIES = {
     "stream_dedupe": stream_dedupe,
     "stream_merge": stream_merge,
+    "stream_merge_batches": stream_merge_batches,
     "stream_match": stream_match,
     "stream_late": stream_late,
     "stream_upsert": stream_upsert,
+    "stream_upsert_leaves": stream_upsert_leaves,
 }
 
 _CASES = " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SELECTIONS[:5]))
@@ -138,4 +189,12 @@ SQL = {
       ELSE 'NEW ' || arg_min(o_orderkey, part * 1e12 + o_orderkey) END AS event,
     TIMESTAMP '{RUN_TIME}' + to_minutes(CAST(max(part) AS INTEGER)) AS insertingdate
   FROM n GROUP BY o_custkey""",
+    "stream_merge_batches": f"""WITH l AS (SELECT 'B' || (l_suppkey % 7) AS bookmaker, l_partkey AS id, l_linenumber AS line,
+    l_orderkey * 10 + l_linenumber AS seq, l_partkey % {BATCHES} AS batch FROM lineitem),
+  a AS (SELECT bookmaker, id, line, seq, batch FROM l UNION SELECT bookmaker, id, line, seq + 1000000000000, batch + 1 FROM l WHERE seq % 997 = 5),
+  f AS (SELECT bookmaker, id, line, min(batch) AS batch FROM a GROUP BY ALL)
+  SELECT b.batch::BIGINT AS batch, count(f.batch)::BIGINT AS inserted, true AS in_leaves, true AS part_only
+  FROM (SELECT unnest(range({BATCHES + 1})) AS batch) b LEFT JOIN f USING (batch) GROUP BY b.batch""",
+    "stream_upsert_leaves": """SELECT count(*)::BIGINT AS rows, true AS bounded, true AS covers, true AS grown FROM (
+    SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)""",
 }

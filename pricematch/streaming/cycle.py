@@ -6,7 +6,7 @@ they are. This module adds what needs state.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -16,8 +16,8 @@ from pricematch.fixed_values import NO_ID, QUOTE_KEYS
 from pricematch.functions.scoring import RTP
 from pricematch.operators.filters import future_only
 from pricematch.session import scratch_path
-from pricematch.sinks.merge import insert_only_rows, purge_stale, upsert_matches
-from pricematch.sinks.tables import BucketedState
+from pricematch.sinks.growing import GrowingState
+from pricematch.sinks.merge import purge_stale, upsert_matches
 
 
 def quotes_stream(
@@ -91,20 +91,24 @@ def stream_match(
 
 
 def stream_merge(
-    quotes: DataFrame, path: str, schema: str, checkpoint: str,
+    quotes: DataFrame, base: str, schema: str, checkpoint: str,
     keys: Sequence[str] = tuple(QUOTE_KEYS), order: Sequence[str] = ("ingest_seq",),
+    most_rows: int = 1_000_000, told: Callable[[int, int, int, int], None] | None = None,
 ) -> StreamingQuery:
     """Insert-if-absent into a stored table, exact over any span of time.
 
-    The table is the state. A batch that is run again inserts nothing twice, as
-    its rows are then found in the table.
+    The table, a ``GrowingState`` at ``base``, is the state. A batch asks the Bloom filters of the leaves its keys
+    fall into, and reads only leaves that may hold one of them. One that is run again writes the same version.
+    ``told`` hears the batch, and the leaves, leaves read and rows inserted.
     """
-    spark = quotes.sparkSession
-    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    state = GrowingState(quotes.sparkSession, base, schema, keys, most_rows)
+    if state.newest() is None:
+        state.create(quotes.sparkSession.createDataFrame([], schema))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        target = batch.sparkSession.read.schema(schema).parquet(path)
-        insert_only_rows(target, batch, keys, order).write.mode("append").parquet(path)
+        numbers = state.insert_absent(batch, order, f"{checkpoint}#{batch_id}")
+        if told:
+            told(batch_id, *numbers)
 
     return (
         quotes.writeStream.foreachBatch(merge)
@@ -114,29 +118,34 @@ def stream_merge(
     )
 
 
+def merged_quotes(spark: SparkSession, base: str, schema: str, keys: Sequence[str] = tuple(QUOTE_KEYS)) -> DataFrame:
+    """The table that ``stream_merge`` keeps at ``base``, as its last batch left it."""
+    state = GrowingState(spark, base, schema, keys)
+    return state.read(state.newest())
+
+
 def stream_upsert(
     matches: DataFrame, base: str, schema: str, checkpoint: str, keys: Sequence[str],
     update: Sequence[str], start: DataFrame | None = None, order: Sequence[str] | None = None,
-    buckets: int = 64,
+    buckets: int = 1, most_rows: int = 1_000_000,
 ) -> StreamingQuery:
-    """Upsert each micro-batch's matches into a state in hash buckets of the key.
+    """Upsert each micro-batch's matches into a state in leaves of the key's hash.
 
-    Batch n reads the buckets it touches in version n and writes them as version n + 1, so that
-    a batch run again writes the same and a small batch costs a small part of the table. Version
-    0 is the table to start on, by default an empty one; a stream that is restarted is given the
-    same. Nothing is purged here: a run flushes many batches and ends with one ``finish_cycle``.
+    A batch reads the leaves it touches in one version and writes them in the next, so that one
+    run again writes the same and a small batch costs a small part of the table. Leaves split as they pass ``most_rows``, from the ``buckets`` that are there at first. Version 0 is
+    the table to start on, by default an empty one, and is written if there is none yet.
+    Nothing is purged here: a run flushes many batches and ends with one ``finish_cycle``.
     """
     spark = matches.sparkSession
-    state = BucketedState(spark, base, schema, keys, buckets)
-    state.write(spark.createDataFrame([], schema) if start is None else start, 0)
+    state = GrowingState(spark, base, schema, keys, most_rows, buckets)
+    if state.newest() is None:
+        state.create(spark.createDataFrame([], schema) if start is None else start)
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         # Micro-batches have a session of their own, the state's reads need that of the stream.
         batch.persist()
         try:
-            touched = [r[0] for r in batch.select(state.bucket().alias("b")).distinct().collect()]
-            old = state.read(batch_id, touched)
-            state.write(upsert_matches(old, batch, keys, update, order), batch_id + 1, batch_id)
+            state.replace(batch, lambda old: upsert_matches(old, batch, keys, update, order), f"{checkpoint}#{batch_id}")
         finally:
             batch.unpersist()
 
@@ -150,10 +159,10 @@ def stream_upsert(
 
 def finish_cycle(
     spark: SparkSession, base: str, schema: str, keys: Sequence[str], version: int,
-    run_ts: datetime | Column, buckets: int = 64,
+    run_ts: datetime | Column, buckets: int = 1,
 ) -> DataFrame:
     """What a run leaves: the state of ``version`` without rows older than the run's start, ``run_ts``."""
-    return purge_stale(BucketedState(spark, base, schema, keys, buckets).read(version), run_ts)
+    return purge_stale(GrowingState(spark, base, schema, keys, start=buckets).read(version), run_ts)
 
 
 def run_to_files(stream: DataFrame, name: str) -> DataFrame:

@@ -40,10 +40,10 @@ def test_dedupe_over_batches(spark, landed):
 def test_merge_first_wins_over_batches(spark, landed, tmp_path):
     path, check = str(tmp_path / "out"), str(tmp_path / "check")
     cycle.stream_merge(stream(spark, landed), path, SCHEMA, check).awaitTermination()
-    got = {r.ingest_seq for r in spark.read.parquet(path).collect()}
+    got = {r.ingest_seq for r in cycle.merged_quotes(spark, path, SCHEMA).collect()}
     assert got == set(range(30))
     cycle.stream_merge(stream(spark, landed), path, SCHEMA, str(tmp_path / "again")).awaitTermination()
-    assert spark.read.parquet(path).count() == 30
+    assert cycle.merged_quotes(spark, path, SCHEMA).count() == 30
 
 
 def test_match_equals_batch(spark, landed):
