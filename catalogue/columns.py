@@ -218,6 +218,15 @@ def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.select("event_id", "line")
 
 
+def carry_forward_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without given stretches; one partition holds a third of the rows and more."""
+    kind = F.when(F.col("event_id") % 5 < 2, "hot").otherwise(F.concat("event_type", F.col("user_id") % 50))
+    events = table(spark, sf_dir, "events").select(
+        "event_id", "ts", kind.alias("kind"), F.when(F.col("event_id") % 7 == 0, F.col("user_id")).alias("line")
+    )
+    return shape.carry_forward_label(events, ["kind"], ["ts", "event_id"], "line").select("event_id", "kind", "line")
+
+
 def dup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
@@ -256,6 +265,7 @@ QUERIES = {
     "link_counts": link_counts,
     "tournament_links": tournament_links,
     "carry_forward": carry_forward,
+    "carry_forward_slices": carry_forward_slices,
     "dup_keys": dup_keys,
     "unique_rows": unique_rows,
     "truncate_width": truncate_width,
@@ -349,6 +359,9 @@ SQL = {
       FROM pages CROSS JOIN (VALUES ('Italy/Serie+A/'), ('Spain/Liga/')) AS t(league)""",
     "carry_forward": """SELECT event_id, last_value(CASE WHEN event_id % 3 = 0 THEN user_id END IGNORE NULLS) OVER (
       PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS line FROM events""",
+    "carry_forward_slices": """SELECT event_id, kind, last_value(CASE WHEN event_id % 7 = 0 THEN user_id END IGNORE NULLS) OVER (
+      PARTITION BY kind ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS line FROM (
+      SELECT *, CASE WHEN event_id % 5 < 2 THEN 'hot' ELSE event_type || (user_id % 50) END AS kind FROM events)""",
     "dup_keys": """SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem
       GROUP BY ALL HAVING count(*) > 1""",
     "unique_rows": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN

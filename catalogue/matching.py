@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from catalogue.views import (
-    COUNTERS2_SQL, COUNTERS3_SQL, LOOSE_SQL, QUOTES_SQL, doubles, loose_quotes, quotes,
-    sql_round2, sql_strip,
+    COUNTERS2_SQL, COUNTERS3_SQL, LOOSE_SQL, QUOTES_SQL, days_after, doubles, loose_quotes, quotes,
+    sql_round2, sql_strip, table,
 )
 from pricematch.operators import filters, match, shape
-from pricematch.operators.identity import backfill_ids
+from pricematch.operators.identity import backfill_ids, identity_groups, unify_ids
 from pricematch.session import scratch_path
 from pricematch.sinks.tables import write_version
 from pricematch.sources.dictionaries import three_way_counters, two_way_counters
@@ -81,6 +81,29 @@ def backfilled_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(match.match_two_way(resolved, two_way_counters(spark)), *PRICES2)
 
 
+def _crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as quotes of events that several ids share: three ids in a row have one name, and some names of two feeds
+    go on from one such row to the next. Every seventh has no id, and a third of the others has one name."""
+    key = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(key.alias("k"), (F.col("o_custkey") % 4).alias("c"))
+    name = lambda feed, k: F.concat(F.lit(f"{feed} "), F.floor(k).cast("string"))
+    both = orders.select("k", F.explode(F.array(
+        F.struct(F.lit("A").alias("bookmaker"), name("A", F.col("k") / 3).alias("event")),
+        F.struct(F.lit("B").alias("bookmaker"), F.when(F.col("c") == 0, name("B", F.col("k") / 4)).otherwise(F.lit("HOT")).alias("event")),
+    )).alias("e"), "c").where("e.bookmaker = 'A' OR c < 2")
+    known = F.when(F.col("k") % 7 == 0, F.lit(-1).cast("bigint")).when(F.col("c") == 1, F.lit(1).cast("bigint")).otherwise(F.col("k") * 10)
+    rows = both.select("e.bookmaker", "e.event", days_after("2021-03-01", F.col("k") * 0).alias("date"), known.alias("betRadarID"), F.col("k").alias("quote"))
+    return spark.read.parquet(write_version(rows, scratch_path(spark, "crossed"), 0))
+
+
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity_groups(_crossed(spark, sf_dir))
+
+
+def unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unify_ids(_crossed(spark, sf_dir))
+
+
 def same_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(match.same_selection_pairs(quotes(spark, sf_dir)), "betOdd", "betOdd2")
 
@@ -132,6 +155,8 @@ QUERIES = {
     "loose_two_way": loose_two_way,
     "backfill_ids": backfilled,
     "backfilled_matches": backfilled_matches,
+    "identity_groups": identities,
+    "unify_ids": unified,
     "same_selection": same_selection,
     "same_selection_first_1000": same_selection_first_1000,
     "exists_elsewhere": exists_elsewhere,
@@ -197,7 +222,25 @@ _THIRD = "SELECT p.a AS a, p.b AS b, c FROM p JOIN e c ON c.bet = p.k AND c.book
 _LINKED3 = f"""p AS (SELECT a, b, c3.counter2 AS k {_PAIR3} AND {_ID} UNION ALL SELECT a, b, c3.counter2 {_PAIR3} AND {_NAME} AND NOT {_ID}),
 t AS ({_THIRD} AND {_ID_A} UNION ALL {_THIRD} AND {_ID_B} AND NOT {_ID_A} UNION ALL {_THIRD} AND {_NAME_A} AND NOT {_ID_A} AND NOT {_ID_B}) """
 
+_CROSSED = """WITH RECURSIVE o AS (SELECT o_orderkey AS k, o_custkey % 4 AS c FROM orders),
+x AS (SELECT bookmaker, event, TIMESTAMP '2021-03-01' AS date, k AS quote,
+    CASE WHEN k % 7 = 0 THEN -1 WHEN c = 1 THEN 1 ELSE k * 10 END AS "betRadarID" FROM (
+  SELECT k, c, 'A' AS bookmaker, 'A ' || (k // 3) AS event FROM o
+  UNION ALL SELECT k, c, 'B', CASE WHEN c = 0 THEN 'B ' || (k // 4) ELSE 'HOT' END FROM o WHERE c < 2)),
+l AS (SELECT DISTINCT "betRadarID" AS id, event FROM x WHERE "betRadarID" <> -1),
+low AS (SELECT event, min(id) AS lo FROM l GROUP BY event),
+e AS (SELECT DISTINCT id AS a, lo AS b FROM l JOIN low USING (event) WHERE id <> lo),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+walk(id, root) AS (SELECT DISTINCT id, id FROM l UNION SELECT n.b, w.root FROM walk w JOIN both_ways n ON n.a = w.id WHERE w.root < n.b),
+g AS (SELECT id, min(root) AS identity FROM walk GROUP BY id)
+"""
+
 SQL = {
+    "identity_groups": _CROSSED + 'SELECT id AS "betRadarID", identity FROM g',
+    "unify_ids": _CROSSED + """SELECT bookmaker, event, date, quote, coalesce(g.identity, f."betRadarID") AS "betRadarID" FROM (
+    SELECT * REPLACE (CASE WHEN "betRadarID" = -1 THEN coalesce(lo, -1) ELSE "betRadarID" END AS "betRadarID")
+    FROM x LEFT JOIN low USING (event)) f LEFT JOIN g ON g.id = f."betRadarID"
+""",
     "two_way_hedge": _WITH2 + _legs(2, _HEDGE2, _JOIN2),
     "two_way_harmonic": _WITH2 + _legs(2, _HARMONIC2, _JOIN2, strip=False),
     "three_way_hedge": _WITH3 + _legs(3, _HEDGE3, _JOIN3),

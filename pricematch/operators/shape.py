@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from pricematch.session import scratch_path
+
 
 def distinct_values(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns).distinct()
@@ -45,12 +47,20 @@ def carry_forward_label(
     stretches of its order (a day of a timestamp, ``position div n``): it must
     never fall as the order rises. Each stretch is then filled on its own, and
     takes what the stretches before it left off from a table of one row each.
+
+    Without ``chunk`` the stretches are slices of the whole table in the order of
+    (partition, order), of about the same number of rows each, so that a partition
+    has as many as its size asks for. Slices are dealt by a sample of the rows, which
+    need not come out the same twice, so they are written to the shared folder here.
     """
     out = out or value
     partition, order = list(partition), list(order)
     if chunk is None:
-        w = W.partitionBy(*partition).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
+        path = scratch_path(df.sparkSession, "slices")
+        slices = df.repartitionByRange(*partition, *order).withColumn("__slice", F.spark_partition_id())
+        slices.write.parquet(path)
+        stored = df.sparkSession.read.schema(slices.schema).parquet(path)
+        return carry_forward_label(stored, partition, order, value, F.col("__slice"), out).drop("__slice")
 
     # A struct equals another also where fields are null, so that one key serves
     # the join and the window, and the rows are shuffled once.

@@ -187,3 +187,42 @@ def test_pages_get_their_tournament(spark, tmp_path):
     listed = spark.createDataFrame([(7, "Serie A"), (9, "Liga")], "tournament_id bigint, tournament string")
     pages = name_tournaments(read_feed(spark, str(tmp_path), "SportPesa"), listed, r"odds-(\d+)\.json")
     assert [(r.tournament, r.payload) for r in pages.collect()] == [("Serie A", "{}")]
+
+
+def test_ids_meet_along_a_long_chain(spark):
+    """Event k has the ids k and k + 1 but for two gaps; one event is everyone's neighbour among the last ids."""
+    from pricematch.operators.identity import identity_groups, unify_ids
+
+    rows = [(f"E{k}", 1, i) for k in range(60) for i in (k, k + 1) if k not in (20, 41)]
+    rows += [("HOT", 1, i) for i in range(100, 140)] + [(f"P{i}", 2, i) for i in range(100, 140)] + [("P100", 2, 3)]
+    rows += [("alone", 1, 500), ("E5", 1, -1), ("nobody", 1, -1), (None, 1, 7), (None, 1, 55), ("E6", None, 30), ("E6", 1, None)]
+    df = spark.createDataFrame(rows, "event string, date int, betRadarID long").repartition(5)
+    got = {r.betRadarID: r.identity for r in identity_groups(df).collect()}
+    want = {i: 0 for i in range(21)} | {i: 21 for i in range(21, 42)} | {i: 42 for i in range(42, 61)} | {i: 0 for i in range(100, 140)} | {500: 500}
+    assert got == want
+    unified = sorted(map(tuple, unify_ids(df).collect()), key=repr)
+    assert unified == sorted(((e, d, {("E5", -1): 0, ("nobody", -1): -1, ("E6", None): None}.get((e, i), want.get(i))) for e, d, i in rows), key=repr)
+    assert identity_groups(df.limit(0)).count() == 0
+
+
+def test_carry_forward_needs_no_stretches(spark):
+    import random
+
+    from pricematch.operators.shape import carry_forward_label
+
+    rng = random.Random(2)
+    rows = [(rng.choice([None, "hot", "hot", f"p{rng.randrange(20)}"]), rng.choice([None, rng.randrange(400)]), i, rng.choice([None, None, None, i])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "part string, at int, seq int, line int").repartition(4)
+    order = lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0, r[2])
+    want, last = {}, {}
+    for r in sorted(rows, key=order):
+        last[r[0]] = r[3] if r[3] is not None else last.get(r[0])
+        want[r[2]] = last[r[0]]
+    for width in (None, "1"):
+        if width:
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            assert {r.seq: r.line for r in carry_forward_label(df, ["part"], ["at", "seq"], "line").collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert carry_forward_label(df.limit(0), ["part"], ["at"], "line").count() == 0
