@@ -137,12 +137,14 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, windows: int = 64, l
         end = np.array([end_id], "<u4").tobytes()
         packer, out = Packer(size, windows, least), _Rows(task << _PART, task)
         for batch in batches:
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist(), strict=True):
-                ids = tok.ids(raw) + end
-                for window in packer.add((doc, 0, ids, len(ids) // 4)):
-                    out.window(window, True)
-                if out.full():
-                    yield out.batch()
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                for doc, ids in zip(part.column("doc_id").to_pylist(), tok.many(part.column("raw").to_pylist()), strict=True):
+                    ids += end
+                    for window in packer.add((doc, 0, ids, len(ids) // 4)):
+                        out.window(window, True)
+                    if out.full():
+                        yield out.batch()
         for window in packer.rest():
             out.window(window, False)
         yield out.batch()

@@ -86,10 +86,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, s
             for batch in batches:
                 for k in range(0, batch.num_rows, 256):
                     part = batch.slice(k, 256)
-                    payloads = []
-                    for raw in part.column("raw").to_pylist():
-                        ids = np.frombuffer(tok.ids(raw) + end, "<u4")
-                        payloads.append((ids.astype("<u2") if width == 2 else ids).tobytes())
+                    every = [ids + end for ids in tok.many(part.column("raw").to_pylist())]
+                    payloads = [np.frombuffer(ids, "<u4").astype("<u2").tobytes() for ids in every] if width == 2 else every
                     records = frame(payloads)
                     if out is None:
                         files, root = _files(path)

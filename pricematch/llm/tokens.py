@@ -5,13 +5,25 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
+from array import array
 
 import numpy as np
 
 from .common import held
 
-_NOT_PLAIN = re.compile(rb"[^\x21-\x7e]")
+#: Printable ASCII, and the letters from U+00C0 to U+00FF.
+_PLAIN = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+
+
+def _byte_signs() -> dict[int, str]:
+    """How byte-level models write those letters: a sign for each byte, itself if it is printable in Latin-1, else the next
+    one from U+0100 on."""
+    other = (b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))
+    spelled = {b: chr(256 + n) for n, b in enumerate(other)}
+    return {c: "".join(spelled.get(b, chr(b)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+_BYTE_SIGNS = _byte_signs()
 
 
 class Encoder:
@@ -22,9 +34,9 @@ class Encoder:
     other. Words are then encoded together and kept in a table of at most ``limit`` words. Other
     tokenizers encode each text in one piece. Either way the ids are the library's for the text.
 
-    Words of printable ASCII alone that hold no added token skip the library's normaliser, which leaves
+    Words of printable ASCII and Latin-1 letters that hold no added token skip the library's normaliser, which leaves
     them as they are but for their case, and its splitter: its own pattern cuts them here, and each piece
-    goes to the library's model.
+    goes to the library's model. Words used before the table last filled up are looked up in the one before.
     """
 
     def __init__(self, path: str, limit: int = 800_000):
@@ -32,10 +44,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.words = limit, {}
+        self.limit, self.words, self.older = limit, {}, {}
         self.by_word = _drops_blanks(path)
         self.mark = self._separator() if self.by_word else None
-        self.model, self.pieces, self.lower, self.added = self.tokenizer.model, *(_plain_words(path) if self.by_word else (None, False, None))
+        self.pieces, self.lower, self.added = _plain_words(path) if self.by_word else (None, False, None)
+        self.tokenize = self.tokenizer.model.tokenize
 
     @property
     def id_bytes(self) -> int:
@@ -46,14 +59,29 @@ class Encoder:
         """The ids of a UTF-8 text as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             return self._plain(text)
-        words = text.split()
-        parts = list(map(self.words.get, words))
-        if None in parts:
-            if len(self.words) > self.limit:
-                self.words.clear()
-            self._learn(list({w for w in words if w not in self.words}))
-            parts = map(self.words.__getitem__, words)
-        return b"".join(parts)
+        return self.many([text])[0]
+
+    def many(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text; words that are new to all of them are encoded together."""
+        if not self.by_word:
+            return [self._plain(t) for t in texts]
+        if len(self.words) > self.limit:
+            self.words, self.older = {}, self.words
+        known = self.words.get
+        split = [t.split() for t in texts]
+        parts = [list(map(known, words)) for words in split]
+        open_ = [[i for i, p in enumerate(found) if p is None] for found in parts]
+        new = {words[i] for words, at in zip(split, open_, strict=True) for i in at}
+        if new:
+            if self.older:
+                again = {w: p for w in new if (p := self.older.get(w)) is not None}
+                self.words.update(again)
+                new -= again.keys()
+            self._learn(list(new))
+            for words, found, at in zip(split, parts, open_, strict=True):
+                for i in at:
+                    found[i] = self.words[words[i]]
+        return list(map(b"".join, parts))
 
     def _plain(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
@@ -67,17 +95,19 @@ class Encoder:
         return None
 
     def _plain_word(self, word: bytes) -> bytes:
-        text = word.decode("ascii")
-        tokenize = self.model.tokenize
-        ids = [t.id for piece in self.pieces(text.lower() if self.lower else text) for t in tokenize(piece)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        text = word.decode()
+        if self.lower:
+            text = text.lower()
+        pieces = [text] if text.isalpha() else self.pieces(text)
+        if not text.isascii():
+            pieces = [p.translate(_BYTE_SIGNS) for p in pieces]
+        return array("I", [t.id for p in pieces for t in self.tokenize(p)]).tobytes()
 
     def _learn(self, words: list[bytes], together: int = 2000) -> None:
         if self.pieces is not None:
-            other = [w for w in words if _NOT_PLAIN.search(w) or self.added and self.added.search(w)]
-            odd = set(other)
-            self.words.update((w, self._plain_word(w)) for w in words if w not in odd)
-            words = other
+            plain = {w for w in words if _PLAIN(w) and not (self.added and self.added.search(w))}
+            self.words.update((w, self._plain_word(w)) for w in plain)
+            words = [w for w in words if w not in plain]
         if self.mark is None:
             self.words.update((w, self._plain(w)) for w in words)
             return
@@ -108,7 +138,7 @@ def _drops_blanks(path: str) -> bool:
 
 
 def _plain_words(path: str) -> tuple:
-    """For words of printable ASCII: what cuts them into pieces, whether they are put in lower case, and a pattern of
+    """For words of printable ASCII and Latin-1 letters: what cuts them into pieces, whether they are put in lower case, and a pattern of
     the added tokens (in either case). Without a cut if the tokenizer does more to them."""
     import regex
 

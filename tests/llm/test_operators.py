@@ -65,6 +65,20 @@ def test_words_encode_as_whole_texts():
         assert np.frombuffer(e.ids(text.encode()), "<u4").tolist() == whole
 
 
+def test_batches_and_small_tables_encode_alike():
+    import random
+
+    rng = random.Random(5)
+    letters = "abcdeEXYZ" + "".join(chr(c) for c in range(0xC0, 0x100)) + "0123'.,-_<|>" + "ŁΣßéx"
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(30))).encode() for _ in range(400)]
+    texts += [b"don't it's WE'LL 'tis", "l'été c'est où n'ÊTRE".encode(), b"", b"<|endoftext|> end"]
+    e = Encoder(queries.TOKENIZER, limit=50)  # forgets all the time
+    want = [e.tokenizer.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+    for size in (1, 7, 500):
+        got = [ids for k in range(0, len(texts), size) for ids in e.many(texts[k : k + size])]
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == want
+
+
 def test_records_round_trip(spark, odd, none, tmp_path):
     index = records.write_records(odd, str(tmp_path / "a"), queries.TOKENIZER, shards=3)
     back = records.read_records(records.with_starts(index), str(tmp_path / "a"), ("doc_id", "start")).collect()
@@ -87,9 +101,18 @@ def test_packing_keeps_every_id(spark, docs, odd, none):
     e = Encoder(queries.TOKENIZER)
     for df, texts in ((spark.createDataFrame(docs, "doc_id long, text string").repartition(5), [t for _, t in docs]), (odd, [t for _, t, _ in ODD])):
         pieces = packing.pack(df, queries.TOKENIZER, windows=4, merge=2).collect()
-        by_window = defaultdict(list)
+        by_window, by_doc = defaultdict(list), defaultdict(list)
         for p in pieces:
             by_window[p.sequence_id].append((p.offset, p.length))
+            by_doc[p.doc_id, p.doc_tokens].append((p.start, p.length, p.ids_crc32))
+        if df is not odd:  # each document is cut whole, and its pieces are what they say
+            assert len(by_doc) == len(docs)
+            for i, t in docs:
+                ids, at = e.ids((t or "").encode()) + b"\1\0\0\0", 0
+                for start, length, crc in sorted(by_doc[i, len(ids) // 4]):
+                    assert start == at and crc == zlib.crc32(ids[4 * at : 4 * (at + length)])
+                    at += length
+                assert at == len(ids) // 4
         used = 0
         for parts in by_window.values():
             at = 0
