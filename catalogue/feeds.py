@@ -5,16 +5,16 @@ from __future__ import annotations
 from datetime import datetime
 
 from catalogue import payloads
-from catalogue.views import COUNTERS3_SQL, doubles, spread, sql_round2, sql_strip, table
+from catalogue.views import COUNTERS3_SQL, doubles, spread, sql_rounded, sql_strip, sql_values, table
 from pricematch.operators.match import tag_bookmaker
 from pricematch.operators.normalise import accepted, normalise_quotes, rejected
 from pricematch.operators.shape import union_feeds
-from pricematch.plans.runs import collect_quotes, match_run, refresh_matches, resolve_quotes
+from pricematch.plans.runs import Cycle, collect_quotes, match_run, refresh_matches, resolve_quotes, run_cycle
 from pricematch.schemas import MATCHES2, MATCHES3
 from pricematch.session import scratch_path
 from pricematch.sinks.tables import read_version, write_quarantine, write_version
 from pricematch.sources import feeds, html
-from pricematch.sources.dictionaries import label_dictionary, three_way_counters, two_way_counters
+from pricematch.sources.dictionaries import label_dictionary, three_way_counters, two_way_counters, two_way_rows
 from pricematch.sources.quotes import read_feed
 from pricematch.streaming import cycle
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -135,6 +135,55 @@ def _run(legs: int):
     return query
 
 
+OLD_RUN = "1996-12-01 00:00:00"
+
+
+def _earlier(spark: SparkSession, sf_dir: str, legs: int) -> DataFrame:
+    """Results of an earlier run: a match of every third order. Those of orders that are over are stale by now."""
+    key = F.col("o_orderkey")
+    sides = [("SportPesa", "1"), ("888Sport", "X2")] if legs == 2 else [("SportPesa", "1"), ("AdmiralYes", "X"), ("Sisal", "2")]
+    price = F.lit("1.50").cast("decimal(10,2)")
+    leg = [c for i, (b, bet) in enumerate(sides, 1) for c in (F.lit(b).alias(f"bookmaker{i}"), F.lit(bet).alias(f"bet{i}"), price.alias(f"betOdd{i}"))]
+    return table(spark, sf_dir, "orders").where(key % 3 == 0).select(
+        F.lit("1.00").cast("decimal(10,2)").alias("RTP"), F.lit("OLD CUP").alias("tournament"), (key + 1).alias("betRadarID"),
+        F.concat(F.lit("OLD EVENT "), key).alias("event"), F.lit("1996-06-01 00:00:00").cast("timestamp_ntz").alias("date"), *leg,
+        F.lit(OLD_RUN).cast("timestamp_ntz").alias("insertingdate"),
+    )
+
+
+def _cycle(spark: SparkSession, sf_dir: str) -> Cycle:
+    """A cycle over four feeds and a fifth that has other names for some of the fourth's events."""
+    parsed = [_parsed(spark, sf_dir, f) for f in ("flat", "nested", "offer", "map")]
+    other = parsed[3].where("betRadarID % 11 = 0").withColumn("event", F.concat(F.lit("X "), F.col("event")))
+    other = other.withColumn("ingest_seq", F.col("ingest_seq") + 1_000_000_000)
+    return run_cycle(
+        spark, scratch_path(spark, "cycle"), [*parsed, other], _earlier(spark, sf_dir, 2), _earlier(spark, sf_dir, 3),
+        two_way_counters(spark, "corrected"), three_way_counters(spark), RUN,
+    )
+
+
+def _refreshed(legs: int):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The results table after a run into an earlier one's."""
+        counters2 = two_way_counters(spark, "corrected")
+        two, three = match_run(_staged(spark, sf_dir), counters2, three_way_counters(spark), RUN)
+        prices = [f"betOdd{i}" for i in range(1, legs + 1)]
+        return doubles(refresh_matches(_earlier(spark, sf_dir, legs), two if legs == 2 else three, RUN, legs), "RTP", *prices)
+
+    return query
+
+
+def cycle_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cycle left where: quotes, rejects and clashes by reason, results that are new or retained."""
+    left = _cycle(spark, sf_dir)
+    count = lambda df, part, kind: df.groupBy(F.lit(part).alias("part"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    age = F.when(F.col("tournament") == "OLD CUP", "retained").otherwise("new")
+    return union_feeds(
+        count(left.quotes, "quotes", F.col("bookmaker")), count(left.quarantine, "quarantine", F.col("reason")),
+        count(left.matches2, "matches2", age), count(left.matches3, "matches3", age),
+    )
+
+
 def resolved_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(_staged(spark, sf_dir), "betOdd")
 
@@ -174,6 +223,9 @@ QUERIES = {
     "run_quarantine": run_quarantine,
     "match_run_two_way": _run(2),
     "match_run_three_way": _run(3),
+    "match_refresh_two_way": _refreshed(2),
+    "match_refresh_three_way": _refreshed(3),
+    "cycle_tables": cycle_tables,
 }
 
 
@@ -205,15 +257,16 @@ def _quotes(bookmaker: str, ident: str, strict: bool, *prices: tuple[str, str])
     )
 
 
-_FLAT = _quotes("SportPesa", "o_orderkey + 1", True, ("1X2 <> 1", _price(1)), ("U/O 2.5 <> OVER 2.5", _price(2)))
-_NESTED = _quotes(
-    "AdmiralYes", "o_orderkey + 1", False, ("1X2 <> X", _price(5)), ("U/O 2.5 <> UNDER 2.5", _price(7)), ("U/O 2.5 <> OVER 2.5", _price(8)))
-_OFFER = _quotes(
-    "888Sport", "-1", False,
-    ("DOPPIA CHANCE OUT <> X2", _fraction(_N, _D)), ("DOPPIA CHANCE IN/OUT <> 12", _fraction(f"{_N} + 1", _D)),
-    ("U/O 2.5 <> OVER 2.5", _fraction(_N, f"{_D} + 1")), ("U/O 2.5 <> UNDER 2.5", _fraction(f"{_N} + 2", _D)),
-    ("U/O 3.5 <> OVER 3.5", _fraction(f"{_N} + 3", _D)), ("U/O 3.5 <> UNDER 3.5", _fraction(f"{_N} + 4", _D)))
-_MAP = _quotes("Sisal", "o_orderkey + 1", True, ("1X2 <> 1", _price(3)), ("1X2 <> X", _price(4)), ("1X2 <> 2", _price(5)))
+_FEEDS = [
+    ("SportPesa", "o_orderkey + 1", True, ("1X2 <> 1", _price(1)), ("U/O 2.5 <> OVER 2.5", _price(2))),
+    ("AdmiralYes", "o_orderkey + 1", False, ("1X2 <> X", _price(5)), ("U/O 2.5 <> UNDER 2.5", _price(7)), ("U/O 2.5 <> OVER 2.5", _price(8))),
+    ("888Sport", "-1", False,
+     ("DOPPIA CHANCE OUT <> X2", _fraction(_N, _D)), ("DOPPIA CHANCE IN/OUT <> 12", _fraction(f"{_N} + 1", _D)),
+     ("U/O 2.5 <> OVER 2.5", _fraction(_N, f"{_D} + 1")), ("U/O 2.5 <> UNDER 2.5", _fraction(f"{_N} + 2", _D)),
+     ("U/O 3.5 <> OVER 3.5", _fraction(f"{_N} + 3", _D)), ("U/O 3.5 <> UNDER 3.5", _fraction(f"{_N} + 4", _D))),
+    ("Sisal", "o_orderkey + 1", True, ("1X2 <> 1", _price(3)), ("1X2 <> X", _price(4)), ("1X2 <> 2", _price(5))),
+]
+_FLAT, _NESTED, _OFFER, _MAP = (_quotes(*f) for f in _FEEDS)
 
 # Rows without an id take the one their event has elsewhere, or are dropped.
 _RESOLVED = f"""u AS ({_FLAT} UNION ALL {_NESTED} UNION ALL {_OFFER} UNION ALL {_MAP}),
@@ -221,24 +274,56 @@ found AS (SELECT event, date, min("betRadarID") AS id FROM u WHERE "betRadarID"
 r AS MATERIALIZED (SELECT bookmaker, tournament, CASE WHEN "betRadarID" = -1 THEN id ELSE "betRadarID" END AS "betRadarID",
   event, date, bet, "betOdd" FROM u LEFT JOIN found USING (event, date)
   WHERE "betRadarID" <> -1 OR id IS NOT NULL)"""
-_LINES = [f"U/O {n}.5 <> {a} {n}.5" for n in range(7) for a in ("OVER", "UNDER")]
-_LIVE2 = "c2(bet, counter) AS (VALUES " + ", ".join(
-    [f"('{a}', '{b}')" for a, b in (
-        ("1X2 <> 1", "DOPPIA CHANCE OUT <> X2"), ("1X2 <> X", "DOPPIA CHANCE IN/OUT <> 12"),
-        ("1X2 <> 2", "DOPPIA CHANCE IN <> 1X"), ("DOPPIA CHANCE OUT <> X2", "1X2 <> 1"),
-        ("DOPPIA CHANCE IN/OUT <> 12", "1X2 <> X"), ("DOPPIA CHANCE IN <> 1X", "1X2 <> 2"),
-        ("GOAL/NOGOAL <> GOAL", "GOAL/NOGOAL <> NOGOAL"), ("GOAL/NOGOAL <> NOGOAL", "GOAL/NOGOAL <> GOAL"),
-    )] + [f"('{a}', '{b}')" for i in range(0, 14, 2) for a, b in ((_LINES[i], _LINES[i + 1]), (_LINES[i + 1], _LINES[i]))]
-) + ")"
-
-
-def _matches(legs: int, raw: str, joins: str) -> str:
-    cols = ", ".join(
-        f"{t}.bookmaker AS bookmaker{i}, {sql_strip(t + '.bet')} AS bet{i}, {t}.\"betOdd\" AS \"betOdd{i}\""
-        for i, t in enumerate("abc"[:legs], 1)
+_LIVE2 = "c2(bet, counter) AS (" + sql_values(two_way_rows("corrected")) + ")"
+
+
+def _lean(bookmaker: str, ident: str, strict: bool, *prices: tuple[str, str]) -> str:
+    """A feed's quotes by order, without the text that follows from it."""
+    return " UNION ALL ".join(
+        f"SELECT o_orderkey AS k, o_custkey AS c, '{bookmaker}' AS bookmaker, {ident} AS id, '{bet}' AS bet, {odd} AS odd, "
+        f"o_orderdate AS date FROM orders WHERE o_orderdate {'>' if strict else '>='} TIMESTAMP '1997-01-01'"
+        for bet, odd in prices
     )
-    return f"""SELECT {sql_round2("raw")} AS "RTP", * EXCLUDE (raw), TIMESTAMP '1997-01-01' AS insertingdate FROM (
-  SELECT {raw} AS raw, a.tournament, a."betRadarID", a.event, a.date, {cols} FROM r a {joins})"""
+
+
+# An order's quotes are one event in every feed, so an id that lacks is that of another quote of the order.
+_QUOTES = f"""u AS ({" UNION ALL ".join(_lean(*f) for f in _FEEDS)}),
+known AS (SELECT k, min(id) AS known FROM u WHERE id <> -1 GROUP BY k),
+q AS (SELECT u.k, c, bookmaker, CASE WHEN id = -1 THEN known ELSE id END AS id, bet, odd, date
+  FROM u LEFT JOIN known ON known.k = u.k WHERE id <> -1 OR known IS NOT NULL)"""
+_PAIRS = f"""WITH {_QUOTES}, {_LIVE2},
+s AS (SELECT q.*, counter FROM q JOIN c2 ON c2.bet = q.bet),
+m AS (SELECT a.k, a.c, a.id, a.date, a.bookmaker AS bookmaker1, a.bet AS bet1, a.odd AS odd1, b.bookmaker AS bookmaker2,
+    b.bet AS bet2, b.odd AS odd2, a.odd * (1::DOUBLE - 1::DOUBLE / b.odd) * 100::DOUBLE AS raw
+  FROM s a JOIN q b ON b.id = a.id AND b.bet = a.counter AND b.bookmaker <> a.bookmaker)"""
+_TRIPLES = f"""WITH {_QUOTES}, {COUNTERS3_SQL},
+s AS (SELECT q.*, counter1, counter2 FROM q JOIN c3 ON c3.bet = q.bet),
+p AS (SELECT a.*, b.bookmaker AS bookmaker2, b.bet AS bet2, b.odd AS odd2
+  FROM s a JOIN q b ON b.id = a.id AND b.bet = a.counter1 AND b.bookmaker <> a.bookmaker),
+m AS (SELECT p.k, p.c, p.id, p.date, p.bookmaker AS bookmaker1, p.bet AS bet1, p.odd AS odd1, bookmaker2, bet2, odd2,
+    c.bookmaker AS bookmaker3, c.bet AS bet3, c.odd AS odd3,
+    p.odd * (1::DOUBLE - 1::DOUBLE / odd2 - 1::DOUBLE / c.odd) * 100::DOUBLE AS raw
+  FROM p JOIN q c ON c.id = p.id AND c.bet = p.counter2 AND c.bookmaker <> p.bookmaker AND c.bookmaker <> p.bookmaker2)"""
+#: Of Sisal's quotes that come under two names, neither is staged.
+_CLASHING = "u AS (SELECT * FROM u0 WHERE NOT (bookmaker = 'Sisal' AND (k + 1) % 11 = 0)), "
+_OLD = {2: "('SportPesa', '1'), ('888Sport', 'X2')", 3: "('SportPesa', '1'), ('AdmiralYes', 'X'), ('Sisal', '2')"}
+
+
+def _known(legs: int) -> str:
+    """Whether a match is among the earlier results."""
+    sides = [side.split("', '") for side in _OLD[legs].strip("()").split("), (")]
+    return "k % 3 = 0 AND " + " AND ".join(
+        f"bookmaker{i} = {b}' AND {sql_strip(f'bet{i}')} = '{bet}" for i, (b, bet) in enumerate(sides, 1))
+
+
+def _matches(legs: int, refresh: bool = False) -> str:
+    """The matches of a run, in a table of its own or over the earlier results."""
+    legged = ", ".join(f'bookmaker{i}, {sql_strip(f"bet{i}")} AS bet{i}, odd{i} AS "betOdd{i}"' for i in range(1, legs + 1))
+    first = {"tournament": "'Cup ' || (k % 10)", "event": "'HOME' || c || ' - AWAY' || k", "date": "date"}
+    old = {"tournament": "'OLD CUP'", "event": "'OLD EVENT ' || k", "date": "TIMESTAMP '1996-06-01'"}
+    pick = lambda c: f"CASE WHEN {_known(legs)} THEN {old[c]} ELSE {first[c]} END AS {c}" if refresh else f"{first[c]} AS {c}"
+    return f"""{_PAIRS if legs == 2 else _TRIPLES} SELECT "RTP", {pick("tournament")}, id AS "betRadarID", {pick("event")},
+  {pick("date")}, {legged}, TIMESTAMP '1997-01-01' AS insertingdate FROM ({sql_rounded("m")})"""
 
 
 _KIND = lambda n: f"SELECT o_orderkey AS page, o_custkey AS c, {n} AS i FROM orders"
@@ -283,14 +368,19 @@ SQL = {
       SELECT 'event not listed or started' AS reason, 2 * later + 8 * (total - later) AS n FROM o
       UNION ALL SELECT 'not a match', later FROM o UNION ALL SELECT 'unknown market or line', 2 * open FROM o
       UNION ALL SELECT 'unreadable page', 4 * count(*) FROM orders WHERE o_orderkey % 5 < 2""",
-    "match_run_two_way": f"WITH {_RESOLVED}, {_LIVE2} " + _matches(
-        2, 'a."betOdd" * (1::DOUBLE - 1::DOUBLE / b."betOdd") * 100::DOUBLE',
-        """JOIN c2 ON c2.bet = a.bet JOIN r b ON b."betRadarID" = a."betRadarID"
-  AND b.bet = c2.counter AND b.bookmaker <> a.bookmaker"""),
-    "match_run_three_way": f"WITH {_RESOLVED}, {COUNTERS3_SQL} " + _matches(
-        3, 'a."betOdd" * (1::DOUBLE - 1::DOUBLE / b."betOdd" - 1::DOUBLE / c."betOdd") * 100::DOUBLE',
-        """JOIN c3 ON c3.bet = a.bet
-  JOIN r b ON b."betRadarID" = a."betRadarID" AND b.bet = c3.counter1 AND b.bookmaker <> a.bookmaker
-  JOIN r c ON c."betRadarID" = a."betRadarID" AND c.bet = c3.counter2
-    AND c.bookmaker <> a.bookmaker AND c.bookmaker <> b.bookmaker"""),
+    "match_run_two_way": _matches(2),
+    "match_run_three_way": _matches(3),
+    "match_refresh_two_way": _matches(2, True),
+    "match_refresh_three_way": _matches(3, True),
+    "cycle_tables": f"""{_PAIRS.replace("WITH u AS", "WITH u0 AS").replace("known AS (SELECT k, min(id) AS known FROM u", _CLASHING + "known AS (SELECT k, min(id) AS known FROM u")},
+three AS ({_TRIPLES.replace("WITH u AS", "WITH u0 AS").replace("known AS (SELECT k, min(id) AS known FROM u", _CLASHING + "known AS (SELECT k, min(id) AS known FROM u")} SELECT * FROM m),
+o AS (SELECT count(*) AS total, count(*) FILTER (WHERE o_orderdate > TIMESTAMP '1997-01-01') AS later,
+  count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1997-01-01') AS open FROM orders)
+SELECT 'quotes' AS part, bookmaker AS kind, count(*) AS n FROM q GROUP BY ALL
+UNION ALL SELECT 'matches2', CASE WHEN {_known(2)} THEN 'retained' ELSE 'new' END, count(*) FROM m GROUP BY ALL
+UNION ALL SELECT 'matches3', CASE WHEN {_known(3)} THEN 'retained' ELSE 'new' END, count(*) FROM three GROUP BY ALL
+UNION ALL SELECT 'quarantine', 'event not listed or started', 2 * later + 8 * (total - later) FROM o
+UNION ALL SELECT 'quarantine', 'not a match', later FROM o
+UNION ALL SELECT 'quarantine', 'unknown market or line', 2 * open FROM o
+UNION ALL SELECT 'quarantine', 'staged key not unique', 2 * count(*) FROM u0 WHERE bookmaker = 'Sisal' AND (k + 1) % 11 = 0""",
 }

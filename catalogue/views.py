@@ -140,6 +140,19 @@ def sql_round2(x: str) -> str:
     )
 
 
+def sql_rounded(source: str, raw: str = "raw", out: str = '"RTP"') -> str:
+    """The rows of a table or subquery with ``sql_round2`` of a column as ``out``, step by step: each part of the
+    rounding is worked out once."""
+    steps = f"SELECT *, {raw} * 200::DOUBLE AS t_, {raw} * 134217729::DOUBLE AS wide_ FROM {source}"
+    steps = f"SELECT *, wide_ - (wide_ - {raw}) AS high_ FROM ({steps})"
+    steps = f"SELECT *, (high_ * 200::DOUBLE - t_) + ({raw} - high_) * 200::DOUBLE AS err_, floor(t_) AS low_ FROM ({steps})"
+    steps = f"SELECT *, low_ - CASE WHEN t_ = low_ AND err_ < 0 THEN 1 ELSE 0 END AS steps_ FROM ({steps})"
+    steps = f"SELECT *, floor(steps_ / 2::DOUBLE) AS half_ FROM ({steps})"
+    up = ("CASE WHEN steps_ - 2 * half_ = 0 THEN 0 WHEN t_ = steps_ AND err_ = 0 "
+          "THEN half_ - 2 * floor(half_ / 2::DOUBLE) ELSE 1 END")
+    return f"SELECT * EXCLUDE (t_, wide_, high_, err_, low_, steps_, half_), (half_ + {up}) / 100::DOUBLE AS {out} FROM ({steps})"
+
+
 def doubles(df: DataFrame, *columns: str) -> DataFrame:
     """Decimals as doubles, the form in which results are compared."""
     return df.withColumns({c: F.col(c).cast("double") for c in columns})

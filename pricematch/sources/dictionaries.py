@@ -36,12 +36,7 @@ def allowed_labels(spark: SparkSession) -> DataFrame:
     return _local(spark, [(b,) for b in fixed.ALLOWED_LABELS], COLUMNS["allowed"])
 
 
-def two_way_counters(spark: SparkSession, edition: str = "reference") -> DataFrame:
-    """(bet, counter).
-
-    The ``reference`` edition's over/under keys lack the line that canonical
-    labels end in, so they never match. ``corrected`` has live ones.
-    """
+def two_way_rows(edition: str) -> list[tuple[str, str]]:
     rows = list(fixed.TWO_WAY_COUNTERS)
     if edition == "corrected":
         rows = [r for r in rows if not r[0].startswith("U/O")]
@@ -50,7 +45,16 @@ def two_way_counters(spark: SparkSession, edition: str = "reference") -> DataFra
             rows += [(over, under), (under, over)]
     elif edition != "reference":
         raise ValueError(f"no edition {edition!r}")
-    return _local(spark, rows, COLUMNS["two_way"])
+    return rows
+
+
+def two_way_counters(spark: SparkSession, edition: str = "reference") -> DataFrame:
+    """(bet, counter).
+
+    The ``reference`` edition's over/under keys lack the line that canonical
+    labels end in, so they never match. ``corrected`` has live ones.
+    """
+    return _local(spark, two_way_rows(edition), COLUMNS["two_way"])
 
 
 def three_way_counters(spark: SparkSession) -> DataFrame:
