@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import combinations
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, text_bytes
+from .common import held, stored, text_bytes
 from .shingles import WordHashes, mixed, shingle_row, words_of
 
+
 def _hashes() -> WordHashes:
     return held("word hashes", WordHashes)
 
@@ -39,69 +40,71 @@ def _fingerprints(row: np.ndarray, size: int, starts: np.ndarray, reach: int = 4
     return np.concatenate(out)
 
 
-@dataclass
-class Item:
-    item_id: int
-    n_words: int
-    row: np.ndarray
-    counts: Counter
-    fingerprint: np.ndarray
-
-
 @dataclass
 class Index:
-    """Benchmark items by 16 blocks of 8 bits.
+    """Benchmark items as flat arrays: about 25 bytes for each word, and 40 for each item.
 
-    If two fingerprints differ in at most ``radius`` bits, they differ in at most ``radius // 16`` bits in
-    one block at least. Each block's table has, for each of 256 values, the items that close to it, so the
-    union over the blocks holds every item within the radius.
+    Fingerprints have 16 blocks of 8 bits. If two of them differ in at most ``radius`` bits, they differ in at most
+    ``radius // 16`` bits in one block at least.
     """
 
     width: int
     radius: int
-    items: list[Item] = field(default_factory=list)
-    sizes: dict[int, np.ndarray] = field(default_factory=dict)
-    tables: dict[int, np.ndarray] = field(default_factory=dict)
-    shingles: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    owners: dict[int, list[int]] = field(default_factory=dict)
-
-    def near(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row of ``prints``, item number) of all pairs of this window size within the radius."""
-        numbers = self.sizes[size]
-        hit = np.zeros((len(prints), len(numbers)), bool)
-        for block in range(16):
-            hit |= self.tables[size][block][prints[:, block]]
-        rows, cols = np.nonzero(hit)
-        own = np.stack([self.items[i].fingerprint for i in numbers])
-        differ = np.bitwise_count(prints[rows] ^ own[cols]).sum(axis=1)
-        close = differ <= self.radius
-        return rows[close], numbers[cols[close]]
+    ids: np.ndarray
+    n_words: np.ndarray
+    at: np.ndarray  # where an item's shingles begin in ``rows``
+    rows: np.ndarray
+    prints: np.ndarray  # item x 16 bytes
+    shingles: np.ndarray  # distinct and sorted
+    first: np.ndarray  # where a shingle's items begin in ``owners``
+    owners: np.ndarray
+
+    def row(self, item: int) -> np.ndarray:
+        return self.rows[self.at[item] : self.at[item + 1]]
+
+    def size(self, item: int) -> int:
+        """Shingles of a window of the item's size; for items of fewer words than a shingle, their number below zero."""
+        words = int(self.n_words[item])
+        return words - self.width + 1 if words >= self.width else -words
+
+    @property
+    def sizes(self) -> list[int]:
+        """The sizes below zero: widths of shingles that texts are read in besides the usual one."""
+        return sorted({-int(n) for n in np.unique(self.n_words[self.n_words < self.width])})
+
+    @property
+    def nbytes(self) -> int:
+        return sum(getattr(self, f).nbytes for f in ("ids", "n_words", "at", "rows", "prints", "shingles", "first", "owners"))
+
+    def near(self, prints: np.ndarray, item: int) -> np.ndarray:
+        """Which fingerprints are within the radius of an item's: first by their blocks, then by all bits."""
+        differ = np.bitwise_count(prints ^ self.prints[item])
+        some = np.flatnonzero((differ <= self.radius // 16).any(axis=1))
+        return some[differ[some].sum(axis=1, dtype=np.int64) <= self.radius]
 
 
 def build(items: list[tuple[int, bytes]], width: int = 5, radius: int = 44) -> Index:
     """An index of (item_id, UTF-8 text). Items without a word are left out."""
-    out, hashes = Index(width, radius), WordHashes()
+    hashes, ids, n_words, rows, prints = WordHashes(), [], [], [], []
     for item_id, raw in items:
         words = words_of(raw)
         if words:
             row = shingle_row(hashes.of(words), width)
-            signs = _signs(row).sum(axis=0)
-            out.items.append(Item(item_id, len(words), row, Counter(row.tolist()), np.packbits(signs > 0)))
-    within = np.zeros((256, 256), bool)
-    for k in range(radius // 16 + 1):
-        for bits in combinations(range(8), k):
-            flip = sum(1 << b for b in bits)
-            within[np.arange(256), np.arange(256) ^ flip] = True
-    for size in sorted({len(x.row) if x.n_words >= width else -x.n_words for x in out.items}):
-        numbers = np.array([i for i, x in enumerate(out.items) if (len(x.row) if x.n_words >= width else -x.n_words) == size])
-        own = np.stack([out.items[i].fingerprint for i in numbers])
-        out.sizes[size] = numbers
-        out.tables[size] = np.stack([within[:, own[:, block]] for block in range(16)])
-    for i, x in enumerate(out.items):
-        for s in x.counts:
-            out.owners.setdefault(s, []).append(i)
-    out.shingles = np.array(sorted(out.owners), np.uint64)
-    return out
+            ids.append(item_id)
+            n_words.append(len(words))
+            rows.append(row)
+            prints.append(np.packbits(_signs(row).sum(axis=0) > 0))
+    flat = np.concatenate([*rows, np.zeros(0, np.uint64)])
+    sizes = np.array([len(r) for r in rows], np.int64)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    order = np.lexsort((owner, flat))
+    shingle, owner = flat[order], owner[order]
+    new = np.ones(len(order), bool)  # a shingle's item counts once, however often it holds it
+    new[1:] = (shingle[1:] != shingle[:-1]) | (owner[1:] != owner[:-1])
+    shingle, owner = shingle[new], owner[new]
+    distinct, first = np.unique(shingle, return_index=True)
+    return Index(width, radius, np.array(ids, np.int64), np.array(n_words, np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat,
+                 np.array(prints, np.uint8).reshape(-1, 16), distinct, np.append(first, len(shingle)).astype(np.int64), owner)
 
 
 def similarity(a: Counter, b: Counter) -> tuple[int, int]:
@@ -114,11 +117,11 @@ def matches(index: Index, raw: bytes, percent: int = 80) -> dict[int, tuple[int,
     """Items whose passage the text holds: number -> (least sum, greatest sum, start word, words) of the best window, the first of equals.
 
     A window can be similar to an item only if it holds one of its shingles, so windows are fingerprinted
-    around shared shingles alone: every window of that item's size over each of them. A text shorter than the
-    item is one window of all its words.
+    around shared shingles alone: every window of that item's size over each of them, and only with that item. There
+    the Hamming blocks tell which windows are compared. A text shorter than the item is one window of all its words.
     """
     best: dict[int, tuple[int, int, int, int]] = {}
-    if not index.items:
+    if not len(index.ids):
         return best
     hashed = _hashes().of(words_of(raw))
     n_words = len(hashed)
@@ -126,20 +129,19 @@ def matches(index: Index, raw: bytes, percent: int = 80) -> dict[int, tuple[int,
         return best
     todo: dict[int, set[int]] = {}
     rows: dict[int, np.ndarray] = {}
-    for width in {min(index.width, n_words), *(-s for s in index.sizes if s < 0)}:
+    for width in {min(index.width, n_words), *(-s for s in index.sizes)}:
         if width > n_words:
             continue
         row = rows[width] = shingle_row(hashed, width)
         at = np.minimum(np.searchsorted(index.shingles, row), len(index.shingles) - 1)
         for p in np.flatnonzero(index.shingles[at] == row).tolist():
-            for i in index.owners[int(row[p])]:
-                size = len(index.items[i].row)
+            for i in index.owners[index.first[at[p]] : index.first[at[p] + 1]].tolist():
+                size = int(index.at[i + 1] - index.at[i])
                 whole = min(size, len(row))
                 todo.setdefault(i, set()).update(range(max(0, p - whole + 1), min(p, len(row) - whole) + 1))
     by_size: dict[int, list[int]] = {}
     for i in todo:
-        item = index.items[i]
-        by_size.setdefault(len(item.row) if item.n_words >= index.width else -item.n_words, []).append(i)
+        by_size.setdefault(index.size(i), []).append(i)
     for size, members in by_size.items():
         width = min(index.width, n_words) if size > 0 else -size
         row = rows.get(width)
@@ -149,33 +151,51 @@ def matches(index: Index, raw: bytes, percent: int = 80) -> dict[int, tuple[int,
         starts = np.array(sorted({s for i in members for s in todo[i] if s + whole <= len(row)}), np.int64)
         if not len(starts):
             continue
-        for k, i in zip(*index.near(size, _fingerprints(row, whole, starts)), strict=True):
-            start, i = int(starts[k]), int(i)
-            if i in todo and start in todo[i]:
-                low, high = similarity(Counter(row[start : start + whole].tolist()), index.items[i].counts)
-                if 100 * low >= percent * high and (i not in best or low * best[i][1] > best[i][0] * high or (low * best[i][1] == best[i][0] * high and start < best[i][2])):
+        prints = _fingerprints(row, whole, starts)
+        for i in members:
+            own = np.array(sorted(s for s in todo[i] if s + whole <= len(row)), np.int64)
+            counts = None
+            for start in own[index.near(prints[np.searchsorted(starts, own)], i)].tolist():
+                counts = counts or Counter(index.row(i).tolist())
+                low, high = similarity(Counter(row[start : start + whole].tolist()), counts)
+                if 100 * low >= percent * high and (i not in best or low * best[i][1] > best[i][0] * high):
                     best[i] = (low, high, start, whole + width - 1)
     return best
 
 
-def load(benchmark: DataFrame, width: int = 5, radius: int = 44, most_bytes: int = 64 << 20, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
-    """Indexes of all items, each of at most ``most_bytes`` of text.
-
-    Item texts are read to the driver a block at a time, so what a task gets is bounded; a benchmark of several
-    blocks is matched a block at a time. Equal items stay apart by id. Null ids and texts are left out.
+def load(benchmark: DataFrame, width: int = 5, radius: int = 44, most_bytes: int = 16 << 20, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
+    """Indexes of all items, each of at most ``most_bytes`` of text (an item longer than that has one of its own), which
+    is about 70 MB of index. They are made one at a time, as they are asked for: what the driver holds, and what a task
+    gets, is bounded however large the benchmark is. Equal items stay apart by id. Null ids and texts are left out.
     """
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("raw"), F.col(text_col).isNotNull().alias("has")).filter("id is not null and has").drop("has").distinct()
-    out, block, size = [], [], 0
+    block, size = [], 0
     for row in items.orderBy("id", "raw").toLocalIterator():
         if block and size + len(row.raw) > most_bytes:
-            out.append(build(block, width, radius))
+            yield build(block, width, radius)
             block, size = [], 0
         block.append((row.id, bytes(row.raw)))
         size += len(row.raw)
-    return [*out, build(block, width, radius)] if block else out
-
-
-def find(docs: DataFrame, indexes: list[Index], percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    if block:
+        yield build(block, width, radius)
+
+
+def _sent(spark: SparkSession, indexes: Iterable[Index], use: Callable[[Broadcast], DataFrame], label: str) -> Iterator[DataFrame]:
+    """``use`` of each index, broadcast. Of several, each is worked through and written before the next one is made."""
+    rest = iter(indexes)
+    now, only = next(rest, None), True
+    while now is not None:
+        sent = spark.sparkContext.broadcast(now)
+        now = next(rest, None)
+        only = only and now is None
+        if only:
+            yield use(sent)
+        else:
+            yield stored(use(sent), label)
+            sent.unpersist()
+
+
+def find(docs: DataFrame, indexes: Iterable[Index], percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, shared, total, start_word, n_words``: a row for each document and item whose passage it holds.
 
     The similarity of window and item is ``shared / total``: over ``width``-word shingles weighted by their
@@ -189,34 +209,38 @@ def find(docs: DataFrame, indexes: list[Index], percent: int = 80, id_col: str =
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, shared long, total long, start_word long, n_words long"
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("raw"))
-    out = None
-    for index in indexes:
-        sent = spark.sparkContext.broadcast(index)
 
-        def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def matched(sent: Broadcast) -> DataFrame:
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = sent.value
             for batch in batches:
                 rows = []
                 for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("raw").to_pylist(), strict=True):
-                    found = matches(sent.value, raw, percent)
-                    rows += [(doc, sent.value.items[i].item_id, *found[i]) for i in sorted(found)]
+                    found = matches(index, raw, percent)
+                    rows += [(doc, int(index.ids[i]), *found[i]) for i in sorted(found)]
                 cols = list(zip(*rows, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "shared", "total", "start_word", "n_words"])
 
-        part = texts.mapInArrow(look, schema)
+        return texts.mapInArrow(look, schema)
+
+    out = None
+    for part in _sent(spark, indexes, matched, "matches"):
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def clean(docs: DataFrame, indexes: list[Index], percent: int = 80, text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, indexes: Iterable[Index], percent: int = 80, text_col: str = "text") -> DataFrame:
     """The rows, as they are, whose text holds no item."""
     out = docs
-    for index in indexes:
-        sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        def free(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def freed(sent: Broadcast) -> DataFrame:
+        def free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
                 yield batch.filter(pa.array([not matches(sent.value, (t or "").encode("utf-8", "replace"), percent) for t in texts], pa.bool_()))
 
-        out = out.mapInArrow(free, docs.schema)
+        return out.mapInArrow(free, docs.schema)
+
+    for out in _sent(docs.sparkSession, indexes, freed, "clean"):
+        pass
     return out

@@ -173,4 +173,5 @@ def score(docs: DataFrame, rules: DecisionList, id_col: str = "doc_id", text_col
 
 def keep_good(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
     """The rows, with their own columns, that neither base rules nor the list reject."""
-    return judged(docs, rules, text_col).filter(~F.col("__base") & F.col("__rule").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("__t"))
+    return judged(rows, rules, "__t").filter(~F.col("__base") & F.col("__rule").isNull()).select("row.*")
