@@ -37,10 +37,13 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """All documents, their secrets masked; a document without one is untouched."""
     ship(spark)
     kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
-    old = docs.withColumnRenamed("text", "__old").withColumn("text", F.col("__old"))
+    before = "__old"
+    while before in docs.columns:
+        before += "_"
+    old = docs.withColumnRenamed("text", before).withColumn("text", F.col(before))
     out = secret_scan.redact(old, secret_scan.fit(docs))
     if kind is not None:
-        changed = F.col("text") != F.col("__old")
+        changed = F.col("text") != F.col(before)
         out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
