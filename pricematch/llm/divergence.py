@@ -263,7 +263,7 @@ def _distance(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def audit(docs: DataFrame, least: int = 10, top: int = 10, words: int = 6_000_000, parts: int | None = None, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def audit(docs: DataFrame, least: int = 10, top: int = 10, words: int = 3_000_000, parts: int | None = None, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``lang, source, part, item, value, rank``: how far each source of a language is from the others, and by which terms.
 
     1. Tasks count the chunks between white space of each document. A block of documents, of about ``words`` words, gives a
