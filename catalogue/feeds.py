@@ -15,7 +15,7 @@ from pricematch.session import scratch_path
 from pricematch.sinks.tables import read_version, write_quarantine, write_version
 from pricematch.sources import feeds, html
 from pricematch.sources.dictionaries import label_dictionary, three_way_counters, two_way_counters, two_way_rows
-from pricematch.sources.quotes import read_feed
+from pricematch.sources.quotes import name_tournaments, read_feed
 from pricematch.streaming import cycle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -94,6 +94,22 @@ def landed_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(quotes, "betOdd")
 
 
+CUPS = 40
+
+
+def landed_tournaments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schedule and pages as they land: each folder of pages takes the name its id has in the schedule."""
+    path = scratch_path(spark, "landed-tournaments")
+    orders = payloads.orders(spark, sf_dir)
+    payloads.schedule(orders, "flat").select("payload").write.text(f"{path}/schedule")
+    listed = feeds.flatten_schedule(read_feed(spark, f"{path}/schedule", "Sisal", whole_file=False), "flat")
+    pages = payloads.mapped(orders).select("payload", (F.col("ingest_seq") % CUPS * 3).alias("odds"))
+    pages.repartition("odds").write.partitionBy("odds").text(f"{path}/pages")
+    named = name_tournaments(read_feed(spark, f"{path}/pages", "Sisal", whole_file=False), listed, r"odds=([0-9]+)")
+    quotes, _ = collect_quotes(spark, feeds.parse_map_feed(named, RUN))
+    return doubles(quotes, "betOdd")
+
+
 def _landed_quotes(spark: SparkSession, pages: DataFrame) -> DataFrame:
     parsed = feeds.parse_map_feed(pages.withColumn("tournament", F.lit("Cup")), RUN)
     quotes = accepted(normalise_quotes(accepted(parsed), label_dictionary(spark)))
@@ -218,6 +234,7 @@ QUERIES = {
     "list_events_nested": list_events_nested,
     "list_events_offer": list_events_offer,
     "landed_feed": landed_feed,
+    "landed_tournaments": landed_tournaments,
     "quotes_stream": quotes_stream,
     "resolved_quotes": resolved_quotes,
     "run_quarantine": run_quarantine,
@@ -361,6 +378,8 @@ SQL = {
     "list_events_offer": """SELECT o_orderkey AS page, o_orderkey * 2 AS event_id FROM orders
       UNION ALL SELECT o_orderkey, o_orderkey * 2 + 1 FROM orders""",
     "landed_feed": f"SELECT * EXCLUDE (ingest_seq) REPLACE ('Cup' AS tournament) FROM ({_MAP})",
+    "landed_tournaments": f"""SELECT * EXCLUDE (ingest_seq) REPLACE ('Cup ' || (ingest_seq % {CUPS}) || '/0' AS tournament)
+      FROM ({_MAP}) WHERE ingest_seq % {CUPS} IN (SELECT o_orderkey FROM orders)""",
     "quotes_stream": f"SELECT * EXCLUDE (ingest_seq) REPLACE ('Cup' AS tournament) FROM ({_MAP})",
     "resolved_quotes": f"WITH {_RESOLVED} SELECT * FROM r",
     "run_quarantine": """WITH o AS (SELECT count(*) AS total, count(*) FILTER (WHERE o_orderdate > TIMESTAMP '1997-01-01') AS later,

@@ -15,11 +15,27 @@ def read_quotes(spark: SparkSession, path: str, bets: Iterable[str] | None = Non
     return quotes if bets is None else bets_in(quotes, bets)
 
 
+def jdbc_options(
+    url: str, table: str, column: str | None = None, bounds: tuple[int, int] | None = None, parts: int | None = None,
+    fetch: int = 10_000, **options: str,
+) -> dict[str, str]:
+    """Options of a database read: one task, or ``parts`` ranges of ``column`` between ``bounds``, a task each.
+
+    Rows outside the bounds, or without a value, are in the first and the last range, so none is left out.
+    """
+    given = {"url": url, "dbtable": table, "fetchsize": str(fetch)} | options
+    if column is None:
+        return given
+    if not bounds or not parts or bounds[0] > bounds[1]:
+        raise ValueError("a partition column needs its bounds, in order, and a number of parts")
+    return given | {"partitionColumn": column, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1]), "numPartitions": str(parts)}
+
+
 def read_quotes_jdbc(
-    spark: SparkSession, url: str, table: str, bets: Iterable[str] | None = None, **options: str
+    spark: SparkSession, url: str, table: str, bets: Iterable[str] | None = None, **options
 ) -> DataFrame:
-    """The quotes table in a database; the bet list becomes its WHERE clause."""
-    quotes = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+    """The quotes table in a database; the bet list becomes its WHERE clause. ``options`` as in ``jdbc_options``."""
+    quotes = spark.read.format("jdbc").options(**jdbc_options(url, table, **options)).load()
     return quotes if bets is None else bets_in(quotes, bets)
 
 

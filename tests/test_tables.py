@@ -226,3 +226,14 @@ def test_carry_forward_needs_no_stretches(spark):
         finally:
             spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert carry_forward_label(df.limit(0), ["part"], ["at"], "line").count() == 0
+
+
+def test_database_reads_are_cut_by_a_column():
+    from pricematch.sources.quotes import jdbc_options
+
+    assert jdbc_options("jdbc:x", "quotes", user="me") == {"url": "jdbc:x", "dbtable": "quotes", "fetchsize": "10000", "user": "me"}
+    cut = jdbc_options("jdbc:x", "quotes", "betRadarID", (1, 900), 8)
+    assert {k: cut[k] for k in ("partitionColumn", "lowerBound", "upperBound", "numPartitions")} == {"partitionColumn": "betRadarID", "lowerBound": "1", "upperBound": "900", "numPartitions": "8"}
+    for wrong in ({"column": "id"}, {"column": "id", "bounds": (5, 1), "parts": 3}, {"column": "id", "bounds": (1, 5)}):
+        with pytest.raises(ValueError):
+            jdbc_options("jdbc:x", "quotes", **wrong)
