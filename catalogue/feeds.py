@@ -9,7 +9,7 @@ from catalogue.views import COUNTERS3_SQL, doubles, spread, sql_rounded, sql_str
 from pricematch.operators.match import tag_bookmaker
 from pricematch.operators.normalise import accepted, normalise_quotes, rejected
 from pricematch.operators.shape import union_feeds
-from pricematch.plans.runs import Cycle, collect_quotes, match_run, refresh_matches, resolve_quotes, run_cycle
+from pricematch.plans.runs import Cycle, collect_once, collect_quotes, match_run, refresh_matches, resolve_quotes, run_cycle
 from pricematch.schemas import MATCHES2, MATCHES3
 from pricematch.session import scratch_path
 from pricematch.sinks.tables import read_version, write_quarantine, write_version
@@ -204,21 +204,45 @@ def resolved_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(_staged(spark, sf_dir), "betOdd")
 
 
+def broken_feeds(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Four feeds of partly broken pages, unreadable ones included."""
+    return [
+        tag_bookmaker(parse(_broken(build(payloads.orders(spark, sf_dir))), RUN, unreadable=True), bookmaker)
+        for build, parse, bookmaker in (
+            (payloads.flat, feeds.parse_flat_feed, "SportPesa"), (payloads.nested, feeds.parse_nested_feed, "AdmiralYes"),
+            (payloads.offer, feeds.parse_offer_feed, "888Sport"), (payloads.mapped, feeds.parse_map_feed, "Sisal"),
+        )
+    ]
+
+
 def run_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a run over partly broken pages rejects, written to the quarantine and counted there."""
-    raw = []
-    for feed, build, parse, bookmaker in (
-        ("flat", payloads.flat, feeds.parse_flat_feed, "SportPesa"), ("nested", payloads.nested, feeds.parse_nested_feed, "AdmiralYes"),
-        ("offer", payloads.offer, feeds.parse_offer_feed, "888Sport"), ("map", payloads.mapped, feeds.parse_map_feed, "Sisal"),
-    ):
-        pages = _broken(build(payloads.orders(spark, sf_dir)))
-        raw.append(tag_bookmaker(union_feeds(parse(pages, RUN), feeds.unreadable_pages(pages, feed)), bookmaker))
-    _, bad = collect_quotes(spark, *raw)
+    _, bad, _ = collect_once(spark, scratch_path(spark, "collected"), *broken_feeds(spark, sf_dir))
     path = scratch_path(spark, "quarantine")
     write_quarantine(bad.select("bookmaker", "ingest_seq", "reason"), path)
     return spark.read.parquet(path).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same run's counts as observed on the way, beside those of what it wrote."""
+    quotes, bad, seen = collect_once(spark, scratch_path(spark, "observed"), *broken_feeds(spark, sf_dir))
+    rows = [(name, n) for name, n in seen.items() if name not in ("rows", "rejects")]
+    observed = spark.createDataFrame(rows, "reason string, observed bigint")
+    written = bad.groupBy("reason").agg(F.count(F.lit(1)).alias("written"))
+    good = quotes.agg(F.lit("none").alias("reason"), F.lit(seen["rows"] - seen["rejects"]).alias("observed"), F.count(F.lit(1)).alias("written"))
+    return observed.join(written, "reason", "full").unionByName(good)
+
+
+def schedule_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schedules of one to four levels, in three feeds' forms."""
+    out = []
+    for feed in ("flat", "nested", "offer"):
+        pages = payloads.deep_schedule(payloads.orders(spark, sf_dir), feed)
+        found = feeds.flatten_schedule_deep(pages, feed)
+        out.append(found.select(F.lit(feed).alias("feed"), "page", F.array_join("path", ">", "-").alias("path"), "level", "tournament", "reason"))
+    return union_feeds(*out)
+
+
 QUERIES = {
     "flat_feed": _feed("flat"),
     "nested_feed": _feed("nested"),
@@ -238,6 +262,8 @@ QUERIES = {
     "quotes_stream": quotes_stream,
     "resolved_quotes": resolved_quotes,
     "run_quarantine": run_quarantine,
+    "run_counts": run_counts,
+    "schedule_deep": schedule_deep,
     "match_run_two_way": _run(2),
     "match_run_three_way": _run(3),
     "match_refresh_two_way": _refreshed(2),
@@ -387,6 +413,23 @@ SQL = {
       SELECT 'event not listed or started' AS reason, 2 * later + 8 * (total - later) AS n FROM o
       UNION ALL SELECT 'not a match', later FROM o UNION ALL SELECT 'unknown market or line', 2 * open FROM o
       UNION ALL SELECT 'unreadable page', 4 * count(*) FROM orders WHERE o_orderkey % 5 < 2""",
+    "run_counts": """WITH o AS (SELECT count(*) AS total, count(*) FILTER (WHERE o_orderdate > TIMESTAMP '1997-01-01') AS later,
+        count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1997-01-01') AS open FROM orders WHERE o_orderkey % 5 >= 2),
+      n AS (SELECT 'event not listed or started' AS reason, 2 * later + 8 * (total - later) AS n FROM o
+        UNION ALL SELECT 'not a match', later FROM o UNION ALL SELECT 'unknown market or line', 2 * open FROM o
+        UNION ALL SELECT 'unreadable page', 4 * count(*) FROM orders WHERE o_orderkey % 5 < 2
+        UNION ALL SELECT 'none', 5 * later + 9 * open FROM o)
+      SELECT reason, n AS observed, n AS written FROM n""",
+    "schedule_deep": """WITH f AS (SELECT o.*, feed FROM orders o, (VALUES ('flat'), ('nested'), ('offer')) AS t(feed)),
+      l AS (SELECT f.*, o_orderkey % 4 + 1 AS level, '' AS place FROM f
+        UNION ALL SELECT f.*, k, 'a' FROM f, range(2, 5) AS r(k) WHERE k <= o_orderkey % 4 + 1)
+      SELECT feed, o_orderkey AS page, array_to_string(
+          list_concat(['Area ' || o_orderkey || '/' || x for x in range(1, level)], ['Cup ' || o_orderkey || '/' || level || place]), '>') AS path,
+        CAST(level AS INTEGER) AS level,
+        CASE WHEN feed <> 'offer' OR level > 1 THEN 'Cup ' || o_orderkey || '/' || level || place END AS tournament, NULL AS reason
+      FROM l WHERE o_orderkey % 10 NOT IN (3, 7) AND (feed = 'flat' OR feed = 'nested' AND o_custkey % 2 + level > 1
+        OR feed = 'offer' AND o_custkey % 9 + 4 * level > 10)
+      UNION ALL SELECT feed, o_orderkey, NULL, NULL, NULL, 'unreadable page' FROM f WHERE o_orderkey % 10 = 7""",
     "match_run_two_way": _matches(2),
     "match_run_three_way": _matches(3),
     "match_refresh_two_way": _matches(2, True),

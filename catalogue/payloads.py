@@ -185,6 +185,43 @@ def schedule(df: DataFrame, feed: str) -> DataFrame:
     return df.select(order_key().alias("page"), F.to_json(payload).alias("payload"))
 
 
+def deep_schedule(df: DataFrame, feed: str) -> DataFrame:
+    """A schedule page per order whose tree goes down one to four levels.
+
+    Every inner node has a tournament beside the next node. Some pages are cut off, some list no country.
+    """
+    def leaf(level: int, place: str) -> Column:
+        name = text("Cup ", order_key(), f"/{level}{place}")
+        if feed == "flat":
+            return text('{"Id":', order_key() * 10 + level, ',"Name":"', name, '","Children":[]}')
+        if feed == "nested":
+            return text('{"name":"', name, '","id":', order_key(), ',"eventsCounter":{"x":', customer() % 2, f',"y":{level}}}}}')
+        return text('{"termKey":"', name, '","eventCount":', customer() % 9 + 4 * level, "}")
+
+    def branch(level: int) -> Column:
+        if level == 4:
+            return leaf(4, "")
+        inner, area = branch(level + 1), text("Area ", order_key(), f"/{level}")
+        if feed == "flat":
+            node = text('{"Id":0,"Name":"', area, '","Children":[', leaf(level + 1, "a"), ",", inner, "]}")
+        elif feed == "nested":
+            key = "categories" if level % 2 == 0 else "tournaments"
+            node = text('{"name":"', area, f'","{key}":{{"a":', leaf(level + 1, "a"), ',"b":', inner, "}}")
+        else:
+            node = text('{"termKey":"', area, '","eventCount":99,"groups":[', leaf(level + 1, "a"), ",", inner, "]}")
+        return F.when(order_key() % 4 + 1 == level, leaf(level, "")).otherwise(node)
+
+    tree = F.when(order_key() % 10 == 3, "").otherwise(branch(1))
+    if feed == "flat":
+        payload = text('[{"Children":[', tree, "]}]")
+    elif feed == "nested":
+        payload = text('{"sports":{"1":{"categories":{', F.when(tree != "", F.concat(F.lit('"it":'), tree)).otherwise(""), "}}}}")
+    else:
+        payload = text('{"group":{"groups":[{"groups":[', tree, "]}]}}")
+    payload = F.when(order_key() % 10 == 7, F.left(payload, F.char_length(payload) - 2)).otherwise(payload)
+    return df.select(order_key().alias("page"), payload.alias("payload"))
+
+
 def event_list(df: DataFrame, feed: str) -> DataFrame:
     """A tournament page per order with two events, one of them live."""
     if feed == "nested":

@@ -12,6 +12,12 @@ from pricematch.operators.filters import allowed_only
 
 REASON = "reason"
 
+#: Every reason a feed or the normalisation gives.
+REASONS = [
+    "unreadable page", "event not listed or started", "not a match", "no label", "no date", "no event id",
+    "unknown market or line", "price", "no price", *(f"no {key}" for key in QUOTE_KEYS),
+]
+
 
 def normalise_label(df: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Replace labels the bookmaker's dictionary knows; keep the others."""
@@ -56,13 +62,22 @@ def normalise_quotes(
     raw: DataFrame,
     dictionary: DataFrame,
     allowed: Iterable[str] | DataFrame = tuple(ALLOWED_LABELS),
+    keep_rejects: bool = False,
 ) -> DataFrame:
     """Labels, allow-list, prices and widths, with a ``reason`` on bad rows.
 
     ``betOdd`` is text; where ``odd_is_number`` is true it was a JSON number.
     The steps are narrow but for the dictionary join, which is broadcast.
+    Rows that already have a reason come without an allowed label; ``keep_rejects`` lets them through with it.
+    The list must then be given as labels.
     """
-    known = allowed_only(normalise_label(raw, dictionary), allowed)
+    known = normalise_label(raw, dictionary)
+    if not keep_rejects:
+        known = allowed_only(known, allowed)
+    elif isinstance(allowed, DataFrame):
+        raise ValueError("with keep_rejects the allowed labels are a list")
+    else:
+        known = known.where(F.col(REASON).isNotNull() | F.col("bet").isin(*allowed))
     is_number = F.col("odd_is_number") if "odd_is_number" in raw.columns else F.lit(False)
     odd = F.col("betOdd").cast("string")
     priced = known.withColumn(

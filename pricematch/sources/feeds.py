@@ -5,7 +5,8 @@ a ``reason`` on those the feed got wrong. It only explodes arrays inside the
 row, so it never shuffles and serves batch and stream alike. ``betOdd`` stays
 text, with ``odd_is_number`` where the feed sends a JSON number. ``position`` is
 the price's place in its page; arrays compare from the left, so it puts the
-prices of a page in their order.
+prices of a page in their order. With ``unreadable`` a page that is not JSON of the
+feed's form gives one row, with that reason; without, it gives none.
 """
 
 from __future__ import annotations
@@ -29,13 +30,30 @@ RAW_COLUMNS = [
 ]
 
 
-def _page(df: DataFrame, schema: str) -> DataFrame:
-    return df.withColumn("__page", F.from_json("payload", schema)).drop("payload")
+LOST = "__lost"
+UNREADABLE = "unreadable page"
+
+
+def _page(df: DataFrame, schema: str, lost: bool = False) -> DataFrame:
+    """The payload read; with ``lost``, also whether nothing of the feed's form was found in it."""
+    page = df.withColumn("__page", F.from_json("payload", schema)).drop("payload")
+    return page.withColumn(LOST, _nothing(page)) if lost else page
+
+
+def _nothing(page: DataFrame) -> Column:
+    """Whether no field of the page was read."""
+    fields = [F.col(f"__page.{name}") for name in page.schema["__page"].dataType.fieldNames()]
+    return F.coalesce(*[F.when(f.isNotNull(), True) for f in fields]).isNull()
+
+
+def _or_lost(kept: list[str], when: Column) -> Column:
+    """Rows that stay: those that meet ``when``, and pages that could not be read."""
+    return when | F.col(LOST) if LOST in kept else when
 
 
 def _carried(df: DataFrame, drop: tuple[str, ...] = ()) -> list[str]:
     """Columns of the input that are passed through."""
-    own = {*RAW_COLUMNS, "payload", "__page", "reason", *drop}
+    own = {*RAW_COLUMNS, "payload", "__page", "reason", LOST, *drop}
     return [c for c in df.columns if c not in own]
 
 
@@ -66,15 +84,11 @@ PAGES = {
 def unreadable_pages(df: DataFrame, feed: str) -> DataFrame:
     """Pages that are not JSON of the feed's form, for the quarantine.
 
-    The parsers find nothing in them. A page that says nothing reads ``{}``.
+    The parsers find nothing in them, or with ``unreadable=True`` give a row for each, so that the page is parsed
+    once. A page that says nothing reads ``{}``.
     """
     page = df.withColumn("__page", F.from_json("payload", PAGES[feed]))
-    fields = [F.col(f"__page.{name}") for name in page.schema["__page"].dataType.fieldNames()]
-    return (
-        page.where(F.coalesce(*[F.when(f.isNotNull(), True) for f in fields]).isNull())
-        .drop("__page")
-        .withColumn(REASON, F.lit("unreadable page"))
-    )
+    return page.where(_nothing(page)).drop("__page").withColumn(REASON, F.lit(UNREADABLE))
 
 
 def each(
@@ -86,7 +100,7 @@ def each(
     below the parsing, and so parse every page once more for it.
     """
     rows = F.posexplode_outer(items).alias(at, *names) if at else F.explode_outer(items).alias(*names)
-    return df.select(*kept, rows).where(F.col(names[0]).isNotNull())
+    return df.select(*kept, rows).where(_or_lost(kept, F.col(names[0]).isNotNull()))
 
 
 def _finish(
@@ -98,6 +112,9 @@ def _finish(
     they are computed once.
     """
     reason = None
+    if LOST in kept:
+        kept = [c for c in kept if c != LOST]
+        reasons = ((UNREADABLE, F.col(LOST)), *reasons)
     for text, when in reasons:
         reason = F.when(when, text) if reason is None else reason.when(when, text)
     return rows.select(
@@ -121,11 +138,11 @@ def events_to_outcomes(outcomes: DataFrame, matches: str, key: Column) -> DataFr
 
 def parse_flat_feed(
     df: DataFrame, run_ts: datetime | Column, splitter: str = "-", zone: str = "UTC",
-    numeric_odds: bool = True,
+    numeric_odds: bool = True, unreadable: bool = False,
 ) -> DataFrame:
     """Events and outcomes side by side, joined on the event id."""
     now = naive_timestamp(run_ts)
-    kept = _carried(df)
+    kept = _carried(df) + [LOST] * unreadable
     events = F.filter(
         F.transform(
             F.col("__page.events"),
@@ -138,7 +155,7 @@ def parse_flat_feed(
         ),
         lambda e: (e["date"] > now) & e["Id"].isNotNull(),
     )
-    page = _with_matches(_page(df, schemas.FLAT_PAGE), events, "Id")
+    page = _with_matches(_page(df, schemas.FLAT_PAGE, unreadable), events, "Id")
     rows = each(page, [*kept, "tournament", "matches"], "__page.eventsOutcome", "o", at="i")
     rows = events_to_outcomes(rows, "matches", F.col("o.EventId")).select(
         *kept, "tournament", "match", "i", F.col("match.ident").alias("betRadarID"),
@@ -161,7 +178,7 @@ def head_to_body(head: Column, code: Column) -> Column:
 
 def parse_nested_feed(
     df: DataFrame, run_ts: datetime | Column, splitter: str = " - ",
-    tz_mode: str = "fixed_plus_2", numeric_odds: bool = True,
+    tz_mode: str = "fixed_plus_2", numeric_odds: bool = True, unreadable: bool = False,
 ) -> DataFrame:
     """Market types in a head, event > market > line > outcome in a body.
 
@@ -170,12 +187,12 @@ def parse_nested_feed(
     ``event_key`` column, only that event of the page is read.
     """
     now = naive_timestamp(run_ts)
-    kept = _carried(df, ("event_key",))
-    page = _page(df, schemas.NESTED_PAGE).withColumn("head", F.col("__page.head"))
+    kept = _carried(df, ("event_key",)) + [LOST] * unreadable
+    page = _page(df, schemas.NESTED_PAGE, unreadable).withColumn("head", F.col("__page.head"))
     asked = ["event_key"] if "event_key" in df.columns else []
     events = each(page, [*kept, *asked, "tournament", "head"], "__page.body", "key", "e", at="i")
     if asked:
-        events = events.where(F.col("key") == F.col("event_key"))
+        events = events.where(_or_lost(kept, F.col("key") == F.col("event_key")))
     events = events.select(
         *kept, "tournament", "head", "i", F.col("e.bets").alias("bets"),
         F.col("e.externalReferences.BetRadar").alias("ref"),
@@ -186,7 +203,7 @@ def parse_nested_feed(
     event = [*kept, "tournament", "event", "date", "ref", "i"]
     markets = each(events, [*event, "head"], "bets", "code", "m", at="j").select(
         *event, "j", head_to_body(F.col("head"), F.col("code")).alias("type"), "m"
-    ).where(~has_excluded_word(F.col("type.name")))
+    ).where(_or_lost(kept, ~has_excluded_word(F.col("type.name"))))
 
     infos = F.col("m.additionalInfos")
     only = F.try_element_at(infos, F.lit("0"))
@@ -256,16 +273,17 @@ def sticky_lines(lines: Column) -> Column:
 
 
 def parse_offer_feed(
-    df: DataFrame, run_ts: datetime | Column, splitter: str = " - ", tz_mode: str = "fixed_plus_2"
+    df: DataFrame, run_ts: datetime | Column, splitter: str = " - ", tz_mode: str = "fixed_plus_2",
+    unreadable: bool = False,
 ) -> DataFrame:
     """One event with its offers. It has no shared id, and fractional prices.
 
     A line labels its outcome and those after it in the offer, up to the next.
     """
     now = naive_timestamp(run_ts)
-    kept = _carried(df, ("tournament",))
+    kept = _carried(df, ("tournament",)) + [LOST] * unreadable
     first = F.get(F.col("__page.events"), 0)
-    events = _page(df, schemas.OFFER_PAGE).select(
+    events = _page(df, schemas.OFFER_PAGE, unreadable).select(
         *kept,
         first["group"].alias("tournament"),
         normalise_event(first["name"], splitter).alias("event"),
@@ -298,7 +316,8 @@ def parse_offer_feed(
 
 
 def parse_map_feed(
-    df: DataFrame, run_ts: datetime | Column, splitter: str = " - ", tz_mode: str = "fixed_plus_2"
+    df: DataFrame, run_ts: datetime | Column, splitter: str = " - ", tz_mode: str = "fixed_plus_2",
+    unreadable: bool = False,
 ) -> DataFrame:
     """Events in a list, their markets in a map, prices in hundredths.
 
@@ -317,8 +336,8 @@ def parse_map_feed(
         ),
         lambda e: (e["date"] > now) & (e["ident"] != 0) & e["event"].isNotNull() & e["code"].isNotNull(),
     )
-    kept = _carried(df)
-    page = _with_matches(_page(df, schemas.MAP_PAGE), events, "code")
+    kept = _carried(df) + [LOST] * unreadable
+    page = _with_matches(_page(df, schemas.MAP_PAGE, unreadable), events, "code")
     rows = each(
         page, [*kept, "tournament", "matches"], F.map_values("__page.infoAggiuntivaMap"), "m", at="i"
     )
@@ -403,6 +422,98 @@ def flatten_schedule(df: DataFrame, feed: str, with_counts: bool = False) -> Dat
     return rows if with_counts else rows.drop("events")
 
 
+def _children(node: Column, feed: str) -> Column:
+    """What lies below a node of a schedule tree, as an array of variants; null or empty for a leaf."""
+    many = lambda path, kind: F.try_variant_get(node, path, kind)
+    if feed == "nested":
+        below = [F.map_values(many(f"$.{key}", "map<string,variant>")) for key in ("categories", "tournaments")]
+        return F.coalesce(*below)
+    return many({"flat": "$.Children", "offer": "$.groups"}[feed], "array<variant>")
+
+
+_TREE_ROOT = {"flat": "$[0]", "nested": "$.sports['1']", "offer": "$.group.groups[0]"}
+_TREE_NAME = {"flat": "$.Name", "nested": "$.name", "offer": "$.termKey"}
+
+
+def tree_leaves(root: Column, feed: str, most_levels: Column) -> Column:
+    """The leaves below ``root`` as an array of (path, place, node), whatever levels they lie on.
+
+    One fold over levels: ``open`` has the nodes of a level, of which those without children are leaves. ``place`` is
+    the path of indexes from the root, so that sorting by it gives the order of the page. Levels after the last one
+    change nothing, so ``most_levels`` may be any upper bound. No row is exploded until the leaves are known, and
+    nothing is shuffled. A root without children has no leaves.
+    """
+    kind = "array<struct<path:array<string>,place:array<int>,node:variant>>"
+    none = F.array().cast(kind)
+    name = lambda node: F.try_variant_get(node, _TREE_NAME[feed], "string")
+
+    def below(parent: Column) -> Column:
+        return F.transform(
+            F.coalesce(_children(parent["node"], feed), F.array().cast("array<variant>")),
+            lambda c, i: F.struct(
+                F.concat(parent["path"], F.array(name(c))).alias("path"),
+                F.concat(parent["place"], F.array(i)).alias("place"), c.alias("node"),
+            ),
+        )
+
+    def level(state: Column, _: Column) -> Column:
+        found = F.transform(state["open"], lambda n: F.struct(n.alias("n"), below(n).alias("below")))
+        step = F.transform(F.array(found), lambda f: F.struct(
+            F.flatten(F.transform(f, lambda x: x["below"])).alias("open"),
+            F.concat(state["leaves"], F.transform(
+                F.filter(f, lambda x: (F.size(x["below"]) == 0) & (F.size(x["n"]["place"]) > 0)), lambda x: x["n"]
+            )).alias("leaves"),
+        ))[0]
+        return F.when(F.size(state["open"]) > 0, step).otherwise(state)
+
+    top = F.array(F.struct(F.array().cast("array<string>").alias("path"), F.array().cast("array<int>").alias("place"),
+                           root.alias("node"))).cast(kind)
+    start = F.struct(F.when(root.isNotNull(), top).otherwise(none).alias("open"), none.alias("leaves"))
+    return F.aggregate(F.sequence(F.lit(0), most_levels), start, level, lambda s: s["leaves"])
+
+
+def flatten_schedule_deep(df: DataFrame, feed: str, with_counts: bool = False) -> DataFrame:
+    """Schedule tree of any depth to its leaves, a page that is no JSON to one row with a reason.
+
+    The trees of ``flat``, ``nested`` and ``offer`` pages (``map`` pages have none). ``path`` has the names from the
+    country to the leaf, which is last; ``place`` their indexes; ``level`` its depth. A node without children, or with
+    an empty list of them, is a tournament on whatever level it lies. Filters on counts are those of ``flatten_schedule``.
+    A page without the sport has no rows; neither has a sport without children.
+    """
+    if feed not in _TREE_ROOT:
+        raise ValueError(f"no tree in pages of feed family {feed!r}")
+    kept = [c for c in df.columns if c not in ("payload", "path", "place", "level", REASON)]
+    # A level opens at least one bracket, so the page has no more levels than opening brackets.
+    brackets = F.char_length("payload") - F.char_length(F.translate("payload", "[{", ""))
+    page = df.select(*kept, F.try_parse_json("payload").alias("__tree"), F.coalesce(brackets, F.lit(0)).alias("__levels"))
+    page = page.select(
+        *kept, F.col("__tree").isNull().alias(LOST), "__levels",
+        F.try_variant_get("__tree", _TREE_ROOT[feed], "variant").alias("__root"),
+    )
+    page = page.select(*kept, LOST, tree_leaves(F.col("__root"), feed, F.col("__levels")).alias("__leaves"))
+    rows = each(page, [*kept, LOST], "__leaves", "leaf")
+    got = lambda path, kind: F.try_variant_get("leaf.node", path, kind)
+    common = [*kept, F.col("leaf.path").alias("path"), F.col("leaf.place").alias("place"), F.size("leaf.place").alias("level")]
+    reason = F.when(F.col(LOST), UNREADABLE).alias(REASON)
+    if feed == "flat":
+        return rows.select(*common, got("$.Id", "bigint").alias("tournament_id"), got("$.Name", "string").alias("tournament"), reason)
+    if feed == "nested":
+        rows = rows.select(
+            *common, got("$.sportCode", "string").alias("sport_code"), got("$.id", "bigint").alias("tournament_id"),
+            got("$.name", "string").alias("tournament"), got("$.betCode", "string").alias("bet_code"),
+            got("$.betSection", "string").alias("bet_section"),
+            sum_map_values(got("$.eventsCounter", "map<string,bigint>")).alias("events"), reason,
+        )
+    else:
+        rows = rows.select(
+            *common, F.get("leaf.path", F.lit(0)).alias("country"),
+            F.when(F.size("leaf.place") > 1, got("$.termKey", "string")).alias("tournament"),
+            got("$.eventCount", "bigint").alias("events"), reason,
+        )
+    rows = rows.where(F.col(REASON).isNotNull() | (F.col("events") > MIN_EVENTS[feed]))
+    return rows if with_counts else rows.drop("events")
+
+
 def list_events(df: DataFrame, feed: str, skip_live: bool = False) -> DataFrame:
     """Tournament page to event keys.
 

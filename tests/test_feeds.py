@@ -291,3 +291,95 @@ def test_sticky_lines(spark):
     df = spark.createDataFrame([([2.5, None, 3.5, None],), ([None, 1.0],), ([None],), ([],), (None,)], "x array<double>")
     got = [r[0] for r in df.select(feeds.sticky_lines(F.col("x"))).collect()]
     assert got == [[2.5, 2.5, 3.5, 3.5], [None, 1.0], [None], [], None]
+
+
+def test_unreadable_pages_come_with_the_parsed_ones(spark):
+    """A broken page gives one row in any feed, a readable one what it gave without it."""
+    parsers = {
+        "flat": feeds.parse_flat_feed, "nested": feeds.parse_nested_feed, "offer": feeds.parse_offer_feed, "map": feeds.parse_map_feed,
+    }
+    for feed, parse in parsers.items():
+        df = spark.createDataFrame(
+            [("T", 1, "<html>"), ("T", 2, None), ("T", 3, ""), ("T", 4, '{"x'), ("T", 5, "[]"), ("T", 6, "{}")],
+            "tournament string, page int, payload string",
+        )
+        alone = feeds.unreadable_pages(df, feed)
+        found = parse(df, RUN, unreadable=True)
+        assert sorted((r.page, r.reason) for r in found.collect()) == sorted((r.page, r.reason) for r in alone.collect())
+        assert found.columns == parse(df, RUN).columns
+        assert parse(df, RUN).count() == 0
+
+
+def test_one_parse_per_feed(spark):
+    from catalogue.feeds import broken_feeds
+    from pricematch.operators.shape import union_feeds
+    from pricematch.plans.runs import collect_once, collect_quotes
+    from pricematch.session import scratch_path
+
+    parsed = broken_feeds(spark, "/root/testdata/sf0.001")
+    marked = normalise_quotes(union_feeds(*parsed), dictionaries.label_dictionary(spark), keep_rejects=True)
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == len(parsed)
+    quotes, bad, counts = collect_once(spark, scratch_path(spark, "one-parse"), *parsed)
+    want, want_bad = collect_quotes(spark, *parsed)
+    assert sorted(map(repr, quotes.collect())) == sorted(map(repr, want.collect()))
+    by = lambda df: {r.reason: r["count"] for r in df.groupBy("reason").count().collect()}
+    assert by(bad) == by(want_bad) == {k: n for k, n in counts.items() if k not in ("rows", "rejects")}
+    assert counts["rejects"] == bad.count()
+
+
+def test_collect_once_counts_prices_and_unlisted_reasons(spark):
+    from pricematch.plans.runs import collect_once
+    from pricematch.session import scratch_path
+
+    df = spark.createDataFrame(
+        [("B", "T", 1, "A - B", "1X2 <> 1", "abc", None, 1, [1]), ("B", "T", None, "A - B", "1X2 <> 1", "1.50", None, 2, [1]),
+         ("B", "T", 1, "A - B", "1X2 <> 1", "1.50", None, 3, [1]), ("B", "T", 1, "A - B", "1X2 <> 1", "1.60", None, 3, [2]),
+         ("B", "T", 1, "A - B", "not allowed", "1.60", None, 4, [1]), ("B", "T", 1, None, None, None, "own reason", 5, [1])],
+        "bookmaker string, tournament string, betRadarID long, event string, bet string, betOdd string, reason string, "
+        "ingest_seq int, position array<int>",
+    ).withColumn("date", F.lit("2021-03-02").cast("timestamp_ntz"))
+    base = scratch_path(spark, "collect-once")
+    for _ in range(2):  # written again, it replaces itself
+        quotes, bad, counts = collect_once(spark, base, df)
+        assert [(str(r.betOdd), r.bet) for r in quotes.collect()] == [("1.50", "1X2 <> 1")]
+        assert counts == {"rows": 5, "rejects": 3, "price": 1, "no betRadarID": 1, "other": 1}
+        assert sorted(r.reason for r in bad.collect()) == ["no betRadarID", "own reason", "price"]
+
+
+@pytest.mark.parametrize("feed", ["flat", "nested", "offer"])
+def test_deep_schedule_on_two_levels(spark, feed):
+    """On trees of two levels the deep form finds what the plain one does."""
+    from catalogue import payloads
+
+    df = payloads.schedule(payloads.orders(spark, "/root/testdata/sf0.001"), feed)
+    want = feeds.flatten_schedule(df, feed, with_counts=True)
+    got = feeds.flatten_schedule_deep(df, feed, with_counts=True)
+    assert got.where("reason is not null").count() == 0
+    plain = lambda x: sorted(map(repr, x.select(want.columns).collect()))
+    assert plain(got) == plain(want) and plain(want)
+
+
+def test_deep_schedule_odd_pages(spark):
+    deep = None
+    for i in range(30, 0, -1):
+        deep = {"termKey": f"N{i}", "eventCount": 50, "groups": [deep] if deep else None}
+    cases = [
+        (1, json.dumps({"group": {"groups": [{"groups": [deep]}]}})),
+        (2, None), (3, ""), (4, "[1"),
+        (5, "{}"), (6, "[]"), (7, '{"group": 3}'), (8, '{"group": {"groups": [{"groups": []}]}}'),
+        (9, '{"group": {"groups": [{"groups": [{"termKey": "A", "eventCount": 11, "groups": []}, {"eventCount": 12, "groups": "x"}, 5]}]}}'),
+        (10, '{"group": {"groups": [{"groups": [{"termKey": "[[{{", "eventCount": "many"}]}]}}'),
+    ]
+    df = spark.createDataFrame(cases, "page int, payload string").withColumn("place", F.lit(1))
+    got = feeds.flatten_schedule_deep(df, "offer").orderBy("page", "place").collect()
+    assert [(r.page, r.level, r.country, r.tournament, r.reason) for r in got] == [
+        (1, 30, "N1", "N30", None),
+        (2, None, None, None, "unreadable page"), (3, None, None, None, "unreadable page"), (4, None, None, None, "unreadable page"),
+        (9, 1, "A", None, None), (9, 1, None, None, None),
+    ]
+    assert got[0].path == [f"N{i}" for i in range(1, 31)] and got[0].place == [0] * 30
+    plan = feeds.flatten_schedule_deep(df, "offer")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parsejson") == 1 and "Exchange" not in plan
+    with pytest.raises(ValueError):
+        feeds.flatten_schedule_deep(df, "map")
