@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from catalogue.views import COUNTERS2_SQL, SELECTIONS, choose, clock_instant, clock_time, doubles, sql_round2, table
+from catalogue.views import COUNTERS2_SQL, COUNTERS3_SQL, SELECTIONS, choose, clock_instant, clock_time, doubles, sql_round2, table
 from pricematch.fixed_values import QUOTE_KEYS
 from pricematch.session import scratch_path
 from pricematch.sinks.growing import GrowingState
-from pricematch.sources.dictionaries import two_way_counters
+from pricematch.sources.dictionaries import three_way_counters, two_way_counters
 from pricematch.streaming import cycle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -93,6 +93,12 @@ def stream_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(cycle.run_to_files(found, "stream-match"), "betOdd1", "betOdd2")
 
 
+def stream_match_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cycle.stream_match_three(_stream(spark, sf_dir), three_way_counters(spark), "seen", "1 hour", "48 hours")
+    found = found.withColumns({c: clock_time(F.col(c)) for c in ("seen1", "seen2", "seen3")})
+    return doubles(cycle.run_to_files(found, "stream-match-three"), "betOdd1", "betOdd2", "betOdd3")
+
+
 def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = cycle.stream_late(_stream(spark, sf_dir), datetime(2024, 1, 15, 12))
     return doubles(cycle.run_to_files(kept.drop("seen"), "stream-late"), "betOdd")
@@ -157,6 +163,7 @@ QUERIES = {
     "stream_merge": stream_merge,
     "stream_merge_batches": stream_merge_batches,
     "stream_match": stream_match,
+    "stream_match_three": stream_match_three,
     "stream_late": stream_late,
     "stream_upsert": stream_upsert,
     "stream_upsert_leaves": stream_upsert_leaves,
@@ -181,6 +188,18 @@ SQL = {
     FROM s a JOIN c2 ON c2.bet = a.bet JOIN s b ON b."betRadarID" = a."betRadarID"
       AND b.bet = c2.counter AND b.bookmaker <> a.bookmaker
       AND b.date BETWEEN a.date - INTERVAL 6 HOURS AND a.date + INTERVAL 6 HOURS)""",
+    "stream_match_three": f"""WITH {STREAM_SQL}, {COUNTERS3_SQL}
+  SELECT {sql_round2("raw")} AS "RTP", * EXCLUDE (raw) FROM (
+    SELECT a."betOdd"::DOUBLE * (1::DOUBLE - 1::DOUBLE / b."betOdd"::DOUBLE - 1::DOUBLE / c."betOdd"::DOUBLE) * 100::DOUBLE AS raw,
+      a."betRadarID", a.bookmaker AS bookmaker1, a.bet AS bet1, a."betOdd"::DOUBLE AS "betOdd1", a.date AS seen1,
+      b.bookmaker AS bookmaker2, b.bet AS bet2, b."betOdd"::DOUBLE AS "betOdd2", b.date AS seen2,
+      c.bookmaker AS bookmaker3, c.bet AS bet3, c."betOdd"::DOUBLE AS "betOdd3", c.date AS seen3
+    FROM s a JOIN c3 ON c3.bet = a.bet
+    JOIN s b ON b."betRadarID" = a."betRadarID" AND b.bet = c3.counter1 AND b.bookmaker <> a.bookmaker
+      AND b.date BETWEEN a.date - INTERVAL 48 HOURS AND a.date + INTERVAL 48 HOURS
+    JOIN s c ON c."betRadarID" = a."betRadarID" AND c.bet = c3.counter2 AND c.bookmaker <> a.bookmaker AND c.bookmaker <> b.bookmaker
+      AND c.date BETWEEN a.date - INTERVAL 48 HOURS AND a.date + INTERVAL 48 HOURS
+      AND c.date BETWEEN b.date - INTERVAL 48 HOURS AND b.date + INTERVAL 48 HOURS)""",
     "stream_late": f"""WITH {STREAM_SQL} SELECT bookmaker, "betRadarID", event, date, bet,
   "betOdd"::DOUBLE AS "betOdd", ingest_seq FROM s WHERE date >= TIMESTAMP '2024-01-15 12:00:00'""",
     "stream_upsert": f"""WITH n AS (SELECT *, o_orderkey % {PARTS} AS part FROM orders)

@@ -10,6 +10,7 @@ from pricematch.operators.shape import dedupe, union_feeds
 from pricematch.plans.runs import match_run, register_views
 from pricematch.session import scratch_path
 from pricematch.sinks import merge, tables
+from pricematch.sinks.versions import Conflict, TableLog
 from pricematch.sources.dictionaries import read_dictionary, three_way_counters, two_way_counters
 from pricematch.sources.quotes import read_quotes
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -106,6 +107,36 @@ def table_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+HISTORY = "betRadarID bigint, bet string, betOdd double, ingest_seq bigint"
+
+
+def _log(spark: SparkSession, sf_dir: str) -> TableLog:
+    """Appended twice, changed by an update, emptied, filled again."""
+    log = TableLog(spark, scratch_path(spark, "history"), HISTORY)
+    rows = _customer_quotes(spark, sf_dir)
+    first = log.append(rows.where("betRadarID % 2 = 0"), None)
+    second = log.append(rows.where("betRadarID % 2 = 1"), first)
+    third = log.update(lambda old: old.where("betRadarID % 3 = 0").withColumn("betOdd", F.col("betOdd") + 1))
+    try:
+        log.replace(rows, second)  # a writer that has not seen the update
+    except Conflict:
+        log.append(rows.where("betRadarID % 7 = 0"), log.reset(third))
+    return log
+
+
+def table_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as of each of its versions."""
+    log = _log(spark, sf_dir)
+    return union_feeds(*[log.read(v).withColumn("version", F.lit(v)) for v in log.versions()])
+
+
+def table_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its history, with the rows of each version."""
+    log = _log(spark, sf_dir)
+    sizes = [log.read(v).agg(F.lit(v).cast("bigint").alias("version"), F.count("*").alias("rows")) for v in log.versions()]
+    return log.history().join(union_feeds(*sizes), "version")
+
+
 def dictionary_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dictionary file as long as the parts table, with commas in its labels."""
     path = scratch_path(spark, "dictionary")
@@ -132,6 +163,8 @@ def adhoc_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "table_cycle": table_cycle,
+    "table_history": table_history,
+    "table_log": table_log,
     "dictionary_read": dictionary_read,
     "adhoc_sql": adhoc_sql,
     "merge_first": merge_first,
@@ -151,6 +184,16 @@ _RAW = 'a."betOdd"::DOUBLE * (1::DOUBLE - 1::DOUBLE / b."betOdd"::DOUBLE) * 100:
 
 SQL = {
     "table_cycle": f"WITH {_CUSTOMER_SQL} SELECT *, 'copy' AS source FROM c",
+    "table_history": f"""WITH {_CUSTOMER_SQL} SELECT *, 0 AS version FROM c WHERE "betRadarID" % 2 = 0
+      UNION ALL SELECT *, 1 FROM c
+      UNION ALL SELECT * REPLACE ("betOdd" + 1 AS "betOdd"), 2 FROM c WHERE "betRadarID" % 3 = 0
+      UNION ALL SELECT *, 4 FROM c WHERE "betRadarID" % 7 = 0""",
+    "table_log": f"""WITH {_CUSTOMER_SQL}
+      SELECT 0 AS version, 'append' AS action, 1 AS folders, count(*) FILTER ("betRadarID" % 2 = 0) AS rows FROM c
+      UNION ALL SELECT 1, 'append', 2, count(*) FROM c
+      UNION ALL SELECT 2, 'replace', 1, count(*) FILTER ("betRadarID" % 3 = 0) FROM c
+      UNION ALL SELECT 3, 'reset', 0, 0
+      UNION ALL SELECT 4, 'append', 1, count(*) FILTER ("betRadarID" % 7 = 0) FROM c""",
     "dictionary_read": """SELECT 'U/O "' || p_partkey || '",5 <> ' || p_type AS original,
       p_brand || ', ' || p_name AS canonical FROM part""",
     "adhoc_sql": f"""WITH {QUOTES_SQL}, {COUNTERS2_SQL},

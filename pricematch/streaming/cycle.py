@@ -90,6 +90,44 @@ def stream_match(
     )
 
 
+def stream_match_three(
+    quotes: DataFrame, counters: DataFrame, event_time: str, delay: str, within: str, rtp: str = "hedge"
+) -> DataFrame:
+    """Three-way matches as quotes arrive: every triple of complementary quotes of one id at three bookmakers whose
+    times are pairwise at most ``within`` apart, sent out when the last of them arrives. Every selection seeds its own.
+
+    Two joins in a chain. The first one's pairs come up to ``within`` after their seed's time, and Spark holds the
+    second join's watermark back by as much, so no pair is late there. The pair keeps the seed's time as its event
+    time, and the third leg is bound to that: both joins drop their state. Rows without an id meet nothing.
+    """
+    known = quotes.where(F.col("betRadarID").isNotNull() & (F.col("betRadarID") != NO_ID)).withWatermark(event_time, delay)
+    span = F.expr(f"INTERVAL {within}")
+    near = lambda a, b: (F.col(a) >= F.col(b) - span) & (F.col(a) <= F.col(b) + span)
+
+    def leg(n: int) -> DataFrame:
+        return known.select(
+            F.col("betRadarID").alias(f"__id{n}"), F.col("bookmaker").alias(f"bookmaker{n}"), F.col("bet").alias(f"bet{n}"),
+            F.col("betOdd").alias(f"betOdd{n}"), F.col(event_time).alias(f"seen{n}"),
+        )
+
+    seeds = leg(1).join(counters.withColumnRenamed("bet", "bet1"), "bet1")
+    pairs = seeds.join(
+        leg(2),
+        (F.col("__id1") == F.col("__id2")) & (F.col("counter1") == F.col("bet2"))
+        & (F.col("bookmaker1") != F.col("bookmaker2")) & near("seen2", "seen1"),
+    )
+    # One event time goes on: an expression does not carry the other's watermark.
+    pairs = pairs.withColumn("seen2", F.col("seen2") + F.expr("INTERVAL 0 SECONDS")).drop("__id2")
+    triples = pairs.join(
+        leg(3),
+        (F.col("__id1") == F.col("__id3")) & (F.col("counter2") == F.col("bet3")) & (F.col("bookmaker1") != F.col("bookmaker3"))
+        & (F.col("bookmaker2") != F.col("bookmaker3")) & near("seen3", "seen1") & near("seen3", "seen2"),
+    )
+    sides = [f"{c}{n}" for n in (1, 2, 3) for c in ("bookmaker", "bet", "betOdd", "seen")]
+    prices = [F.col(f"betOdd{n}") for n in (1, 2, 3)]
+    return triples.select(RTP[rtp](*prices).alias("RTP"), F.col("__id1").alias("betRadarID"), *sides)
+
+
 def stream_merge(
     quotes: DataFrame, base: str, schema: str, checkpoint: str,
     keys: Sequence[str] = tuple(QUOTE_KEYS), order: Sequence[str] = ("ingest_seq",),

@@ -107,3 +107,54 @@ def test_a_run_of_many_flushes_keeps_them_all(spark, landed, tmp_path):
     assert sorted(r.k for r in held.collect()) == list(range(0, 300, 10))
     kept = [p.name for p in (tmp_path / "state").iterdir() if p.name.startswith("places")]
     assert len(kept) == 2
+
+
+def test_three_legs_over_batches(spark, tmp_path):
+    """Legs that come in three batches meet; those too far apart, or of one bookmaker, do not; state is dropped."""
+    from pricematch.sources.dictionaries import three_way_counters
+
+    path, start = str(tmp_path / "in"), datetime(2021, 3, 1)
+    bets = ["1X2 <> 1", "1X2 <> X", "1X2 <> 2"]
+    rows = []
+    for i in range(240):  # an event each ten minutes, whose legs come 0 to 4 minutes apart, or 40
+        minute = (i // 3) * 10 + (i % 3) * (i // 3 % 5 * 2 if i // 3 % 7 else 40)
+        rows.append((f"B{(i // 3 % 4 and i) % 3}", i // 3 % 20, "E", bets[i % 3], 2.0 + i % 5, start + timedelta(minutes=minute), i))
+    rows.append(("B0", -1, "E", bets[0], 2.0, start, 1000))
+    rows.append(("B1", None, "E", bets[1], 2.0, start, 1001))
+    rows.sort(key=lambda r: r[5])
+    for k in range(3):
+        part = spark.createDataFrame(rows[81 * k: 81 * k + 81], SCHEMA.replace("betOdd decimal(10,2)", "betOdd double"))
+        part.withColumn("betOdd", F.col("betOdd").cast("decimal(10,2)")).coalesce(1).write.mode("append").parquet(path)
+    found = cycle.stream_match_three(stream(spark, path), three_way_counters(spark), "seen", "5 minutes", "8 minutes")
+    out = cycle.run_to_files(found, "three")
+    counters = {r.bet: (r.counter1, r.counter2) for r in three_way_counters(spark).collect()}
+    legs = spark.read.parquet(path).where("betRadarID >= 0").collect()
+    near = lambda *xs: max(x.seen for x in xs) - min(x.seen for x in xs) <= timedelta(minutes=8)
+    want = sorted(
+        (a.ingest_seq, b.ingest_seq, c.ingest_seq) for a in legs for b in legs
+        if b.betRadarID == a.betRadarID and b.bookmaker != a.bookmaker and b.bet == counters[a.bet][0] and near(a, b)
+        for c in legs if c.betRadarID == a.betRadarID and c.bet == counters[a.bet][1] and c.bookmaker not in (a.bookmaker, b.bookmaker) and near(a, b, c))
+    place = {(r.bookmaker, r.betRadarID, r.bet, r.seen): r.ingest_seq for r in legs}
+    got = sorted(tuple(place[r[f"bookmaker{n}"], r.betRadarID, r[f"bet{n}"], r[f"seen{n}"]] for n in (1, 2, 3)) for r in out.collect())
+    assert got == want and len(got) > 30
+
+
+def test_three_legs_drop_state(spark, tmp_path):
+    """Once the watermark is past, neither join holds quotes or pairs."""
+    from pricematch.sources.dictionaries import three_way_counters
+
+    path = str(tmp_path / "in")
+    quotes = spark.range(60).select(
+        F.concat(F.lit("B"), F.col("id") % 3).alias("bookmaker"), F.lit(1).cast("bigint").alias("betRadarID"), F.lit("E").alias("event"),
+        F.element_at(F.array(*[F.lit(f"1X2 <> {x}") for x in "1X2"]), (F.col("id") % 3 + 1).cast("int")).alias("bet"),
+        F.lit(2).cast("decimal(10,2)").alias("betOdd"),
+        (F.lit("2021-03-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=F.col("id").cast("int") * 30)).alias("seen"), F.col("id").alias("ingest_seq"))
+    for k in range(6):
+        quotes.where(F.floor(F.col("id") / 10) == k).coalesce(1).write.mode("append").parquet(path)
+    found = cycle.stream_match_three(stream(spark, path), three_way_counters(spark), "seen", "1 minute", "70 minutes")
+    query = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = [[s["numRowsTotal"] for s in p["stateOperators"]] for p in query.recentProgress if p["numInputRows"]]
+    # Six batches alike in time: what is held after the second one does not grow with the batches that follow.
+    assert len(held) == 6 and all(len(h) == 2 for h in held)
+    assert [max(h[i] for h in held[2:]) <= held[1][i] for i in (0, 1)] == [True, True], held
