@@ -20,15 +20,15 @@ def with_stats(docs: DataFrame, text: Column) -> DataFrame:
     text = F.coalesce(text.cast("string"), F.lit(""))
 
     def stats(text: Column) -> Column:
-        hashes = F.transform(words(text), lambda w: F.xxhash64(w))
         bare = F.regexp_replace(text, BLANKS, "")
-        counts = lambda h, b: F.struct(
+        counts = lambda w, h, b: F.struct(
             F.size(h).cast("long").alias("n_words"), F.char_length(b).cast("long").alias("word_chars"),
             chars_of(b, SYMBOLS).cast("long").alias("n_symbols"), duplicate_lines(text).cast("long").alias("n_dup_lines"),
-            repeated_words(h).alias("n_repeat_words"), (F.size(F.split(text, "\n"))).cast("long").alias("n_lines"),
+            repeated_words(h, w).alias("n_repeat_words"), (F.size(F.split(text, "\n"))).cast("long").alias("n_lines"),
             chars_of(b, _CAPITALS).cast("long").alias("n_capitals"), chars_of(b, _DIGITS).cast("long").alias("n_digits"), chars_of(b, _MARKS).cast("long").alias("n_marks"),
         )
-        return let(hashes, lambda h: let(bare, lambda b: counts(h, b)))
+        hashes = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+        return let(words(text), lambda w: let(hashes(w), lambda h: let(bare, lambda b: counts(w, h, b))))
 
     return docs.withColumn("__s", let(text, stats))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,12 +30,13 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
 
-def repeated_words(hashes: Column, window: int = 3) -> Column:
+def repeated_words(hashes: Column, said: Column, window: int = 3) -> Column:
     """How many words lie in a window of ``window`` words found twice or more in the text.
 
-    ``hashes`` are the words' 64-bit hashes. A window's hash, shortened by as many bits as positions need,
-    is put before its position in one long. Sorted as plain longs, equal windows are neighbours; those with
-    an equal neighbour give back their positions, and the words they cover are counted once.
+    ``hashes`` are the 64-bit hashes of the words ``said``. A window's hash, shortened by as many bits as positions
+    need, is put before its position in one long. Sorted as plain longs, equal windows are neighbours; those with
+    an equal neighbour give back their positions. Of these the windows themselves are sorted and compared, so that
+    windows that share a hash only do not count. The words the others cover are counted once.
     """
     n = F.size(hashes)
     left = lambda x, bits: F.call_function("shiftleft", x, bits)
@@ -48,11 +51,19 @@ def repeated_words(hashes: Column, window: int = 3) -> Column:
         found = F.filter(rows, lambda x, i: like(x, i + 1) | like(x, i - 1))
         return F.transform(found, lambda x: x - left(key(x, bits), bits))
 
+    def equal(at: Column) -> Column:
+        parts = [f"w{k}" for k in range(window)]
+        spelled = F.transform(at, lambda x: F.struct(
+            *[F.get(said, (x + k).cast("int")).alias(p) for k, p in enumerate(parts)], x.alias("at")))
+        like = lambda x, y: F.coalesce(reduce(lambda a, b: a & b, [x[p] == y[p] for p in parts]), F.lit(False))
+        same = lambda rows: F.filter(rows, lambda x, i: like(x, F.get(rows, i + 1)) | like(x, F.get(rows, i - 1)))
+        return F.transform(let(F.sort_array(spelled), same), lambda x: x["at"])
+
     def covered(at: Column) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
         add = lambda s, x: F.struct((s["n"] + (x + window) - F.greatest(s["end"], x)).alias("n"), (x + window).alias("end"))
         return F.aggregate(F.sort_array(at), start, add, lambda s: s["n"])
 
     bits = F.coalesce(F.ceil(F.log2(n.cast("double") + 1)).cast("int"), F.lit(0))
-    counted = let(bits, lambda b: let(F.sort_array(packed(hashes, b)), lambda rows: covered(repeats(rows, b))))
+    counted = let(bits, lambda b: let(F.sort_array(packed(hashes, b)), lambda rows: covered(equal(repeats(rows, b)))))
     return F.when(n > window, counted).otherwise(F.lit(0).cast("long"))
