@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
@@ -69,20 +69,45 @@ def _windows(raw: bytes, most: int) -> list[tuple[list[int], list[int], int]]:
     return [(wide[c : c + _WINDOW].tolist(), wide_labels[c : c + _WINDOW].tolist(), kind) for c in centres.tolist()]
 
 
-def _variants(codes: np.ndarray, labels: np.ndarray) -> Iterator[np.ndarray]:
-    """The window with its secrets in other spellings: 12 and 20 characters of hex, 24 of base64, 20 of capitals and digits;
-    every second one without its quotes."""
+def _variants(codes: np.ndarray, labels: np.ndarray, kind: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The window with its secrets in other spellings: hex of 12 and 20 characters, base64 of 14 without signs, of 24 and
+    40, capitals and digits of 20, each with and without quotes; those of 20 and more also without any sign of an
+    assignment around them, as in a file without one. Then with a word, a short one and a number in their place, and,
+    without such signs, with a time, a name of a file, a path and a version: no secrets."""
     secret = hashlib.sha256(codes.tobytes()).digest()
     spelled = base64.b64encode(secret).decode()
-    bare = np.where((codes & 7) == 3, codes & ~np.int32(7), codes)
-    for k, token in enumerate((secret.hex()[:12], secret.hex()[:20], spelled[:24], base64.b32encode(secret).decode()[:20])):
-        yield np.where(labels > 0, np.int32(crf.shape(token) * 8 + crf.near(token)), bare if k % 2 else codes)
+    letters = "".join(c for c in spelled if c.isalnum())
+    quoteless = np.where((codes & 7) == 3, codes & ~np.int32(7), codes)
+    put = lambda around, token: np.where(labels > 0, np.int32(crf.shape(token) * 8 + crf.near(token)), around)
+    for token in (secret.hex()[:12], letters[:14], secret.hex()[:20], spelled[:24], spelled[:40], base64.b32encode(secret).decode()[:20]):
+        for around in (codes, quoteless):
+            yield put(around, token), labels, kind
+        if len(token) >= 20:
+            yield put(codes & ~np.int32(7), token), labels, 0
+    for word in ("changed", "on", "42"):
+        yield put(quoteless, word), np.zeros_like(labels), kind
+    for word in ("2024-01-15T12", "IMG_20240115_1200.jpg", "/usr/lib/python3/x1.py", "release-1.20.3-rc1", "20240115"):
+        yield put(codes & ~np.int32(7), word), np.zeros_like(labels), 0
+
+
+def _lowest(rows: DataFrame, order: tuple[Column, ...], found: Column, size: int, most: int) -> DataFrame:
+    """The first ``most`` of the ``size`` rows that ``found`` holds for, ordered by a hash and what follows it."""
+    share = 3 * most / max(size, 1)
+    while share < 1:
+        below = rows.filter(order[0] < F.lit(int((2 * share - 1) * 2**63))).filter(found)
+        if below.select("doc_id").limit(most).count() == most:
+            return below.orderBy(*order).limit(most)
+        share *= 2
+    return rows.filter(found).orderBy(*order).limit(most)
 
 
 def fit(docs: DataFrame, sample: int = 300, per_text: int = 12, id_col: str = "doc_id", text_col: str = "text") -> crf.Model:
     """Learn from a bounded sample: ``sample`` texts with a base span and as many of all, by the order of a
     hash of the id, and at most ``2 * per_text + 4`` windows of 17 tokens of each.
 
+    Rows whose hash is below a threshold are ordered; counts set it so that about three times ``sample`` are, and it
+    doubles until ``sample`` are found. So the sample is that of the whole order, but few texts travel.
+
     Tokens in the values of base spans count as secrets. Every second window with a secret is given once
     more without what its neighbours say, so that shape alone can also mark a secret, and each one with its
     secret in other spellings.
@@ -95,9 +120,11 @@ def fit(docs: DataFrame, sample: int = 300, per_text: int = 12, id_col: str = "d
             rows = [w for raw in batch.column("raw").to_pylist() for w in _windows(raw, per_text)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.int32())], names=["codes", "labels", "file"])
 
+    marked = F.col("text").rlike(_ANY)
+    sizes = texts.agg(F.count_if(marked).alias("marked"), F.count("*").alias("all")).first()
     codes, labels, files = [], [], []
-    for chosen in (texts.filter(F.col("text").rlike(_ANY)), texts):
-        some = chosen.orderBy(*order).limit(sample).select(text_bytes().alias("raw"))
+    for found, size in ((marked, sizes["marked"]), (F.lit(True), sizes["all"])):
+        some = _lowest(texts, order, found, size, sample).select(text_bytes().alias("raw"))
         for k, row in enumerate(some.mapInArrow(windows, "codes array<int>, labels array<int>, file int").collect()):
             c, y = np.array(row.codes, np.int32), np.array(row.labels, np.int8)
             codes.append(c)
@@ -108,10 +135,10 @@ def fit(docs: DataFrame, sample: int = 300, per_text: int = 12, id_col: str = "d
                 labels.append(y)
                 files.append(0)  # so it would be without any such sign in the file
             if (y > 0).any():
-                other = list(_variants(c, y))
-                codes += other
-                labels += [y] * len(other)
-                files += [row.file] * len(other)
+                for c, y, kind in _variants(c, y, row.file):
+                    codes.append(c)
+                    labels.append(y)
+                    files.append(kind)
     return crf.train(codes, labels, files)
 
 
