@@ -24,6 +24,8 @@ _CONTAINERS = frozenset("div section ul ol dl table figure details fieldset".spl
 _TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p section".split())
 _COMMENTS = frozenset("comment comments reply replies respond disqus".split())
 _MAIN = frozenset("article content main post entry story body maincontent articlebody postbody".split())
+#: How many hosts may have more than one salt, at most.
+HOSTS = 100_000
 _STARTS: dict[str, tuple[Node, list[Node]]] = {}
 
 
@@ -223,7 +225,7 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
 
 
-def extract(pages: DataFrame, least: int = 3, share: float = 0.9, close: float = 0.5, salts: int = 16, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, least: int = 3, share: float = 0.9, close: float = 0.5, per_task: int = 64, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text`` for each row.
 
     1. A host's pages are told apart by their layout (``layout_of``). Each layout of over ``least`` pages has its page with
@@ -237,31 +239,36 @@ def extract(pages: DataFrame, least: int = 3, share: float = 0.9, close: float =
     3. Each page is aligned again; template nodes go, and the blocks of the article, the varying slots, stay, without
        elements that are marked as menus, headers, footers, sidebars, notices, adverts, forms or comments.
 
-    Pages meet their reference by host, layout and one of ``salts`` numbers, so a host with a third of all pages is
-    spread over many tasks. Hosts of at most ``least`` pages have no template; marks alone decide.
+    Pages meet their reference by host, layout and a salt, of which a host has one for every ``per_task`` pages, or for
+    every hundred thousandth of all pages if that is more: a host with a third of all pages is spread over a third of
+    the tasks, and at most 100,000 hosts have salts, whose list is broadcast. Hosts of at most ``least`` pages have no template; marks alone decide.
 
     Null or empty html: empty text. Null url: the host is empty, as for urls without one. Null and repeated ids: a row
     each. Equal pages get equal texts. Very long pages are read whole. No rows: none. Other columns are not read.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)))
-    rows = rows.withColumn("form", F.when(F.col("html") != "", layout_of(F.col("html"))))
+    rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("form", F.when(F.col("html") != "", layout_of(F.col("html"))))
     order = F.struct(F.col("page_id").isNull(), "page_id", "form")
     forms = stored(rows.filter("html <> ''").groupBy("host", "form").agg(F.count("*").alias("n"), F.min(order).alias("low")), "layouts")
+    most = max(per_task, (forms.agg(F.sum("n")).first()[0] or 0) / HOSTS)
+    salts = F.ceil(F.col("n") / F.lit(most)).cast("long")
+    large = F.broadcast(stored(forms.groupBy("host").agg(F.sum("n").alias("n")).filter(F.col("n") > most).select("host", salts.alias("salts")), "large-hosts"))
+    rows = rows.join(large, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    every = lambda df: df.join(large, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     usual = forms.groupBy("host").agg(F.min(F.struct(F.when(F.col("n") > least, -F.col("n")).otherwise(0).alias("n"), "low", "form")).alias("m"), F.sum("n").alias("n"))
     usual = usual.filter(F.col("n") > least).select("host", F.col("m.form").alias("usual"))  # fewer pages can't agree often enough
     # The rows of a rare layout go with the usual one; only common layouts and one more for each host are listed.
     listed = forms.filter(F.col("n") > least).select("host", "form").join(usual, "host").select("host", "form", F.col("form").alias("common"))
     listed = stored(listed.unionByName(usual.select("host", F.lit("").alias("form"), F.col("usual").alias("common"))), "references")
-    by_form = listed.filter("form <> ''").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
-    by_host = listed.filter("form = ''").select("host", F.col("common").alias("usual")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+    by_form = every(listed.filter("form <> ''"))
+    by_host = every(listed.filter("form = ''").select("host", F.col("common").alias("usual")))
     rows = rows.join(by_form, ["host", "form", "salt"], "left").join(by_host, ["host", "salt"], "left").withColumn("layout", F.coalesce("common", "usual"))
     first = rows.filter("html <> '' AND form = layout").groupBy("host", "layout").agg(F.min_by("html", F.struct(F.col("page_id").isNull(), "page_id", "html")).alias("first"))
-    first = stored(first, "first-pages").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+    first = every(stored(first, "first-pages"))
     paired = rows.filter("html <> ''").join(first, ["host", "layout", "salt"]).select("host", "layout", "salt", "html", "first")
     found = stored(paired.mapInArrow(_alignments, "host string, layout string, salt long, nodes array<long>, same array<boolean>, sizes array<long>, rest long"), "alignments")
     slots = found.select("host", "layout", F.explode(F.arrays_zip("nodes", "same")).alias("a")).groupBy("host", "layout", F.col("a.nodes").alias("node")).agg(F.count("*").alias("pages"), F.sum(F.col("a.same").cast("long")).alias("same"))
-    slots = slots.groupBy("host", "layout").agg(F.collect_list(F.struct("node", "pages", "same")).alias("slots")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+    slots = every(slots.groupBy("host", "layout").agg(F.collect_list(F.struct("node", "pages", "same")).alias("slots")))
     votes = found.join(slots, ["host", "layout", "salt"], "left").mapInArrow(lambda batches: _votes(batches, least, close), "host string, layout string, node long, pages long, same long")
     votes = votes.groupBy("host", "layout", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
     constant = votes.filter((F.col("pages") >= least) & (F.col("same") >= share * F.col("pages"))).groupBy("host", "layout").agg(F.sort_array(F.collect_list("node")).alias("constant"))
