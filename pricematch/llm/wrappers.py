@@ -260,8 +260,8 @@ def extract(pages: DataFrame, least: int = 3, share: float = 0.9, close: float =
     # The rows of a rare layout go with the usual one; only common layouts and one more for each host are listed.
     listed = forms.filter(F.col("n") > least).select("host", "form").join(usual, "host").select("host", "form", F.col("form").alias("common"))
     listed = stored(listed.unionByName(usual.select("host", F.lit("").alias("form"), F.col("usual").alias("common"))), "references")
-    by_form = every(listed.filter("form <> ''"))
-    by_host = every(listed.filter("form = ''").select("host", F.col("common").alias("usual")))
+    by_form = stored(every(listed.filter("form <> ''")), "layout-salts")
+    by_host = stored(every(listed.filter("form = ''").select("host", F.col("common").alias("usual"))), "host-salts")
     rows = rows.join(by_form, ["host", "form", "salt"], "left").join(by_host, ["host", "salt"], "left").withColumn("layout", F.coalesce("common", "usual"))
     first = rows.filter("html <> '' AND form = layout").groupBy("host", "layout").agg(F.min_by("html", F.struct(F.col("page_id").isNull(), "page_id", "html")).alias("first"))
     first = every(stored(first, "first-pages"))
@@ -279,6 +279,9 @@ def extract(pages: DataFrame, least: int = 3, share: float = 0.9, close: float =
             texts = [main_text(page, first, constant or []) if page else "" for page, first, constant in zip(*(batch.column(c).to_pylist() for c in ("html", "first", "constant")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    known = first.join(constant, ["host", "layout"])
-    full = rows.join(known, ["host", "layout", "salt"], "left").select("page_id", "url", "html", "first", "constant")
+    if constant.isEmpty():  # no host has a template, so no page needs its reference
+        full = rows.select("page_id", "url", "html", F.lit(None).cast("string").alias("first"), F.lit(None).cast("array<long>").alias("constant"))
+    else:
+        known = first.join(constant, ["host", "layout"])
+        full = rows.join(known, ["host", "layout", "salt"], "left").select("page_id", "url", "html", "first", "constant")
     return full.mapInArrow(read, f"page_id {dict(rows.dtypes)['page_id']}, url string, text string")
