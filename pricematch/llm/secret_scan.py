@@ -101,7 +101,7 @@ def _lowest(rows: DataFrame, order: tuple[Column, ...], found: Column, size: int
     return rows.filter(found).orderBy(*order).limit(most)
 
 
-def fit(docs: DataFrame, sample: int = 300, per_text: int = 12, id_col: str = "doc_id", text_col: str = "text") -> crf.Model:
+def fit(docs: DataFrame, sample: int = 300, per_text: int = 12, most_respelled: int = 150, id_col: str = "doc_id", text_col: str = "text") -> crf.Model:
     """Learn from a bounded sample: ``sample`` texts with a base span and as many of all, by the order of a
     hash of the id, and at most ``2 * per_text + 4`` windows of 17 tokens of each.
 
@@ -109,8 +109,8 @@ def fit(docs: DataFrame, sample: int = 300, per_text: int = 12, id_col: str = "d
     doubles until ``sample`` are found. So the sample is that of the whole order, but few texts travel.
 
     Tokens in the values of base spans count as secrets. Every second window with a secret is given once
-    more without what its neighbours say, so that shape alone can also mark a secret, and each one with its
-    secret in other spellings.
+    more without what its neighbours say, so that shape alone can also mark a secret, and the first
+    ``most_respelled`` with their secrets in other spellings.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
     order = F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, sample: int = 300, per_text: int = 12, id_col: str = "d
 
     marked = F.col("text").rlike(_ANY)
     sizes = texts.agg(F.count_if(marked).alias("marked"), F.count("*").alias("all")).first()
-    codes, labels, files = [], [], []
+    codes, labels, files, respelled = [], [], [], 0
     for found, size in ((marked, sizes["marked"]), (F.lit(True), sizes["all"])):
         some = _lowest(texts, order, found, size, sample).select(text_bytes().alias("raw"))
         for k, row in enumerate(some.mapInArrow(windows, "codes array<int>, labels array<int>, file int").collect()):
@@ -135,7 +135,8 @@ def fit(docs: DataFrame, sample: int = 300, per_text: int = 12, id_col: str = "d
                 labels.append(y)
                 files.append(0)  # so it would be without any such sign in the file
             if (y > 0).any():
-                for c, y, kind in _variants(c, y, row.file):
+                respelled += 1
+                for c, y, kind in _variants(c, y, row.file) if respelled <= most_respelled else ():
                     codes.append(c)
                     labels.append(y)
                     files.append(kind)
