@@ -2,7 +2,8 @@
 
 A leaf is the rows whose key hash ends in the ``depth`` bits ``prefix``. The directory of a version, one row for
 each leaf, says which versions hold its rows and its filter. A version writes only the leaves it changes; one
-that would pass ``most_rows`` is split by as many further bits as it takes, and the others stay as they are. A
+that would pass ``most_rows`` is split by as many further bits as it takes, and the others stay as they are. Files
+hold many leaves each, sorted by their names, so that a version has as many files as its rows ask for. A
 version written again, as a retried batch does, replaces itself, and files that neither the newest directory nor
 the one before it needs are deleted. One writer at a time is assumed, as a stream's checkpoint gives. Lists of leaves go through the driver, as lists of files do; rows do not.
 """
@@ -11,9 +12,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -24,6 +26,7 @@ _DIRECTORY = "depth int, prefix long, versions array<long>, filter long, rows lo
 _BLOCK_BITS = 1 << 15  # of Spark's bitmaps
 _PROBES = 7  # bits of a key in its block
 _BITS_PER_KEY = 10
+_LISTED = 200  # leaves that a scan is asked for by name
 
 
 class Leaf(NamedTuple):
@@ -77,8 +80,9 @@ class GrowingState:
         return version
 
     def _publish(self, leaves: list[Leaf], version: int, before: int | None, source: str | None = None) -> None:
-        rows = [(x.depth, x.prefix, list(x.versions), x.filter, x.rows, source) for x in leaves]
-        self.spark.createDataFrame(rows, _DIRECTORY).coalesce(1).write.mode("overwrite").parquet(self._places(version))
+        kinds = [("depth", pa.int32()), ("prefix", pa.int64()), ("versions", pa.list_(pa.int64())), ("filter", pa.int64()), ("rows", pa.int64()), ("source", pa.string())]
+        rows = self._listed(kinds, [(x.depth, x.prefix, list(x.versions), x.filter, x.rows, source) for x in leaves])
+        rows.coalesce(1).write.mode("overwrite").parquet(self._places(version))
         if before:
             self._forget(before - 1, before, version)
 
@@ -94,6 +98,11 @@ class GrowingState:
 
     # Rows and their leaves
 
+    def _listed(self, kinds: list[tuple[str, pa.DataType]], rows: Iterable[tuple]) -> DataFrame:
+        """A list of the driver's as a table whose size Spark knows."""
+        columns = list(zip(*rows)) or [()] * len(kinds)
+        return self.spark.createDataFrame(pa.table({name: pa.array(c, kind) for (name, kind), c in zip(kinds, columns)}))
+
     def _hash(self) -> Column:
         return F.xxhash64(*self.keys)
 
@@ -106,29 +115,37 @@ class GrowingState:
 
         A row tries the ending of its hash at each depth that leaves have; one of them is a leaf's.
         """
-        named = self.spark.createDataFrame(
-            [(x.depth, x.prefix, x.depth + (deeper or {}).get(x, 0)) for x in leaves], "__depth int, __prefix long, __to int"
-        )
+        kinds = [("__depth", pa.int32()), ("__prefix", pa.int64()), ("__to", pa.int32())]
+        named = F.broadcast(self._listed(kinds, [(x.depth, x.prefix, x.depth + (deeper or {}).get(x, 0)) for x in leaves]))
         depths = F.array(*[F.lit(d) for d in sorted({x.depth for x in leaves})])
         tried = rows.withColumn("__hash", self._hash()).withColumn("__depth", F.explode(depths))
         tried = tried.withColumn("__prefix", self._ending(F.col("__hash"), F.col("__depth"))).join(named, ["__depth", "__prefix"])
         leaf = F.concat_ws("-", F.col("__to"), self._ending(F.col("__hash"), F.col("__to")))
         return tried.withColumn("__leaf", leaf).drop("__depth", "__prefix", "__to", "__hash")
 
+    def _stored(self, kind: str, schema: str, places: Sequence[tuple[int, str]]) -> DataFrame:
+        """The rows that folders of ``kind`` hold at these places, a version and a leaf's name each, with ``__leaf``."""
+        names, folders = sorted({n for _, n in places}), sorted({f"{self.base}/{kind}-{v:012d}" for v, _ in places})
+        if not places:
+            return self.spark.createDataFrame([], StructType.fromDDL(f"{schema}, __leaf string"))
+        rows = self.spark.read.schema(f"{schema}, __leaf string").parquet(*folders)
+        if len(names) <= _LISTED:
+            rows = rows.where(F.col("__leaf").isin(names))
+        version = F.regexp_extract(F.col("_metadata.file_path"), f"{kind}-([0-9]{{12}})/[^/]*$", 1).cast("long")
+        there = F.broadcast(self._listed([("__version", pa.int64()), ("__leaf", pa.string())], places))
+        return rows.withColumn("__version", version).join(there, ["__version", "__leaf"], "left_semi").drop("__version")
+
     def _content(self, leaves: Sequence[Leaf]) -> DataFrame:
-        paths = [f"{self.base}/state-{v:012d}/__leaf={x.name}" for x in leaves for v in x.versions]
-        if not paths:
-            return self.spark.createDataFrame([], StructType.fromDDL(self.schema))
-        return self.spark.read.schema(self.schema).parquet(*paths)
+        return self._stored("state", self.schema, [(v, x.name) for x in leaves for v in x.versions]).drop("__leaf")
 
     def read(self, version: int) -> DataFrame:
         return self._content(self.leaves(version))
 
     def _write(self, placed: DataFrame, folder: str) -> dict[str, int]:
-        """Write rows by leaf, one task for each; the rows each leaf got."""
-        placed.repartition("__leaf").write.mode("overwrite").partitionBy("__leaf").parquet(folder)
-        schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in placed.schema if f.name != '__leaf')}, __leaf string"
-        return {r["__leaf"]: r["count"] for r in self.spark.read.schema(schema).parquet(folder).groupBy("__leaf").count().collect()}
+        """Write rows by leaf, the rows of one in one file; the rows each leaf got."""
+        placed.repartition("__leaf").sortWithinPartitions("__leaf").write.mode("overwrite").parquet(folder)
+        back = self.spark.read.schema(placed.schema).parquet(folder)
+        return {r["__leaf"]: r["count"] for r in back.groupBy("__leaf").count().collect()}
 
     def _bits_more(self, rows: int) -> int:
         return max(0, math.ceil(math.log2(rows / self.most_rows))) if rows > self.most_rows else 0
@@ -176,12 +193,7 @@ class GrowingState:
         return rows.withColumn("__block", F.pmod(F.shiftright(one, 20), F.lit(self.blocks)).cast("int")).withColumn("__bits", bits)
 
     def _filters(self, leaves: Sequence[Leaf]) -> DataFrame:
-        paths = [f"{self.base}/filter-{x.filter:012d}/__leaf={x.name}" for x in leaves if x.filter is not None]
-        schema = "__block int, filter binary"
-        if not paths:
-            return self.spark.createDataFrame([], f"{schema}, __leaf string")
-        named = F.regexp_extract(F.input_file_name(), "__leaf=([0-9]+-[0-9]+)", 1)
-        return self.spark.read.schema(schema).parquet(*paths).withColumn("__leaf", named)
+        return self._stored("filter", "__block int, filter binary", [(x.filter, x.name) for x in leaves if x.filter is not None])
 
     def _filter_of(self, placed: DataFrame) -> DataFrame:
         bits = self._probes(placed).select("__leaf", "__block", F.explode("__bits").alias("__bit"))
@@ -203,29 +215,25 @@ class GrowingState:
         try:
             read = [by_name[r[0]] for r in asked.where("__maybe").select("__leaf").distinct().collect()]
             held = self._content(read).select(self.keys)
-            fresh = asked.where("NOT __maybe").unionByName(asked.where("__maybe").join(held, self.keys, "left_anti")).drop("__maybe")
-            got = self._write(fresh, f"{self.base}/state-{after:012d}")
+            fresh = asked.where("NOT __maybe").unionByName(asked.where("__maybe").join(held, self.keys, "left_anti")).drop("__maybe").persist()
+            got = {r["__leaf"]: r["count"] for r in fresh.groupBy("__leaf").count().collect()}
+            grown = [by_name[n] for n in got]
+            more = {x: self._bits_more(x.rows + got[x.name]) for x in grown}
+            kept, split = [x for x in grown if not more[x]], [x for x in grown if more[x]]
+            # a leaf that splits is written whole, in its parts, so that no task gets more than a part of it
+            rows = fresh.drop("__leaf").unionByName(self._content(split), allowMissingColumns=True)
+            written = self._write(self._placed(rows, leaves, more), f"{self.base}/state-{after:012d}")
+            fresh.unpersist()
         finally:
             asked.unpersist()
-        grown = [by_name[n] for n in got]
-        more = {x: self._bits_more(x.rows + got[x.name]) for x in grown}
-        kept = [x for x in grown if not more[x]]
         new = [x for x in leaves if x.name not in got]
         new += [Leaf(x.depth, x.prefix, (*x.versions, after), after, x.rows + got[x.name]) for x in kept]
-        added = self._content([Leaf(x.depth, x.prefix, (after,)) for x in kept])
-        filters = self._filter_of(self._placed(added, leaves)).unionByName(self._filters(kept))
-        if split := [x for x in grown if more[x]]:
-            whole = self._content([x._replace(versions=(*x.versions, after)) for x in split])
-            deeper = self._placed(whole, leaves, more)
-            # under the names of their parts, so beside what the parent leaves wrote in this version
-            deeper.repartition("__leaf").write.mode("append").partitionBy("__leaf").parquet(f"{self.base}/state-{after:012d}")
-            parts = [Leaf(d, p, (after,)) for x in split for d, p in self._parts(x, more[x])]
-            there = self.spark.read.schema(f"{self.schema}, __leaf string").parquet(f"{self.base}/state-{after:012d}")
-            rows = {r["__leaf"]: r["count"] for r in there.groupBy("__leaf").count().collect()}
-            new += [x._replace(filter=after, rows=rows[x.name]) if rows.get(x.name) else Leaf(x.depth, x.prefix) for x in parts]
-            filters = filters.unionByName(self._filter_of(deeper))
+        parts = [Leaf(d, p) for x in split for d, p in self._parts(x, more[x])]
+        new += [x._replace(versions=(after,), filter=after, rows=written[x.name]) if written.get(x.name) else x for x in parts]
         if grown:
+            added = self.spark.read.schema(f"{self.schema}, __leaf string").parquet(f"{self.base}/state-{after:012d}")
+            filters = self._filter_of(added).unionByName(self._filters(kept))
             whole = filters.groupBy("__leaf", "__block").agg(F.bitmap_or_agg("filter").alias("filter"))
-            whole.repartition("__leaf").write.mode("overwrite").partitionBy("__leaf").parquet(f"{self.base}/filter-{after:012d}")
+            whole.repartition("__leaf").sortWithinPartitions("__leaf").write.mode("overwrite").parquet(f"{self.base}/filter-{after:012d}")
         self._publish(new, after, before, source)
         return len(leaves), len(read), sum(got.values())
