@@ -67,3 +67,12 @@ def test_upsert_as_an_aggregate(spark):
         args = (old, new, ["k", "b"], update, ["seq"])
         assert rows(merge.upsert_grouped(*args)) == rows(merge.upsert_matches(*args))
     assert rows(merge.upsert_grouped(old, new.limit(0), ["k", "b"], ["RTP"], ["seq"])) == rows(old)
+
+
+def test_collected_pages_are_written_unsorted_and_copies_found_without_a_window(spark, tmp_path):
+    from catalogue.feeds import broken_feeds
+    from pricematch.plans import runs
+
+    quotes, bad, counts = runs.collect_once(spark, str(tmp_path / "c"), *broken_feeds(spark, "/root/testdata/sf0.001"))
+    assert "Window" not in plan(quotes) and "hashpartitioning" not in plan(quotes)
+    assert bad.count() == counts["rejects"] and quotes.count() == counts["rows"] - counts["rejects"]
