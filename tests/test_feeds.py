@@ -151,6 +151,15 @@ def test_unreadable_pages(spark):
     assert [r.payload for r in got] == ["{}", "<html>", None, '{"other": 1}']
 
 
+@pytest.mark.parametrize("feed", list(feeds.PAGES))
+def test_unreadable_pages_are_read_once_and_where_they_were_dealt(spark, feed):
+    dealt = spark.range(9).select(F.col("id").alias("page"), F.concat(F.lit('{"x'), "id").alias("payload")).repartition(4, "page")
+    found = feeds.unreadable_pages(dealt, feed)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.index("from_json(") < plan.index("Exchange")
+    assert found.count() == 9
+
+
 def test_map_feed(spark):
     event = lambda code, ident, name="AC Milan - Inter", when="2021-03-21T19:45:00Z": {
         "data": when, "codiceAvvenimento": code, "descrizione": name,
