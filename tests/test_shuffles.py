@@ -6,8 +6,10 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from pricematch.operators.filters import drop_unresolved
+from pricematch.operators.identity import backfill_ids
 from pricematch.operators.shape import dedupe, dedupe_stored
-from pricematch.plans.runs import match_run, refresh_matches
+from pricematch.plans.runs import match_run, refresh_matches, resolve_quotes
 from pricematch.schemas import MATCHES2, MATCHES3
 from pricematch.sinks import merge
 from pricematch.sources.dictionaries import three_way_counters, two_way_counters
@@ -76,3 +78,38 @@ def test_collected_pages_are_written_unsorted_and_copies_found_without_a_window(
     quotes, bad, counts = runs.collect_once(spark, str(tmp_path / "c"), *broken_feeds(spark, "/root/testdata/sf0.001"))
     assert "Window" not in plan(quotes) and "hashpartitioning" not in plan(quotes)
     assert bad.count() == counts["rejects"] and quotes.count() == counts["rows"] - counts["rejects"]
+
+
+def clashing(spark):
+    """Quotes with and without ids, of which some share a staged key, one id's by many names, and some have no key."""
+    data = [(f"B{b}", "T", i if b else -1, f"E{i}", RUN, bet, Decimal(2)) for i in range(6) for b in range(4) for bet in ("1X2 <> 1", "1X2 <> X", "1X2 <> 2", "DOPPIA CHANCE OUT <> X2")]
+    data += [("B1", "T", 2, f"F{n}", RUN, "1X2 <> 1", Decimal(3)) for n in range(40)]
+    data += [("B1", "T", 3, "F", RUN, "1X2 <> X", Decimal(3)), ("B1", "T", -1, "lone", RUN, "1X2 <> X", Decimal(3))]
+    data += [(None, "T", 4, f"N{n}", RUN, "1X2 <> X", Decimal(4)) for n in range(2)]
+    return spark.createDataFrame(data, "bookmaker string, tournament string, betRadarID bigint, event string, date timestamp_ntz, bet string, betOdd decimal(10,2)")
+
+
+@pytest.mark.parametrize("most_rows", [0, 20, 10_000])
+def test_resolved_quotes_are_those_of_joins(spark, tmp_path, most_rows):
+    quotes = clashing(spark)
+    staged, clashes = resolve_quotes(quotes, str(tmp_path / "staged"), most_rows)
+    want, bad = merge.assert_unique(drop_unresolved(backfill_ids(quotes)), ["bookmaker", "betRadarID", "bet"])
+    assert rows(staged) == rows(want) and rows(clashes) == rows(bad) and staged.schema == want.schema
+    assert clashes.count() == 41 + 2 + 2 and staged.columns == clashes.columns == quotes.columns
+
+
+def test_resolved_quotes_are_matched_where_they_lie(spark, tmp_path):
+    staged, _ = resolve_quotes(clashing(spark), str(tmp_path / "staged"))
+    counters = two_way_counters(spark), three_way_counters(spark)
+    plain = spark.createDataFrame(staged.collect(), staged.schema)
+    for found, want in zip(match_run(staged, *counters, RUN), match_run(plain, *counters, RUN)):
+        assert "Exchange hashpartitioning" not in plan(found) and rows(found) == rows(want) and rows(want)
+
+
+def test_renamed_pages_are_not_parsed_before_they_are_dealt(spark):
+    from catalogue.feeds import _renamed
+    from pricematch.sources import feeds
+
+    pages = spark.range(9).select(F.col("id").alias("ingest_seq"), F.lit("T").alias("tournament"), F.concat(F.lit('{"x":'), "id").alias("payload")).repartition(4, "ingest_seq")
+    shown = plan(_renamed(feeds.parse_map_feed(pages, RUN)))
+    assert "from_json(" in shown and shown.rindex("from_json(") < shown.index("Exchange")
