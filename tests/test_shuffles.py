@@ -51,6 +51,15 @@ def test_stored_rows_are_deduplicated_alike(spark, tmp_path, copies):
         assert "Exchange hashpartitioning" not in plan(got) and "Window" not in plan(got)
 
 
+def test_keys_are_counted_by_more_tasks_the_more_rows_there_are(spark, tmp_path):
+    spark.range(400).select("id", (F.col("id") % 390).alias("k")).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    got = dedupe_stored(df, ["k"], ["id"], str(tmp_path / "few"), a_task=2)
+    assert sorted(r.id for r in got.collect()) == list(range(390))
+    twice = spark.read.parquet(str(tmp_path / "few" / "twice"))
+    assert twice.count() == 10 and twice.select(F.input_file_name()).distinct().count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_rows_whose_key_is_theirs_alone_do_not_travel(spark):
     df = spark.createDataFrame([(i if i else None, "x", i) for i in range(90)] + [(None, "x", 90), (7, "x", 91)], "k int, b string, v int").repartition(3)
     good, bad = merge.assert_unique(df, ["k", "b"])
