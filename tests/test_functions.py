@@ -138,3 +138,27 @@ def test_rtp_grid_matches_python(spark):
 
 def test_rtp_zero_price_is_null(spark):
     assert one(spark, scoring.rtp_hedge(F.lit(2.0), F.lit(0.0))) is None
+
+
+def test_plain_prices_and_small_fractions_are_as_any_other(spark):
+    texts = [f"{a}{b}" for a in ("", "-", "+", " ", "0", "7", "1234567", "12345678", "123456789") for b in ("", ".", ".5", ".05", ".005", ".015", "/", "/0", "/8", "/16", "/9999", "/10000", "/-2", "\n", "e1", "E-1", "/1/2")]
+    assert each(spark, texts, "string", odds.normalise_odds) == each(spark, texts, "string", odds._any_odds)
+    numbers = each(spark, texts, "string", lambda x: round_half_even(x.try_cast("double")).try_cast("decimal(10,2)"))
+    assert each(spark, texts, "string", odds.normalise_numeric_odds) == numbers
+
+
+def test_names_and_labels_take_few_patterns(spark):
+    frame = spark.createDataFrame([("FC Home1 - A. Away2",)], "x string")
+    shown = frame.select(names.normalise_event(F.col("x"), " - ").alias("n"), labels.strip_label_type(F.col("x")).alias("l"))._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("regexp_replace(") == 6  # two ways to clean, in ASCII and not, and two to tidy
+
+
+def test_clean_name_in_any_script(spark):
+    given = ["ab c def", "a.b.c d", "é è été", "中 中国 中国人", "x_1 _ __ ___", "𝒳1 ab", "", None, "a", "abc?"]
+    plain = each(spark, given, "string", lambda x: F.regexp_replace(F.regexp_replace(x, names._PUNCTUATION, ""), names._SHORT_WORD, ""))
+    assert each(spark, given, "string", names.clean_name) == plain
+
+
+def test_label_without_its_type(spark):
+    given = ["A <> B", "A <> B <> C", "A", " <> B", "A\nB <> C", "A <> B\n", "A\rB <> C", "", None]
+    assert each(spark, given, "string", labels.strip_label_type) == ["B", "B <> C", "A", "B", "A\nB <> C", "B\n", "C", "", None]
