@@ -122,3 +122,35 @@ def test_renamed_pages_are_not_parsed_before_they_are_dealt(spark):
     pages = spark.range(9).select(F.col("id").alias("ingest_seq"), F.lit("T").alias("tournament"), F.concat(F.lit('{"x":'), "id").alias("payload")).repartition(4, "ingest_seq")
     shown = plan(_renamed(feeds.parse_map_feed(pages, RUN)))
     assert "from_json(" in shown and shown.rindex("from_json(") < shown.index("Exchange")
+
+
+def test_a_refresh_gathers_no_rows_in_aggregates(spark):
+    old = spark.createDataFrame([(k % 5, "a", 1.0, f"o{k}") for k in range(9)], "k int, b string, RTP double, event string")
+    new = spark.createDataFrame([(k % 7, "a", float(k), f"n{k}", k) for k in range(30)], "k int, b string, RTP double, event string, seq int")
+    args = (old, new, ["k", "b"], ["RTP"], ["seq"])
+    got = merge.upsert_grouped(*args)
+    assert "Aggregate" not in plan(got) and "SortMergeJoin [k#" in plan(got)
+    assert rows(got) == rows(merge.upsert_matches(*args))
+    bare = old.select("k", "b"), new.select("k", "b"), ["k", "b"], []
+    assert rows(merge.upsert_grouped(*bare)) == rows(merge.upsert_matches(*bare))
+
+
+def test_pages_are_made_apart_from_their_parsing(spark):
+    from catalogue import payloads
+    from pricematch.sources import feeds
+
+    orders = spark.range(9).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit(RUN).cast("timestamp_ntz").alias("o_orderdate"))
+    for feed, build in (("flat", payloads.flat), ("nested", payloads.nested), ("offer", payloads.offer), ("map", payloads.mapped)):
+        shown = [line for line in plan(feeds._page(build(orders), feeds.PAGES[feed])).splitlines() if "from_json(" in line]
+        assert len(shown) == 1 and "invoke(StructsToJson" not in shown[0]
+
+
+def test_pages_of_a_cycle_are_parsed_once_a_feed(spark, monkeypatch):
+    from catalogue import feeds as queries
+
+    seen = []
+    monkeypatch.setattr(queries, "run_cycle", lambda spark, base, parsed, *rest: seen.extend(parsed))
+    queries._cycle(spark, "/root/testdata/sf0.001")
+    assert sum(plan(df).count("from_json(") for df in seen) == 4
+    fourth = queries._parsed(spark, "/root/testdata/sf0.001", "map")
+    assert rows(seen[3]) == rows(fourth.unionByName(queries._renamed(fourth)))
