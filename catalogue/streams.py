@@ -75,7 +75,8 @@ def _returning(lines: DataFrame) -> DataFrame:
 def stream_merge_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of eleven batches brought and inserted, and whether it read a part of the table only."""
     base = scratch_path(spark, "stream-merge-batches")
-    rows = _returning(table(spark, sf_dir, "lineitem"))
+    _returning(table(spark, sf_dir, "lineitem")).write.partitionBy("batch").parquet(f"{base}/rows")
+    rows = spark.read.schema(f"{LANDED}, batch int").parquet(f"{base}/rows")
     told = []
     for k in range(BATCHES + 1):
         rows.where(F.col("batch") == k).drop("batch").select(LANDED_COLUMNS).write.mode("append").parquet(f"{base}/landed")

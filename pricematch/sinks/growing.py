@@ -27,6 +27,7 @@ _BLOCK_BITS = 1 << 15  # of Spark's bitmaps
 _PROBES = 7  # bits of a key in its block
 _BITS_PER_KEY = 10
 _LISTED = 200  # leaves that a scan is asked for by name
+_SENT = 500_000  # keys that are sent to all tasks which read leaves
 
 
 class Leaf(NamedTuple):
@@ -90,7 +91,7 @@ class GrowingState:
         place = self.spark._jvm.org.apache.hadoop.fs.Path(self._places(version))
         if not place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place):
             return  # forgotten by an earlier try of this batch
-        used = lambda v: {u for x in self.leaves(v) for u in x.versions} | {x.filter for x in self.leaves(v)}
+        used = lambda v: {u for x in self.leaves(v) for u in (*x.versions, x.filter)}
         for v in used(version).difference(*map(used, kept)) - {None}:
             drop_folder(self.spark, f"{self.base}/state-{v:012d}")
             drop_folder(self.spark, f"{self.base}/filter-{v:012d}")
@@ -131,7 +132,8 @@ class GrowingState:
         rows = self.spark.read.schema(f"{schema}, __leaf string").parquet(*folders)
         if len(names) <= _LISTED:
             rows = rows.where(F.col("__leaf").isin(names))
-        version = F.regexp_extract(F.col("_metadata.file_path"), f"{kind}-([0-9]{{12}})/[^/]*$", 1).cast("long")
+        folder = F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -2), "/", 1)
+        version = F.substring_index(folder, "-", -1).cast("long")
         there = F.broadcast(self._listed([("__version", pa.int64()), ("__leaf", pa.string())], places))
         return rows.withColumn("__version", version).join(there, ["__version", "__leaf"], "left_semi").drop("__version")
 
@@ -186,24 +188,28 @@ class GrowingState:
     # Inserts of absent keys
 
     def _probes(self, rows: DataFrame) -> DataFrame:
-        """``__block`` and the ``__bits`` of a key in that block of its leaf's filter."""
+        """``__block`` and the ``__bits`` of a key in that block of its leaf's filter.
+
+        Bits are written out one by one: a lambda would hash the key again for each of them.
+        """
         one, two = F.xxhash64(F.lit(1), *self.keys), F.xxhash64(F.lit(2), *self.keys)
         step = F.pmod(two, F.lit(_BLOCK_BITS // 2)) * 2 + 1
-        bits = F.transform(F.sequence(F.lit(0), F.lit(_PROBES - 1)), lambda i: F.pmod(F.pmod(one, F.lit(_BLOCK_BITS)) + i * step, F.lit(_BLOCK_BITS)))
+        bits = F.array(*[F.pmod(F.pmod(one, F.lit(_BLOCK_BITS)) + i * step, F.lit(_BLOCK_BITS)) for i in range(_PROBES)])
         return rows.withColumn("__block", F.pmod(F.shiftright(one, 20), F.lit(self.blocks)).cast("int")).withColumn("__bits", bits)
 
     def _filters(self, leaves: Sequence[Leaf]) -> DataFrame:
         return self._stored("filter", "__block int, filter binary", [(x.filter, x.name) for x in leaves if x.filter is not None])
 
     def _filter_of(self, placed: DataFrame) -> DataFrame:
-        bits = self._probes(placed).select("__leaf", "__block", F.explode("__bits").alias("__bit"))
+        bits = self._probes(placed).select("__leaf", "__block", F.explode_outer("__bits").alias("__bit"))
         return bits.groupBy("__leaf", "__block").agg(F.bitmap_construct_agg("__bit").alias("filter"))
 
     def insert_absent(self, batch: DataFrame, order: Sequence[str], source: str | None = None) -> tuple[int, int, int]:
         """Insert the rows of ``batch`` whose key the table lacks, the first in ``order`` of each, as the next version.
 
         A key that its leaf's filter does not know is new. Only leaves with keys that it may know are read, and only
-        their keys. Returns the numbers of leaves, of leaves read, and of rows inserted. ``source`` as in ``replace``.
+        their keys; the keys in question are few as a rule, and then go to where the leaves lie. Returns the numbers of
+        leaves, of leaves read, and of rows inserted. ``source`` as in ``replace``.
         """
         before = self.before(source)
         after, leaves = before + 1, self.leaves(before)
@@ -213,9 +219,13 @@ class GrowingState:
         has = F.expr("forall(__bits, b -> shiftright(cast(conv(hex(substring(filter, cast(b div 8 as int) + 1, 1)), 16, 10) as int), cast(b % 8 as int)) % 2 = 1)")
         asked = asked.withColumn("__maybe", F.coalesce(F.col("filter").isNotNull() & has, F.lit(False))).drop("filter", "__bits", "__block").persist()
         try:
-            read = [by_name[r[0]] for r in asked.where("__maybe").select("__leaf").distinct().collect()]
+            maybe = asked.where("__maybe")
+            asked_of = {r["__leaf"]: r["count"] for r in maybe.groupBy("__leaf").count().collect()}
+            read = [by_name[n] for n in asked_of]
             held = self._content(read).select(self.keys)
-            fresh = asked.where("NOT __maybe").unionByName(asked.where("__maybe").join(held, self.keys, "left_anti")).drop("__maybe").persist()
+            if sum(asked_of.values()) <= _SENT:
+                held = held.join(F.broadcast(maybe.select(self.keys)), self.keys, "left_semi")
+            fresh = asked.where("NOT __maybe").unionByName(maybe.join(held, self.keys, "left_anti")).drop("__maybe").persist()
             got = {r["__leaf"]: r["count"] for r in fresh.groupBy("__leaf").count().collect()}
             grown = [by_name[n] for n in got]
             more = {x: self._bits_more(x.rows + got[x.name]) for x in grown}
