@@ -97,7 +97,7 @@ def stream_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_match_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cycle.stream_match_three(_stream(spark, sf_dir), three_way_counters(spark), "seen", "1 hour", "48 hours")
     found = found.withColumns({c: clock_time(F.col(c)) for c in ("seen1", "seen2", "seen3")})
-    return doubles(cycle.run_to_files(found, "stream-match-three"), "betOdd1", "betOdd2", "betOdd3")
+    return doubles(cycle.run_to_files(found, "stream-match-three", state_on_disk=True), "betOdd1", "betOdd2", "betOdd3")
 
 
 def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Streams over several micro-batches against the batch result."""
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from pricematch.sources.dictionaries import two_way_counters
+from pricematch.sources.dictionaries import three_way_counters, two_way_counters
 from pricematch.streaming import cycle
 
 SCHEMA = "bookmaker string, betRadarID bigint, event string, bet string, betOdd decimal(10,2), seen timestamp, ingest_seq bigint"
@@ -158,3 +159,20 @@ def test_three_legs_drop_state(spark, tmp_path):
     # Six batches alike in time: what is held after the second one does not grow with the batches that follow.
     assert len(held) == 6 and all(len(h) == 2 for h in held)
     assert [max(h[i] for h in held[2:]) <= held[1][i] for i in (0, 1)] == [True, True], held
+
+
+def test_legs_that_complete_no_market_are_not_kept_and_state_can_be_on_disk(spark, tmp_path):
+    rows = [(f"B{b}", 1, datetime(2024, 1, 1, 0, b), bet, Decimal(3)) for b in range(3) for bet in ("1X2 <> 1", "1X2 <> X", "1X2 <> 2", "no market")]
+    path = str(tmp_path / "landed")
+    spark.createDataFrame(rows, "bookmaker string, betRadarID bigint, seen timestamp, bet string, betOdd decimal(10,2)").write.parquet(path)
+    counters = three_way_counters(spark)
+    found = {}
+    for on_disk in (False, True):
+        quotes = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+        matched = cycle.stream_match_three(quotes, counters, "seen", "1 hour", "1 hour")
+        found[on_disk] = sorted(map(tuple, cycle.run_to_files(matched, "state", on_disk).collect()))
+        assert not spark.streams.active
+    assert found[True] == found[False] and len(found[True]) == 3 * 2 * 3
+    assert all(spark.conf.get(k, None) != v for k, v in cycle.STATE_ON_DISK.items())
+    shown = cycle.stream_match_three(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path), counters, "seen", "1 hour", "1 hour")._jdf.queryExecution().analyzed().toString()
+    assert shown.count("Join LeftSemi") == 2
